@@ -27,6 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanloom.llm.normal import _ODD, canonical
+from spanloom.llm.sampling import bounded_sample
 from spanloom.sources.tables import table
 
 LANGUAGES = ["en", "ko", "zh-CN", "zh-TW", "ja", "vi", "de", "th"]
@@ -337,11 +338,12 @@ def fit_on(spark: SparkSession, folder: str) -> LanguageModel:
     The sample is the labelled rows of smallest text hash, by a bounded top-k:
     the same on every run, whatever the partitioning.
     """
-    parts = None
+    parts, n = None, 0
     for df, _, _, label, text in labelled_sources(spark, folder):
         one = df.select(label_column(F.col(label)).alias("langs"), F.col(text).alias("text")).filter(f"size(langs) = 1 AND length(text) BETWEEN 4 AND {SAMPLE_CHARS}")
         parts = one if parts is None else parts.unionAll(one)
-    rows = parts.select(F.col("langs")[0].alias("lang"), "text").orderBy(F.xxhash64("text"), "text", "lang").limit(SAMPLE_TEXTS).collect()
+        n += df.count()
+    rows = bounded_sample(parts.select(F.col("langs")[0].alias("lang"), "text"), n, "text", SAMPLE_TEXTS)
     return train([(r.lang, r.text) for r in rows])
 
 

@@ -36,6 +36,7 @@ from pyspark.sql import functions as F
 
 from spanloom.llm import sentences
 from spanloom.llm.normal import canonical
+from spanloom.llm.sampling import bounded_sample
 from spanloom.session import cut_lineage
 from spanloom.sources.tables import spread, table
 
@@ -133,7 +134,7 @@ def fit_lexicon(spark: SparkSession, folder: str) -> tuple[list[str], dict[str,
     # Documents whose raters agree on one subject: no other has as many votes. At most one row per subject is gathered.
     sure = per.withColumn("top", F.expr("filter(v, x -> x.count = most)")).filter("size(top) = 1").select("doc_id", F.col("top")[0]["subject"].alias("subject"))
     docs = table(spark, folder, "documents").select("doc_id", "text").filter("text IS NOT NULL AND length(text) < 20000")
-    rows = docs.join(sure, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(LABELLED_DOCS).collect()
+    rows = bounded_sample(docs.join(sure, "doc_id").select("doc_id", "text", "subject"), labels.count(), "doc_id", LABELLED_DOCS)
     return names, learn([(r.text, r.subject) for r in rows], names) if rows else {}
 
 
