@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanloom.llm.normal import _ODD, canonical
+from spanloom.llm.normal import canonical
 from spanloom.llm.sampling import bounded_sample
 from spanloom.sources.tables import table
 
@@ -66,10 +66,6 @@ _LETTERS = re.compile(r"[^\W\d_]+")
 UNITS = set("v a w hz pa mpa kpa bar psi m mm cm km µm μm nm g kg mg s ms µs μs min h n nm j kj kw kwh mw ma µa μa mv kv ω kω mω l ml rpm dpi c f k °c db x no".split())
 _ENDS_WORD = re.compile(r"(?:^|[\s(（“„])(\w{1,7})\.$")
 _SHORT = set("no nr fig sec abb abschn pos ltd inc co corp max approx ca z b d h s vgl bzw".split())
-# Scripts whose neighbours are cut apart: a change from one to another is a change of language.
-_SCRIPT = re.compile(r"[가-힣ㄱ-ㆎᄀ-ᇿ]|[ぁ-ヿ]|[一-鿿]|[ก-๛]|[^\W\d_]")
-
-
 def script_of(c: str) -> str:
     if "가" <= c <= "힣" or "ᄀ" <= c <= "ᇿ" or "ㄱ" <= c <= "ㆎ":
         return "K"
@@ -110,13 +106,20 @@ def pieces(text: str) -> list[tuple[int, int]]:
 _RUN = re.compile(r"[가-힣]{2,}|[ก-๛]{2,}|[ぁ-ヿ]|[一-鿿]{2,}|[A-Za-zÀ-ỹ]{4,}")
 
 
+_KINDS = [("K", re.compile("[가-힣]")), ("H", re.compile("[一-鿿ぁ-ヿ]")), ("T", re.compile("[ก-๛]"))]
+_WORDS = re.compile(r"[A-Za-zÀ-ỹ]{2,} [a-zà-ỹ]{2,} ")
+# Characters that need no evening out before letters are compared.
+_STRANGE = re.compile(r"[^ -~가-힣一-鿿ぁ-ゖァ-ヺー、。「」！？（），：；à-öø-ÿÀ-ÖØ-Þ“”„•°²µΩăđĩũơưạ-ỹĂĐĨŨƠƯẠ-Ỹก-๛\n\t…–—’‘]")
+
+
 def _by_script(text: str, a: int, e: int) -> list[tuple[int, int]]:
     """Cut a piece where a long stretch of one script meets a long one of another."""
+    part = text[a:e]
+    kinds = [k for k, r in _KINDS if r.search(part)]
+    if len(kinds) < 2 and not (kinds and _WORDS.search(part)):
+        return [(a, e)]  # one script, or one beside codes and names
     runs: list[list] = []  # script, start, end, letters
-    plain = _NESTED.sub(lambda m: " " * (m.end() - m.start()), text[a:e])
-    kinds = {script_of(c) for c in plain if c > "\x7f" and c.isalpha()}
-    if len(kinds | ({"L"} if re.search(r"[A-Za-z]{3,} [a-z]{2,} ", plain) else set())) < 2 or kinds <= {"J", "H"}:
-        return [(a, e)]
+    plain = _NESTED.sub(lambda m: " " * (m.end() - m.start()), part)
     for m in _RUN.finditer(plain):
         s = script_of(m[0][0])
         s = "H" if s == "J" else s
@@ -140,7 +143,7 @@ def bare(text: str) -> str:
         text = _COMPANY.sub(" ", text)
     if not text.islower():
         text = _PROGRAM.sub(" ", text)
-    text = canonical(text) if _ODD.search(text) else text.casefold()
+    text = canonical(text) if _STRANGE.search(text) else text.casefold()
     return " ".join([w for w in _LETTERS.findall(_CODE.sub(" ", text)) if w not in UNITS])
 
 

@@ -43,7 +43,7 @@ HYPHENS = "‐‑﹣－"
 #: Kinds of compatibility decomposition that only change width, or nothing in print.
 SAME_LOOK = {"<wide>", "<narrow>", "<noBreak>", "<compat>"}
 
-_ODD = re.compile(r"[^ -~가-힣一-鿿ぁ-ゖァ-ヺー、。「」！？（），：；à-öø-ÿÀ-ÖØ-Þ“”„•°²]")
+_ODD = re.compile(r"[^ -~가-힣一-鿿ぁ-ゖァ-ヺー、。「」！？（），：；à-öø-ÿÀ-ÖØ-Þ“”„•°²ăđĩũơưạ-ỹĂĐĨŨƠƯ]")
 
 
 @functools.lru_cache(maxsize=1)
