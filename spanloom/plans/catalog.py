@@ -1,20 +1,403 @@
-"""All core queries, by name."""
+"""All core queries, by name, and their SQL for a second engine."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from spanloom.functions.scripts import SCRIPTS, profile
+from spanloom.functions.tokens import PATTERNS, bag_minus, tokens
+from spanloom.operators import flow, geometry, ledger, metrics, rules, units
+from spanloom.sources.tables import table
+
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+SMOKE = "/root/testdata/sf0.001"
+
+
+def _add(name: str, query: Query, sql: str | None = None) -> None:
+    _QUERIES[name] = query
+    if sql:
+        _SQL[name] = sql
+
+
+def _lit(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
 
 
 def entry(spark: SparkSession) -> DataFrame:
-    """Flagship query."""
-    raise NotImplementedError
+    """Flagship: numbers and network addresses per language of the documents."""
+    return token_counts_by_language(spark, SMOKE)
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
+
+
+# Token extraction ---------------------------------------------------------------------------------------------
+
+
+def token_counts_by_language(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents").select("lang", F.size(tokens("numbers", F.col("text"))).alias("n"), F.size(tokens("ipv4", F.col("text"))).alias("a"))
+    return docs.groupBy("lang").agg(F.count("*").alias("documents"), F.sum("n").alias("numbers"), F.sum("a").alias("addresses"))
+
+
+_add(
+    "token_counts_by_language",
+    token_counts_by_language,
+    f"""SELECT lang, count(*) AS documents, sum(len(regexp_extract_all(coalesce(text, ''), {_lit(PATTERNS["numbers"])})))::BIGINT AS numbers,
+    sum(len(regexp_extract_all(coalesce(text, ''), {_lit(PATTERNS["ipv4"])})))::BIGINT AS addresses FROM documents GROUP BY lang""",
+)
+
+
+def _token_query(name: str) -> Query:
+    def query(spark: SparkSession, d: str) -> DataFrame:
+        rows = table(spark, d, "logical_units").select("logical_unit_id", tokens(name, F.col("text")).alias("t")).filter("size(t) > 0")
+        return rows.select("logical_unit_id", F.size("t").alias("n"), F.array_join("t", "|").alias("tokens"))
+
+    return query
+
+
+for _name, _p in PATTERNS.items():
+    _add(
+        f"tok_{_name}",
+        _token_query(_name),
+        f"SELECT logical_unit_id, len(t)::INT AS n, array_to_string(t, '|') AS tokens FROM (SELECT logical_unit_id, regexp_extract_all(coalesce(text, ''), {_lit(_p)}) AS t FROM logical_units) WHERE len(t) > 0",
+    )
+
+
+def bag_diff(spark: SparkSession, d: str) -> DataFrame:
+    """Numbers that a translation lost or gained, with multiplicity."""
+    once = table(spark, d, "occurrences").filter("status = 'TRANSLATED' AND source_text IS NOT NULL AND target_text IS NOT NULL").select("occurrence_id", "source_text", "target_text").dropDuplicates(["occurrence_id"])
+    s, t = tokens("numbers", F.col("source_text")), tokens("numbers", F.col("target_text"))
+    rows = once.select("occurrence_id", s.alias("s"), t.alias("t")).select("occurrence_id", bag_minus(F.col("s"), F.col("t")).alias("m"), bag_minus(F.col("t"), F.col("s")).alias("a"))
+    return rows.filter("size(m) + size(a) > 0").select("occurrence_id", F.array_join("m", "|").alias("missing"), F.array_join("a", "|").alias("added"))
+
+
+_NUM = _lit(PATTERNS["numbers"])
+_add(
+    "bag_diff",
+    bag_diff,
+    f"""WITH o AS (SELECT DISTINCT occurrence_id, source_text, target_text FROM occurrences WHERE status = 'TRANSLATED' AND source_text IS NOT NULL AND target_text IS NOT NULL),
+    x AS (SELECT occurrence_id, unnest(regexp_extract_all(source_text, {_NUM})) AS t, 1 AS s, 0 AS g FROM o UNION ALL SELECT occurrence_id, unnest(regexp_extract_all(target_text, {_NUM})), 0, 1 FROM o),
+    c AS (SELECT occurrence_id, t, sum(s) - sum(g) AS d FROM x GROUP BY occurrence_id, t HAVING sum(s) <> sum(g)),
+    e AS (SELECT occurrence_id, t, d, unnest(range(abs(d)::BIGINT)) AS k FROM c)
+    SELECT occurrence_id, coalesce(string_agg(t, '|' ORDER BY t) FILTER (WHERE d > 0), '') AS missing, coalesce(string_agg(t, '|' ORDER BY t) FILTER (WHERE d < 0), '') AS added FROM e GROUP BY occurrence_id""",
+)
+
+# Scripts and rules --------------------------------------------------------------------------------------------
+
+
+def script_profile(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "logical_units").groupBy(profile(F.col("text")).alias("scripts")).agg(F.count("*").alias("units"))
+
+
+_PROFILE = "concat_ws(',', " + ", ".join(f"CASE WHEN regexp_matches(text, {_lit(c)}) THEN '{s}' END" for s, c in SCRIPTS.items()) + ")"
+_add("script_profile", script_profile, f"SELECT {_PROFILE} AS scripts, count(*) AS units FROM logical_units GROUP BY 1")
+
+
+def translatable_filter(spark: SparkSession, d: str) -> DataFrame:
+    """Table cells with words in them, beside codes and quantities."""
+    once = table(spark, d, "fragments").filter("structural_role = 'table_cell' AND text IS NOT NULL").select("fragment_id", "text").dropDuplicates(["fragment_id"])
+    return once.select("fragment_id", rules.translatable(F.col("text")).alias("translatable"))
+
+
+_add("translatable_filter", translatable_filter, f"SELECT DISTINCT fragment_id, NOT regexp_matches(text, {_lit(rules.CODE_ONLY)}) AS translatable FROM fragments WHERE structural_role = 'table_cell' AND text IS NOT NULL")
+
+
+def route_decision(spark: SparkSession, d: str) -> DataFrame:
+    return rules.route(table(spark, d, "logical_units").filter("text IS NOT NULL"), "text", "logical_unit_id")
+
+
+_SIZE = lambda n, c: f"len(regexp_extract_all({c}, {_lit(PATTERNS[n])}))"
+_add(
+    "route_decision",
+    route_decision,
+    f"""WITH f AS (SELECT logical_unit_id, length(text) AS chars, regexp_matches(text, {_lit(SCRIPTS["latin"])}) AND (regexp_matches(text, {_lit(SCRIPTS["hangul"])}) OR regexp_matches(text, {_lit(SCRIPTS["han"])}) OR regexp_matches(text, {_lit(SCRIPTS["kana"])})) AS mixed,
+    {_SIZE("identifiers", "text")} + {_SIZE("ipv4", "text")} AS protected, {_SIZE("quantities", "text")} AS quantities, {_SIZE("placeholders", "text")} + {_SIZE("tags", "text")} > 0 AS structural,
+    regexp_matches(text, 'If |Nếu |如果|Wenn |ถ้า |경우|보다 크면|超えたら') AS conditional, regexp_matches(text, {_lit(rules.CODE_ONLY)}) AS preserve FROM logical_units WHERE text IS NOT NULL),
+    r AS (SELECT logical_unit_id, CASE WHEN preserve THEN 'preserve' WHEN mixed AND protected >= 2 THEN 'mixed_protected' WHEN structural THEN 'structural' WHEN conditional AND quantities >= 1 THEN 'condition_value'
+    WHEN chars >= 600 AND (mixed OR protected >= 2) THEN 'long' ELSE 'plain' END AS reason FROM f)
+    SELECT logical_unit_id, CASE WHEN reason = 'plain' THEN 'direct' WHEN reason = 'preserve' THEN 'none' ELSE 'handoff' END AS route, reason FROM r""",
+)
+
+
+def routing_ratios(spark: SparkSession, d: str) -> DataFrame:
+    per = route_decision(spark, d).groupBy("route").agg(F.count("*").alias("units"))
+    total = per.agg(F.sum("units").alias("all"))
+    return per.crossJoin(F.broadcast(total)).select("route", "units", F.round(F.col("units") / F.col("all"), 4).alias("ratio"))  # one row
+
+
+_add("routing_ratios", routing_ratios, f"SELECT route, count(*) AS units, round(count(*) / sum(count(*)) OVER (), 4) AS ratio FROM ({_SQL['route_decision']}) GROUP BY route")
+
+
+def integrity_codes(spark: SparkSession, d: str) -> DataFrame:
+    """Failures of translations into Vietnamese."""
+    o = table(spark, d, "occurrences").filter("status = 'TRANSLATED' AND lang_out = 'vi'")
+    return rules.integrity_codes(o, "occurrence_id", "source_text", "target_text")
+
+
+_add(
+    "integrity_codes",
+    integrity_codes,
+    f"""WITH o AS (SELECT DISTINCT occurrence_id, source_text, coalesce(source_text, '') AS s, coalesce(target_text, '') AS t FROM occurrences WHERE status = 'TRANSLATED' AND lang_out = 'vi'),
+    c AS (SELECT occurrence_id, concat_ws(',', CASE WHEN regexp_matches(t, '^[ \\t\\n\\r]*$') THEN 'missing' END, CASE WHEN list_sort(regexp_extract_all(s, {_NUM})) <> list_sort(regexp_extract_all(t, {_NUM})) THEN 'numbers' END,
+    CASE WHEN regexp_matches(t, {_lit(SCRIPTS["hangul"])}) AND source_text IS NOT NULL THEN 'hangul_leak' END, CASE WHEN regexp_matches(t, {_lit(SCRIPTS["han"])}) THEN 'han_leak' END,
+    CASE WHEN s = t AND NOT regexp_matches(s, {_lit(rules.CODE_ONLY)}) THEN 'unchanged' END, CASE WHEN length(s) > 20 AND length(t) > 3 * length(s) THEN 'length' END,
+    CASE WHEN regexp_matches(t, {_lit(SCRIPTS["cyrillic"])}) AND NOT regexp_matches(s, {_lit(SCRIPTS["cyrillic"])}) THEN 'script' END) AS codes FROM o) SELECT occurrence_id, codes FROM c WHERE codes <> ''""",
+)
+
+
+def script_leak_audit(spark: SparkSession, d: str) -> DataFrame:
+    """Han and Hangul characters of Vietnamese targets per page, beyond those that preserved sources permit."""
+    o = table(spark, d, "occurrences").filter("lang_out = 'vi'").select("occurrence_id", "manual_id", "page", "status", "source_text", "target_text").dropDuplicates(["occurrence_id"])
+    kind = F.array(F.struct(F.lit("hangul").alias("script"), F.lit(SCRIPTS["hangul"]).alias("p")), F.struct(F.lit("han").alias("script"), F.lit(SCRIPTS["han"]).alias("p")))
+    chars = lambda c, k: F.regexp_extract_all(F.coalesce(F.col(c), F.lit("")), F.col(k), F.lit(0))
+    rows = o.withColumn("k", F.explode(kind)).select("manual_id", "page", "k.script", "status", "source_text", "target_text", F.col("k.p").alias("p"))
+    actual = rows.select("manual_id", "page", "script", F.explode(chars("target_text", "p")).alias("c")).groupBy("manual_id", "page", "script", "c").agg(F.count("*").alias("n"))
+    allowed = rows.filter("status IN ('ALLOWED_PRESERVE', 'UNRESOLVED')").select("manual_id", "page", "script", F.explode(chars("source_text", "p")).alias("c")).groupBy("manual_id", "page", "script", "c").agg(F.count("*").alias("m"))
+    left = actual.join(allowed, ["manual_id", "page", "script", "c"], "left").withColumn("x", F.greatest(F.lit(0), F.col("n") - F.coalesce("m", F.lit(0))))
+    return left.groupBy("manual_id", "page", "script").agg(F.sum("x").alias("leaks")).filter("leaks > 0")
+
+
+_KINDS = f"(VALUES ('hangul', {_lit(SCRIPTS['hangul'])}), ('han', {_lit(SCRIPTS['han'])})) AS k(script, p)"
+_add(
+    "script_leak_audit",
+    script_leak_audit,
+    f"""WITH o AS (SELECT DISTINCT occurrence_id, manual_id, page, status, coalesce(source_text, '') AS s, coalesce(target_text, '') AS t FROM occurrences WHERE lang_out = 'vi'),
+    chars AS (SELECT o.*, unnest(string_split(t, '')) AS c FROM o), actual AS (SELECT manual_id, page, script, c, count(*) AS n FROM chars, {_KINDS} WHERE c <> '' AND regexp_matches(c, p) GROUP BY ALL),
+    src AS (SELECT o.*, unnest(string_split(s, '')) AS c FROM o WHERE status IN ('ALLOWED_PRESERVE', 'UNRESOLVED')), allowed AS (SELECT manual_id, page, script, c, count(*) AS m FROM src, {_KINDS} WHERE c <> '' AND regexp_matches(c, p) GROUP BY ALL)
+    SELECT manual_id, page, script, sum(greatest(0, n - coalesce(m, 0)))::BIGINT AS leaks FROM actual LEFT JOIN allowed USING (manual_id, page, script, c) GROUP BY ALL HAVING sum(greatest(0, n - coalesce(m, 0))) > 0""",
+)
+
+
+def error_classify(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").groupBy(rules.error_class(F.col("text")).alias("class")).agg(F.count("*").alias("documents"))
+
+
+_CASE = "CASE " + " ".join(f"WHEN {' OR '.join(f'contains(t, {_lit(m)})' for m in marks)} THEN '{n}'" for n, marks in rules.ERROR_MARKERS) + " ELSE 'other' END"
+_add("error_classify", error_classify, f"SELECT {_CASE} AS class, count(*) AS documents FROM (SELECT lower(coalesce(text, '')) AS t FROM documents) GROUP BY 1")
+
+_VERSION_ROWS = [("0.10.0", "0.9.0"), ("0.2", "0.2.0"), ("0.2.1", "0.2"), ("v0.2.0-rc1", "0.1.9"), ("1.0", "1.0.1")]
+
+
+def version_compare(spark: SparkSession, d: str) -> DataFrame:
+    """Whether a candidate version is newer; missing parts are zero."""
+    rows = spark.createDataFrame(_VERSION_ROWS, "candidate string, current string")
+    return rows.select("candidate", "current", (rules.version_parts(F.col("candidate")) > rules.version_parts(F.col("current"))).alias("newer"))
+
+
+_PARTS = lambda c: f"list_concat(list_transform(string_split(regexp_extract({c}, '^v?([0-9]+([.][0-9]+)*)', 1), '.'), lambda x: x::INT), [0, 0, 0, 0])[1:4]"
+_add("version_compare", version_compare, f"SELECT candidate, current, {_PARTS('candidate')} > {_PARTS('current')} AS newer FROM (VALUES {', '.join(str(r) for r in _VERSION_ROWS)}) AS v(candidate, current)")
+
+_TAG_ROWS = ["Keep <b0></b0>", "<s1>NOT</s1> now", "<a><b></a></b>", "<x/> alone", "open <s2>", "</s3>", "plain"]
+
+
+def tag_balance(spark: SparkSession, d: str) -> DataFrame:
+    rows = spark.createDataFrame([(t,) for t in _TAG_ROWS], "text string")
+    return rows.select("text", rules.tag_balance(F.col("text")).alias("balanced"))
+
+
+_add("tag_balance", tag_balance, "SELECT * FROM (VALUES " + ", ".join(f"({_lit(t)}, {b})" for t, b in zip(_TAG_ROWS, ("true", "true", "false", "true", "false", "false", "true"), strict=True)) + ") AS v(text, balanced)")
+
+
+def placeholder_roundtrip(spark: SparkSession, d: str) -> DataFrame:
+    """Braced placeholders written as empty tag pairs and back."""
+    rows = spark.createDataFrame([("Set {v0} to {v1}.",), ("none",), ("{v2}{v2}",)], "text string")
+    masked = F.regexp_replace("text", r"\{v(\d+)\}", "<b$1></b$1>")
+    return rows.select("text", masked.alias("masked"), (F.regexp_replace(masked, r"<b(\d+)></b\d+>", "{v$1}") == F.col("text")).alias("same"))
+
+
+_add("placeholder_roundtrip", placeholder_roundtrip, r"""SELECT text, regexp_replace(text, '\{v(\d+)\}', '<b\1></b\1>', 'g') AS masked, regexp_replace(regexp_replace(text, '\{v(\d+)\}', '<b\1></b\1>', 'g'), '<b(\d+)></b\d+>', '{v\1}', 'g') = text AS same FROM (VALUES ('Set {v0} to {v1}.'), ('none'), ('{v2}{v2}')) AS v(text)""")
+
+
+def repeat_runs(spark: SparkSession, d: str) -> DataFrame:
+    """Longest run of one word in a row per target; splits on blanks, then gaps and islands inside the array."""
+    o = table(spark, d, "occurrences").filter("target_text IS NOT NULL").select("occurrence_id", "target_text").dropDuplicates(["occurrence_id"])
+    words = F.split("target_text", " ")
+    step = lambda s, w: F.when(F.equal_null(s["w"], w), F.struct(w.alias("w"), (s["n"] + 1).alias("n"), F.greatest(s["m"], s["n"] + 1).alias("m"))).otherwise(F.struct(w.alias("w"), F.lit(1).alias("n"), F.greatest(s["m"], F.lit(1)).alias("m")))
+    start = F.struct(F.lit(None).cast("string").alias("w"), F.lit(0).alias("n"), F.lit(0).alias("m"))
+    return o.select("occurrence_id", F.aggregate(words, start, step)["m"].alias("longest")).filter("longest >= 4")
+
+
+_add(
+    "repeat_runs",
+    repeat_runs,
+    """WITH o AS (SELECT DISTINCT occurrence_id, target_text FROM occurrences WHERE target_text IS NOT NULL), w AS (SELECT occurrence_id, unnest(string_split(target_text, ' ')) AS w, generate_subscripts(string_split(target_text, ' '), 1) AS i FROM o),
+    g AS (SELECT occurrence_id, w, i - row_number() OVER (PARTITION BY occurrence_id, w ORDER BY i) AS k FROM w), r AS (SELECT occurrence_id, count(*) AS n FROM g GROUP BY occurrence_id, w, k) SELECT occurrence_id, max(n)::INT AS longest FROM r GROUP BY 1 HAVING max(n) >= 4""",
+)
+
+
+def metadata_values(spark: SparkSession, d: str) -> DataFrame:
+    """Structural references of a document (files, labels, versions), by category."""
+    names = ["file_names", "document_labels", "versions", "standards"]
+    docs = table(spark, d, "documents").select("doc_id", "text").filter("text IS NOT NULL")
+    per = F.array(*[F.struct(F.lit(n).alias("category"), tokens(n, F.col("text")).alias("v")) for n in names])
+    return docs.withColumn("c", F.explode(per)).select("doc_id", "c.category", F.explode("c.v").alias("value")).groupBy("category", "value").agg(F.countDistinct("doc_id").alias("documents"))
+
+
+_add(
+    "metadata_values",
+    metadata_values,
+    "SELECT category, value, count(DISTINCT doc_id) AS documents FROM (" + " UNION ALL ".join(f"SELECT doc_id, '{n}' AS category, unnest(regexp_extract_all(text, {_lit(PATTERNS[n])})) AS value FROM documents WHERE text IS NOT NULL" for n in ("file_names", "document_labels", "versions", "standards")) + ") GROUP BY ALL",
+)
+
+# Ledger -------------------------------------------------------------------------------------------------------
+
+_add(
+    "ledger_reconcile",
+    lambda s, d: ledger.reconcile(table(s, d, "fragments"), table(s, d, "occurrences")),
+    """WITH e AS (SELECT DISTINCT manual_id, 'span-' || substr(fragment_id, 6) AS span_id, 1 AS e FROM fragments), o AS (SELECT DISTINCT occurrence_id, manual_id, source_span_ids FROM occurrences),
+    x AS (SELECT manual_id, unnest(source_span_ids) AS span_id FROM o), a AS (SELECT manual_id, span_id, count(*) AS times FROM x GROUP BY ALL)
+    SELECT manual_id, count(e) AS eligible, count(times) AS assigned, count(*) FILTER (WHERE times IS NULL) AS unassigned, count(*) FILTER (WHERE e IS NULL) AS unknown, coalesce(sum(greatest(0, times - 1)), 0)::BIGINT AS duplicates FROM e FULL JOIN a USING (manual_id, span_id) GROUP BY manual_id""",
+)
+_add(
+    "delivery_status",
+    lambda s, d: ledger.delivery(table(s, d, "occurrences")),
+    """WITH o AS (SELECT DISTINCT ON (occurrence_id) occurrence_id, manual_id, validation_failures, CASE WHEN status = 'ALLOWED_PRESERVE' AND NOT coalesce(preserve_reason_is_approved, false) THEN 'UNRESOLVED' ELSE status END AS s FROM occurrences),
+    p AS (SELECT manual_id, count(*) AS n, count(*) FILTER (WHERE s = 'TRANSLATED') AS translated, count(*) FILTER (WHERE s = 'ALLOWED_PRESERVE') AS preserved, count(*) FILTER (WHERE s = 'UNRESOLVED') AS unresolved,
+    count(*) FILTER (WHERE s IS NULL OR s NOT IN ('TRANSLATED', 'ALLOWED_PRESERVE', 'UNRESOLVED')) AS unknown, count(*) FILTER (WHERE len(coalesce(validation_failures, [])) > 0) AS failed FROM o GROUP BY manual_id)
+    SELECT *, round((translated + preserved) / n, 4) AS completion, CASE WHEN unknown > 0 OR (failed > 0 AND unresolved = 0) THEN 'FAIL' WHEN unresolved > 0 THEN 'PARTIAL' ELSE 'SUCCESS' END AS delivery FROM p""",
+)
+_add("failure_counts", lambda s, d: ledger.failure_counts(table(s, d, "occurrences")), "SELECT failure, count(DISTINCT occurrence_id) AS occurrences FROM (SELECT occurrence_id, unnest(validation_failures) AS failure FROM occurrences) GROUP BY failure")
+
+# Units --------------------------------------------------------------------------------------------------------
+
+_CUR = ", ".join(f"{v} AS c_{k}" for k, v in units._FIELDS.items()) + ", " + ", ".join(f"bbox.{x} AS c_{x}" for x in ("x0", "y0", "x1", "y1"))
+_LAGS = ", ".join(f"lag(c_{n}) OVER w AS p_{n}" for n in [*units._FIELDS, "x0", "y0", "x1", "y1", "chars", "ends"])
+_DECISIONS = f"""WITH f AS (SELECT DISTINCT ON (fragment_id) manual_id, reading_order AS ord, coalesce(text, '') AS text, {_CUR} FROM fragments),
+ c AS (SELECT *, length(trim(text)) AS c_chars, regexp_matches(trim(text), {_lit(units.ENDS)}) AS c_ends, regexp_matches(trim(text), {_lit(units.STARTS)}) AS c_starts FROM f),
+ p AS (SELECT *, {_LAGS} FROM c WINDOW w AS (PARTITION BY manual_id, c_page ORDER BY ord, c_y0, c_x0, c_id)),
+ j AS (SELECT *, {units.DECISION} AS decision FROM p),
+ u AS (SELECT manual_id, c_page AS page, c_id AS fragment_id, ord, text, decision, sum(CASE WHEN decision = 'first' OR decision LIKE 'rejected%' THEN 1 ELSE 0 END) OVER (PARTITION BY manual_id, c_page ORDER BY ord, c_y0, c_x0, c_id ROWS UNBOUNDED PRECEDING) AS unit FROM j)"""
+_add(
+    "logical_units",
+    lambda s, d: units.logical_units(table(s, d, "fragments")),
+    _DECISIONS
+    + """, g AS (SELECT manual_id, page, unit, list(text ORDER BY ord, fragment_id) AS t, min_by(fragment_id, (ord, fragment_id)) AS first_fragment, max_by(fragment_id, (ord, fragment_id)) AS last_fragment, count(*)::INT AS fragments FROM u GROUP BY ALL)
+ SELECT manual_id, page, first_fragment, last_fragment, fragments, length(list_reduce(list_prepend('', t), lambda s, x: CASE WHEN s = '' OR s LIKE '%-' THEN s || x ELSE s || ' ' || x END))::INT AS chars FROM g""",
+)
+_add("reconstruction_metrics", lambda s, d: units.reconstruction_metrics(table(s, d, "fragments")), _DECISIONS + " SELECT decision, count(*) AS fragments FROM u GROUP BY decision")
+_add(
+    "conservation",
+    lambda s, d: units.conservation(table(s, d, "fragments"), table(s, d, "logical_units")),
+    """WITH h AS (SELECT DISTINCT manual_id, fragment_id FROM fragments), x AS (SELECT manual_id, unnest(source_fragment_ids) AS fragment_id FROM logical_units), u AS (SELECT manual_id, fragment_id, count(*) AS times FROM x GROUP BY ALL)
+    SELECT manual_id, count(*) AS candidates, count(times) AS assigned, count(*) FILTER (WHERE times IS NULL) AS unassigned, coalesce(sum(times - 1), 0)::BIGINT AS duplicates FROM h LEFT JOIN u USING (manual_id, fragment_id) GROUP BY manual_id""",
+)
+_add(
+    "unit_length_stats",
+    lambda s, d: metrics.unit_length_stats(table(s, d, "logical_units")),
+    "SELECT manual_id, count(*) AS units, round(avg(length(text)), 4) AS mean_chars, round(median(length(text)), 4) AS median_chars, max(length(text))::INT AS max_chars FROM logical_units WHERE text IS NOT NULL GROUP BY manual_id",
+)
+_add(
+    "reconstruction_health",
+    lambda s, d: metrics.health(table(s, d, "logical_units")),
+    """WITH p AS (SELECT manual_id, sum(len(source_fragment_ids))::BIGINT AS fragments, count(*) AS units, count(*) FILTER (WHERE len(source_fragment_ids) = 1) AS singles FROM logical_units GROUP BY manual_id),
+    r AS (SELECT *, round(singles / units, 4) AS singleton_rate, round(1 - units / fragments, 4) AS merge_rate FROM p)
+    SELECT manual_id, fragments, units, singleton_rate, merge_rate, CASE WHEN fragments >= 100 AND (merge_rate < 0.2 OR singleton_rate > 0.75) THEN 'MANUAL_REVIEW_REQUIRED' ELSE 'OK' END AS health FROM r""",
+)
+_add(
+    "batch_percentiles",
+    lambda s, d: metrics.batch_percentiles(table(s, d, "segments")),
+    """WITH o AS (SELECT DISTINCT segment_id, lang_out, length(src) AS n FROM segments WHERE src IS NOT NULL) SELECT lang_out, count(*) AS segments, round(quantile_cont(n, 0.5), 4) AS p50, round(quantile_cont(n, 0.9), 4) AS p90, round(quantile_cont(n, 0.99), 4) AS p99, max(n)::INT AS longest FROM o GROUP BY lang_out""",
+)
+
+_STAGES = [("a", None, 10.0), ("b", "a", 4.0), ("c", "a", 3.5), ("d", "b", 1.25), ("e", None, 2.0)]
+_add(
+    "exclusive_time",
+    lambda s, d: metrics.exclusive_time(s.createDataFrame(_STAGES, "id string, parent string, seconds double")),
+    "WITH s(id, parent, seconds) AS (VALUES " + ", ".join(f"('{a}', {_lit(b) if b else 'NULL'}, {c}::DOUBLE)" for a, b, c in _STAGES) + ") SELECT s.id, round(s.seconds - coalesce((SELECT sum(c.seconds) FROM s c WHERE c.parent = s.id), 0), 4) AS exclusive FROM s",
+)
+
+# Flow ---------------------------------------------------------------------------------------------------------
+
+_add(
+    "segment_dedup",
+    lambda s, d: flow.segment_dedup(table(s, d, "segments")),
+    "SELECT segment_id, count(*) AS copies, count(DISTINCT coalesce(src, chr(1))) > 1 AS conflict, length(min(src))::INT AS chars FROM segments GROUP BY segment_id",
+)
+_add(
+    "cache_latest",
+    lambda s, d: flow.latest_cache(table(s, d, "translation_cache")),
+    """SELECT id, translate_engine, versions, length(translation)::INT AS chars FROM (SELECT *, row_number() OVER w AS r, count(*) OVER (PARTITION BY translate_engine, translate_engine_params, original_text) AS versions FROM translation_cache
+    WINDOW w AS (PARTITION BY translate_engine, translate_engine_params, original_text ORDER BY written_at DESC, id DESC)) WHERE r = 1""",
+)
+_add(
+    "lookup_precedence",
+    lambda s, d: flow.lookup_precedence(table(s, d, "segments"), table(s, d, "occurrences"), table(s, d, "translation_cache")),
+    """WITH g AS (SELECT DISTINCT ON (segment_id) segment_id, src, occurrence_id, lang_out FROM segments), o AS (SELECT DISTINCT ON (occurrence_id) occurrence_id, source_text FROM occurrences WHERE status = 'TRANSLATED' AND target_text IS NOT NULL),
+    c AS (SELECT DISTINCT original_text AS src, translate_engine_params ->> '$.lang_out' AS lang_out FROM translation_cache WHERE translation IS NOT NULL)
+    SELECT segment_id, CASE WHEN o.occurrence_id IS NOT NULL AND o.source_text IS NOT DISTINCT FROM g.src THEN 'occurrence' WHEN c.src IS NOT NULL THEN 'cache' ELSE 'miss' END AS found_in FROM g LEFT JOIN o USING (occurrence_id) LEFT JOIN c ON c.src = g.src AND c.lang_out = g.lang_out""",
+)
+_add(
+    "job_fanout",
+    lambda s, d: flow.job_fanout(table(s, d, "segments")),
+    r"""WITH g AS (SELECT DISTINCT ON (segment_id) segment_id, src, lang_out FROM segments WHERE src IS NOT NULL),
+    j AS (SELECT segment_id, CASE WHEN length(src) >= 24 OR len(regexp_split_to_array(trim(src), '\s+')) >= 4 OR (length(src) >= 12 AND regexp_matches(src, '[.!?。！？]$')) THEN sha256(concat_ws(chr(1), src, lang_out)) ELSE segment_id END AS job FROM g) SELECT job, count(*) AS served, min(segment_id) AS first_segment FROM j GROUP BY job""",
+)
+
+
+def two_strike(spark: SparkSession, d: str) -> DataFrame:
+    """Users trusted after two failures in a row, from the event log."""
+    e = table(spark, d, "events").select(F.col("user_id").alias("identity"), F.col("event_id").alias("seq"), F.when(F.col("event_type") == "error", "failure").when(F.col("event_type") == "purchase", "success").otherwise("other").alias("outcome"))
+    return flow.two_strike(e)
+
+
+_add(
+    "two_strike",
+    two_strike,
+    """WITH e AS (SELECT user_id AS identity, event_id AS seq, event_type, lag(event_type) OVER (PARTITION BY user_id ORDER BY event_id) AS before FROM events WHERE event_type IN ('error', 'purchase'))
+    SELECT identity, min(seq) AS trusted_at FROM e WHERE event_type = 'error' AND before = 'error' GROUP BY identity""",
+)
+_add(
+    "adjacent_context",
+    lambda s, d: flow.adjacent_context(table(s, d, "segments")),
+    """WITH g AS (SELECT DISTINCT ON (segment_id) segment_id, manual_id, src, queued_at FROM segments), n AS (SELECT segment_id, lag(src) OVER w AS p, lag(segment_id) OVER w AS pid, lead(src) OVER w AS n, lead(segment_id) OVER w AS nid FROM g WINDOW w AS (PARTITION BY manual_id ORDER BY queued_at, segment_id))
+    SELECT segment_id, CASE WHEN length(p) <= 300 THEN pid WHEN length(n) <= 300 THEN nid END AS context_id FROM n""",
+)
+
+
+def backoff_schedule(spark: SparkSession, d: str) -> DataFrame:
+    """Waits between attempts: doubling from one second, at most a minute."""
+    return spark.range(1, 8).select(F.col("id").alias("attempt"), F.least(F.lit(60.0), F.pow(F.lit(2.0), F.col("id") - 1)).alias("wait"))
+
+
+_add("backoff_schedule", backoff_schedule, "SELECT i AS attempt, least(60.0, power(2.0, i - 1))::DOUBLE AS wait FROM range(1, 8) AS r(i)")
+
+# Geometry -----------------------------------------------------------------------------------------------------
+
+_BOXES = "b AS (SELECT DISTINCT ON (fragment_id) fragment_id, manual_id, page, bbox.x0 AS x0, bbox.y0 AS y0, bbox.x1 AS x1, bbox.y1 AS y1, style, reading_order FROM fragments)"
+_W, _H = "(least(l.x1, r.x1) - greatest(l.x0, r.x0))", "(least(l.y1, r.y1) - greatest(l.y0, r.y0))"
+_SMALL = "least((l.x1 - l.x0) * (l.y1 - l.y0), (r.x1 - r.x0) * (r.y1 - r.y0))"
+_add(
+    "overlap_pairs",
+    lambda s, d: geometry.overlap_pairs(table(s, d, "fragments")),
+    f"WITH {_BOXES} SELECT l.fragment_id AS a, r.fragment_id AS b, round({_W} * {_H} / {_SMALL}, 4) AS ratio FROM b l JOIN b r ON l.manual_id = r.manual_id AND l.page = r.page AND l.fragment_id < r.fragment_id AND {_W} > 0 AND {_H} > 0 AND {_W} * {_H} / {_SMALL} >= 0.1",
+)
+_add("bbox_union", lambda s, d: geometry.bbox_union(table(s, d, "fragments")), f"WITH {_BOXES} SELECT manual_id, page, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1, count(*) AS fragments FROM b GROUP BY manual_id, page")
+_add(
+    "x_clusters",
+    lambda s, d: geometry.x_clusters(table(s, d, "fragments")),
+    f"""WITH {_BOXES}, m AS (SELECT *, max(x1) OVER (PARTITION BY manual_id, page, style ORDER BY x0, y0, fragment_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM b),
+    c AS (SELECT *, sum(CASE WHEN reach IS NULL OR x0 > reach + 6 THEN 1 ELSE 0 END) OVER (PARTITION BY manual_id, page, style ORDER BY x0, y0, fragment_id ROWS UNBOUNDED PRECEDING)::BIGINT AS cluster FROM m)
+    SELECT manual_id, page, style, cluster, min(x0) AS x0, max(x1) AS x1, count(*) AS fragments FROM c GROUP BY manual_id, page, style, cluster""",
+)
+_add(
+    "height_below",
+    lambda s, d: geometry.height_below(table(s, d, "fragments")),
+    f"""WITH {_BOXES}, n AS (SELECT *, lead(x0) OVER w AS nx0, lead(x1) OVER w AS nx1, lead(y0) OVER w AS ny0 FROM b WINDOW w AS (PARTITION BY manual_id, page ORDER BY y0, x0, fragment_id))
+    SELECT fragment_id, CASE WHEN nx0 < x1 AND nx1 > x0 THEN round(ny0 - y1, 4) END AS height FROM n""",
+)
+_add(
+    "neighbour_iou",
+    lambda s, d: geometry.neighbour_iou(table(s, d, "fragments")),
+    f"""WITH {_BOXES}, n AS (SELECT *, lead(x0) OVER w AS nx0, lead(x1) OVER w AS nx1, lead(y0) OVER w AS ny0, lead(y1) OVER w AS ny1 FROM b WINDOW w AS (PARTITION BY manual_id, page ORDER BY reading_order, fragment_id)),
+    i AS (SELECT fragment_id, greatest(0.0, least(x1, nx1) - greatest(x0, nx0)) * greatest(0.0, least(y1, ny1) - greatest(y0, ny0)) AS i, (x1 - x0) * (y1 - y0) + (nx1 - nx0) * (ny1 - ny0) AS t FROM n WHERE nx0 IS NOT NULL) SELECT fragment_id, round(i / (t - i), 4) AS iou FROM i""",
+)
