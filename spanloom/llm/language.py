@@ -103,7 +103,7 @@ def pieces(text: str) -> list[tuple[int, int]]:
     return out
 
 
-_RUN = re.compile(r"[가-힣]{2,}|[ก-๛]{2,}|[ぁ-ヿ]|[一-鿿]{2,}|[A-Za-zÀ-ỹ]{4,}")
+_RUN = re.compile(r"[가-힣]{2,}|[ก-๛]{2,}|[ぁ-ヿ]|[一-鿿]{2,}|[A-Za-zÀ-ỹ]{2,}")
 
 
 _KINDS = [("K", re.compile("[가-힣]")), ("H", re.compile("[一-鿿ぁ-ヿ]")), ("T", re.compile("[ก-๛]"))]
@@ -127,7 +127,7 @@ def _by_script(text: str, a: int, e: int) -> list[tuple[int, int]]:
             runs[-1][2], runs[-1][3] = m.end(), runs[-1][3] + len(m[0])
         else:
             runs.append([s, m.start(), m.end(), len(m[0])])
-    need = {"L": 20, "K": 8, "T": 8, "H": 6}
+    need = {"L": 22, "K": 8, "T": 8, "H": 6}
     strong = [r for r in runs if r[3] >= need[r[0]]]
     marks = []
     for r, n in zip(strong, strong[1:]):

@@ -97,7 +97,7 @@ def sizes(docs: DataFrame, path: str = DEFAULT_VOCABULARY) -> DataFrame:
     """(doc_id, source, tokens) of the documents with a source and tokens; written once, as counting is the costly part."""
     named = docs.select("doc_id", "source", "text").filter("source IS NOT NULL AND text IS NOT NULL")
     counted = spread(named, "doc_id").select("doc_id", "source", count_column(F.col("text"), path).alias("tokens"))
-    return cut_lineage(counted.filter("tokens > 0"))
+    return cut_lineage(counted).filter("tokens > 0")  # filtered afterwards: a filter would move below and count twice
 
 
 def mix(sized: DataFrame, targets: DataFrame) -> DataFrame:
