@@ -43,6 +43,7 @@ from spanloom.sources.tables import spread, table
 LABELLED_DOCS = 8000  # labelled documents the lexicon is fitted on, at most
 LEAST_DOCS = 2  # labelled documents a term must stand in
 PURITY = 0.72
+WITHIN = 0.8  # share of a term's documents in which a longer one stands
 SHARE = 0.25  # of a document's sentences
 STRENGTH = 0.8  # score a sentence needs to deal with a subject
 
@@ -92,7 +93,21 @@ def learn(docs: list[tuple[str, str]], subjects: list[str]) -> dict[str, tuple[i
         purity = (n * scale[best]) / (total + 0.5)
         if purity >= PURITY * (1 - 0.5 / n):
             out[t] = (best, round(min(2.5, math.log(purity / (1.02 - purity))) * (1 - 1 / (n + 1)), 3))
-    return out
+    def halves(t: str) -> list[str]:
+        return t.split(" ") if " " in t else [t[:2], t[1:]] if len(t) == 3 and "一" <= t[0] <= "鿿" else []
+
+    def pure(t: str, subject: int) -> bool:
+        return t in out and out[t][0] == subject
+
+    # A longer term with a general half adds nothing to its other half: "sheet is".
+    general = {t for t, (best, _) in out.items() if (h := halves(t)) and sum(pure(w, best) for w in h) == 1}
+    out = {t: v for t, v in out.items() if t not in general}
+    # A term that nearly always stands within one longer term is known only as its part: "sheet" of "balance sheet".
+    parts = set()
+    for t, (best, _) in out.items():
+        if (h := halves(t)) and all(pure(w, best) for w in h):
+            parts.update(w for w in h if seen[t][best] >= WITHIN * seen[w][best])
+    return {t: v for t, v in out.items() if t not in parts}
 
 
 def sentence_subject(text: str, lexicon: dict[str, tuple[int, float]], count: int) -> int:
