@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from spanloom.functions.scripts import SCRIPTS, profile
 from spanloom.functions.tokens import PATTERNS, bag_minus, tokens
-from spanloom.operators import flow, geometry, ledger, metrics, rules, units
+from spanloom.operators import flow, geometry, layout, ledger, metrics, rules, units
 from spanloom.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -401,3 +401,264 @@ _add(
     f"""WITH {_BOXES}, n AS (SELECT *, lead(x0) OVER w AS nx0, lead(x1) OVER w AS nx1, lead(y0) OVER w AS ny0, lead(y1) OVER w AS ny1 FROM b WINDOW w AS (PARTITION BY manual_id, page ORDER BY reading_order, fragment_id)),
     i AS (SELECT fragment_id, greatest(0.0, least(x1, nx1) - greatest(x0, nx0)) * greatest(0.0, least(y1, ny1) - greatest(y0, ny0)) AS i, (x1 - x0) * (y1 - y0) + (nx1 - nx0) * (ny1 - ny0) AS t FROM n WHERE nx0 IS NOT NULL) SELECT fragment_id, round(i / (t - i), 4) AS iou FROM i""",
 )
+
+# Layout and ordering ------------------------------------------------------------------------------------------
+
+_add(
+    "layout_warnings",
+    lambda s, d: layout.warnings(table(s, d, "fragments")),
+    f"""WITH b AS (SELECT DISTINCT ON (fragment_id) fragment_id, manual_id, page, text, font_size, round(bbox.x0, 0) AS x0, round(bbox.y0, 0) AS y0 FROM fragments WHERE text IS NOT NULL),
+    t AS (SELECT manual_id, page, 'duplicate_local_render' AS kind, x0, y0 FROM b GROUP BY manual_id, page, text, x0, y0 HAVING count(*) > 1),
+    m AS (SELECT manual_id, page, median(font_size) AS m FROM b WHERE font_size IS NOT NULL GROUP BY ALL), s AS (SELECT manual_id, page, 'suspicious_micro_font' AS kind, x0, y0 FROM b JOIN m USING (manual_id, page) WHERE font_size < {layout.MICRO} * m)
+    SELECT manual_id, page, kind, x0, y0, count(*) AS n FROM (SELECT * FROM t UNION ALL SELECT * FROM s) GROUP BY ALL""",
+)
+_add(
+    "geometry_kind",
+    lambda s, d: layout.geometry_kinds(table(s, d, "fragments")),
+    f"""WITH {_BOXES}, p AS (SELECT x0 AS c_x0, y0 AS c_y0, x1 AS c_x1, y1 AS c_y1, lag(x0) OVER w AS p_x0, lag(y0) OVER w AS p_y0, lag(x1) OVER w AS p_x1, lag(y1) OVER w AS p_y1 FROM b WINDOW w AS (PARTITION BY manual_id, page ORDER BY reading_order, y0, x0, fragment_id))
+    SELECT coalesce({units.KIND}, 'none') AS kind, count(*) AS pairs FROM p WHERE p_x0 IS NOT NULL GROUP BY 1""",
+)
+_add(
+    "smallest_parent",
+    lambda s, d: layout.smallest_parent(table(s, d, "fragments")),
+    """WITH b AS (SELECT DISTINCT ON (fragment_id) fragment_id, manual_id, page, region_id, bbox.x0 AS x0, bbox.y0 AS y0, bbox.x1 AS x1, bbox.y1 AS y1 FROM fragments),
+    r AS (SELECT manual_id, page, region_id, min(x0) AS rx0, min(y0) AS ry0, max(x1) AS rx1, max(y1) AS ry1 FROM b WHERE region_id IS NOT NULL GROUP BY ALL),
+    c AS (SELECT fragment_id, r.region_id AS parent, (rx1 - rx0) * (ry1 - ry0) AS a FROM b JOIN r USING (manual_id, page) WHERE x0 >= rx0 AND x1 <= rx1 AND y0 >= ry0 AND y1 <= ry1)
+    SELECT fragment_id, parent, round(a, 2) AS area FROM (SELECT *, row_number() OVER (PARTITION BY fragment_id ORDER BY a, parent) AS k FROM c) WHERE k = 1""",
+)
+_add("right_limits", lambda s, d: layout.right_limits(table(s, d, "fragments")), f"WITH {_BOXES} SELECT l.fragment_id, min(r.x0) AS \"limit\" FROM b l JOIN b r ON l.manual_id = r.manual_id AND l.page = r.page AND l.fragment_id <> r.fragment_id AND r.x0 >= l.x1 - 3 AND {_H} > 0 GROUP BY 1")
+_add("line_offsets", lambda s, d: layout.line_offsets(table(s, d, "fragments")), f"WITH {_BOXES} SELECT fragment_id, round(coalesce(sum(y1 - y0) OVER (PARTITION BY manual_id, page ORDER BY reading_order, fragment_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0), 4) AS \"offset\" FROM b")
+_add(
+    "excess_rows",
+    lambda s, d: layout.excess_rows(table(s, d, "fragments"), table(s, d, "logical_units")),
+    """WITH b AS (SELECT DISTINCT ON (fragment_id) fragment_id, manual_id, page, text, reading_order FROM fragments WHERE text IS NOT NULL), a AS (SELECT manual_id, page, text, count(*) AS n FROM logical_units GROUP BY ALL),
+    k AS (SELECT *, row_number() OVER (PARTITION BY manual_id, page, text ORDER BY reading_order, fragment_id) AS k FROM b) SELECT fragment_id, k - n AS excess FROM k JOIN a USING (manual_id, page, text) WHERE k > n""",
+)
+_add(
+    "greedy_batches",
+    lambda s, d: layout.greedy_batches(table(s, d, "segments")),
+    """WITH RECURSIVE o AS (SELECT DISTINCT ON (segment_id) segment_id, manual_id, queued_at, coalesce(length(src), 0) AS n FROM segments), x AS (SELECT *, row_number() OVER (PARTITION BY manual_id ORDER BY queued_at, segment_id) AS i FROM o WHERE n <= 12000),
+    f AS (SELECT segment_id, manual_id, i, n, 0::BIGINT AS batch, 1 AS items, n AS chars FROM x WHERE i = 1 UNION ALL
+    SELECT x.segment_id, x.manual_id, x.i, x.n, CASE WHEN f.items >= 30 OR f.chars + x.n > 12000 THEN f.batch + 1 ELSE f.batch END, CASE WHEN f.items >= 30 OR f.chars + x.n > 12000 THEN 1 ELSE f.items + 1 END, CASE WHEN f.items >= 30 OR f.chars + x.n > 12000 THEN x.n ELSE f.chars + x.n END FROM f JOIN x ON x.manual_id = f.manual_id AND x.i = f.i + 1)
+    SELECT segment_id, batch FROM f UNION ALL SELECT segment_id, -1 FROM o WHERE n > 12000""",
+)
+
+
+def geometry_match(spark: SparkSession, d: str) -> DataFrame:
+    """Pages whose fragments and units cover the same box within a hundredth."""
+    a = geometry.bbox_union(table(spark, d, "fragments")).drop("fragments")
+    u = table(spark, d, "logical_units").groupBy("manual_id", "page").agg(*[f(f"bbox.{c}").alias(f"u{c}") for f, c in ((F.min, "x0"), (F.min, "y0"), (F.max, "x1"), (F.max, "y1"))])
+    same = F.lit(True)
+    for c in ("x0", "y0", "x1", "y1"):
+        same = same & (F.abs(F.col(c) - F.col(f"u{c}")) <= 0.01)
+    return a.join(u, ["manual_id", "page"], "full_outer").select("manual_id", "page", F.coalesce(same, F.lit(False)).alias("same"))
+
+
+_add(
+    "geometry_match",
+    geometry_match,
+    f"""WITH {_BOXES}, a AS (SELECT manual_id, page, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1 FROM b GROUP BY ALL), u AS (SELECT manual_id, page, min(bbox.x0) AS ux0, min(bbox.y0) AS uy0, max(bbox.x1) AS ux1, max(bbox.y1) AS uy1 FROM logical_units GROUP BY ALL)
+    SELECT manual_id, page, coalesce(abs(x0 - ux0) <= 0.01 AND abs(y0 - uy0) <= 0.01 AND abs(x1 - ux1) <= 0.01 AND abs(y1 - uy1) <= 0.01, false) AS same FROM a FULL JOIN u USING (manual_id, page)""",
+)
+
+# Texts --------------------------------------------------------------------------------------------------------
+
+_GLOSSARY = [("relay", "rơ le"), ("fuse", "cầu chì"), ("contract", "hợp đồng"), ("patient", "bệnh nhân"), ("backup", "bản sao lưu"), ("tractor", "máy kéo"), ("referee", "trọng tài"), ("invoice", "hóa đơn")]
+
+
+def terminology_missing(spark: SparkSession, d: str) -> DataFrame:
+    """Translations from English that lack the agreed word for a term of the source; the glossary is a literal."""
+    o = table(spark, d, "occurrences").filter("status = 'TRANSLATED' AND lang_in = 'en' AND lang_out = 'vi' AND target_text IS NOT NULL").select("occurrence_id", "source_text", "target_text").dropDuplicates(["occurrence_id"])
+    terms = F.array(*[F.struct(F.lit(a).alias("term"), F.lit(f"(^|[^a-z0-9_]){a}([^a-z0-9_]|$)").alias("p"), F.lit(b).alias("want")) for a, b in _GLOSSARY])
+    rows = o.withColumn("g", F.explode(terms)).filter(F.expr("lower(source_text) RLIKE g.p") & ~F.contains(F.lower("target_text"), F.col("g.want")))
+    return rows.select("occurrence_id", "g.term")
+
+
+_add(
+    "terminology_missing",
+    terminology_missing,
+    "WITH o AS (SELECT DISTINCT occurrence_id, source_text, target_text FROM occurrences WHERE status = 'TRANSLATED' AND lang_in = 'en' AND lang_out = 'vi' AND target_text IS NOT NULL), g(term, want) AS (VALUES "
+    + ", ".join(f"({_lit(a)}, {_lit(b)})" for a, b in _GLOSSARY)
+    + ") SELECT occurrence_id, term FROM o, g WHERE regexp_matches(lower(source_text), '(^|[^a-z0-9_])' || term || '([^a-z0-9_]|$)') AND NOT contains(lower(target_text), want)",
+)
+
+
+def sentence_runs(spark: SparkSession, d: str) -> DataFrame:
+    """Sentences of four words or more that stand twice in a row, per target."""
+    o = table(spark, d, "occurrences").filter("target_text IS NOT NULL").select("occurrence_id", "target_text").dropDuplicates(["occurrence_id"])
+    s = F.transform(F.split("target_text", r"[.!?]+[ \n]+"), lambda x: F.lower(F.regexp_replace(x, r"[.!?]+$", "")))
+    pairs = F.transform(F.slice(s, 2, 1_000_000), lambda x, i: (x == F.element_at(s, i + 1)) & (F.size(F.split(x, " ")) >= 4))
+    return o.select("occurrence_id", F.when(F.size(s) > 1, F.size(F.filter(pairs, lambda b: b))).otherwise(0).alias("repeats")).filter("repeats > 0")
+
+
+_add(
+    "sentence_runs",
+    sentence_runs,
+    r"""WITH o AS (SELECT DISTINCT occurrence_id, target_text FROM occurrences WHERE target_text IS NOT NULL), s AS (SELECT occurrence_id, unnest(regexp_split_to_array(target_text, '[.!?]+[ \n]+')) AS s, generate_subscripts(regexp_split_to_array(target_text, '[.!?]+[ \n]+'), 1) AS i FROM o),
+    n AS (SELECT occurrence_id, lower(regexp_replace(s, '[.!?]+$', '')) AS s, i FROM s), l AS (SELECT *, lag(s) OVER (PARTITION BY occurrence_id ORDER BY i) AS p FROM n) SELECT occurrence_id, count(*)::INT AS repeats FROM l WHERE s = p AND len(string_split(s, ' ')) >= 4 GROUP BY occurrence_id""",
+)
+
+_MARKERS = ["confidential", "internal use", "do not change", "never touch"]
+
+
+def marker_scan(spark: SparkSession, d: str) -> DataFrame:
+    """Markers that a document holds, in the declared order."""
+    docs = table(spark, d, "documents").select("doc_id", F.lower("text").alias("t"))
+    found = F.array_compact(F.array(*[F.when(F.contains("t", F.lit(m)), F.lit(m)) for m in _MARKERS]))
+    return docs.select("doc_id", F.array_join(found, ",").alias("markers")).filter("markers <> ''")
+
+
+_add("marker_scan", marker_scan, "SELECT doc_id, m AS markers FROM (SELECT doc_id, concat_ws(',', " + ", ".join(f"CASE WHEN contains(lower(text), {_lit(m)}) THEN {_lit(m)} END" for m in _MARKERS) + ") AS m FROM documents) WHERE m <> ''")
+
+
+def cjk_residual(spark: SparkSession, d: str) -> DataFrame:
+    """East Asian script left in Vietnamese targets, by class."""
+    o = table(spark, d, "occurrences").filter("lang_out = 'vi' AND target_text IS NOT NULL").select("occurrence_id", "target_text").dropDuplicates(["occurrence_id"])
+    t = F.col("target_text")
+    n = sum(F.when(t.rlike(SCRIPTS[s]), 1).otherwise(0) for s in ("hangul", "han", "kana"))
+    kind = F.when(n > 1, "mixed").when(t.rlike(SCRIPTS["hangul"]), "hangul").when(t.rlike(SCRIPTS["han"]), "han").when(t.rlike(SCRIPTS["kana"]), "kana").otherwise("none")
+    return o.groupBy(kind.alias("class")).agg(F.count("*").alias("occurrences"))
+
+
+_HAS = lambda s: f"regexp_matches(target_text, {_lit(SCRIPTS[s])})"
+_add(
+    "cjk_residual",
+    cjk_residual,
+    f"""SELECT CASE WHEN {_HAS("hangul")}::INT + {_HAS("han")}::INT + {_HAS("kana")}::INT > 1 THEN 'mixed' WHEN {_HAS("hangul")} THEN 'hangul' WHEN {_HAS("han")} THEN 'han' WHEN {_HAS("kana")} THEN 'kana' ELSE 'none' END AS class, count(*) AS occurrences
+    FROM (SELECT DISTINCT occurrence_id, target_text FROM occurrences WHERE lang_out = 'vi' AND target_text IS NOT NULL) GROUP BY 1""",
+)
+
+
+def safe_dedup_key(spark: SparkSession, d: str) -> DataFrame:
+    """Segments whose translation may be shared with equal texts."""
+    once = table(spark, d, "segments").select("segment_id", "src").dropDuplicates(["segment_id"])
+    return once.select("segment_id", flow.safe_to_share(F.col("src")).alias("safe"))
+
+
+_add("safe_dedup_key", safe_dedup_key, r"SELECT DISTINCT segment_id, coalesce(length(src) >= 24 OR len(regexp_split_to_array(trim(src), '\s+')) >= 4 OR (length(src) >= 12 AND regexp_matches(src, '[.!?。！？]$')), false) AS safe FROM segments")
+
+
+def length_explosion(spark: SparkSession, d: str) -> DataFrame:
+    o = table(spark, d, "occurrences").select("occurrence_id", F.length("source_text").alias("s"), F.length("target_text").alias("t")).dropDuplicates(["occurrence_id"])
+    return o.filter("s > 20 AND t > 3 * s").select("occurrence_id", F.round(F.col("t") / F.col("s"), 3).alias("ratio"))
+
+
+_add("length_explosion", length_explosion, "SELECT DISTINCT occurrence_id, round(length(target_text) / length(source_text), 3) AS ratio FROM occurrences WHERE length(source_text) > 20 AND length(target_text) > 3 * length(source_text)")
+
+
+def validation_reason(spark: SparkSession, d: str) -> DataFrame:
+    """First failure of each pair, counted."""
+    return integrity_codes(spark, d).groupBy(F.split("codes", ",")[0].alias("reason")).agg(F.count("*").alias("occurrences"))
+
+
+_add("validation_reason", validation_reason, f"SELECT split_part(codes, ',', 1) AS reason, count(*) AS occurrences FROM ({_SQL['integrity_codes']}) GROUP BY 1")
+
+_DIGEST = [("numbers and codes", ["technical_invariant"]), ("left as it was", ["unchanged_prose", "unapproved_preserve"]), ("broken text", ["repeated_token_corruption", "unexpected_script", "length_explosion"])]
+
+
+def failure_digest(spark: SparkSession, d: str) -> DataFrame:
+    """Recorded failures folded into what a reader is told."""
+    f = table(spark, d, "occurrences").select("occurrence_id", F.explode("validation_failures").alias("f")).distinct()
+    said = None
+    for name, codes in _DIGEST:
+        said = F.when(F.col("f").isin(codes), name) if said is None else said.when(F.col("f").isin(codes), name)
+    return f.groupBy(said.otherwise("engine").alias("category")).agg(F.count("*").alias("failures"))
+
+
+_add(
+    "failure_digest",
+    failure_digest,
+    "SELECT CASE " + " ".join(f"WHEN f IN ({', '.join(map(_lit, codes))}) THEN {_lit(n)}" for n, codes in _DIGEST) + " ELSE 'engine' END AS category, count(*) AS failures FROM (SELECT DISTINCT occurrence_id, f FROM (SELECT occurrence_id, unnest(validation_failures) AS f FROM occurrences)) GROUP BY 1",
+)
+
+
+def span_ids(spark: SparkSession, d: str) -> DataFrame:
+    """Bit-exact identity of a source span: hash of page, index and text, separated by NUL."""
+    f = table(spark, d, "fragments").filter("text IS NOT NULL").select("fragment_id", "page", "reading_order", "text").dropDuplicates(["fragment_id"])
+    key = F.concat(F.lit("page="), "page", F.lit("\x00index="), "reading_order", F.lit("\x00"), "text")
+    return f.select("fragment_id", F.concat(F.lit("span-"), F.substring(F.sha2(key, 256), 1, 20)).alias("span_id"))
+
+
+_add("span_ids", span_ids, "SELECT DISTINCT fragment_id, 'span-' || substr(sha256('page=' || page || chr(0) || 'index=' || reading_order || chr(0) || text), 1, 20) AS span_id FROM fragments WHERE text IS NOT NULL")
+
+
+def math_filter(spark: SparkSession, d: str) -> DataFrame:
+    """Table cells that are figures, operators and units alone."""
+    f = table(spark, d, "fragments").filter("structural_role = 'table_cell' AND text IS NOT NULL").select("fragment_id", "text").dropDuplicates(["fragment_id"])
+    return f.select("fragment_id", F.col("text").rlike(_MATH).alias("math"))
+
+
+_MATH = r"^[0-9.,+*/=<>%()~ °²³±×-]*[0-9][0-9.,+*/=<>%()~ °²³±×-]*(?:mm²|mm|MPa|kW|kΩ|kg|mA|ms|µm|°C|Hz|V)?$"
+_add("math_filter", math_filter, f"SELECT DISTINCT fragment_id, regexp_matches(text, {_lit(_MATH)}) AS math FROM fragments WHERE structural_role = 'table_cell' AND text IS NOT NULL")
+
+
+def number_abbreviation(spark: SparkSession, d: str) -> DataFrame:
+    """Documents in which "no." before a figure is spelled with a capital."""
+    docs = table(spark, d, "documents").filter("text IS NOT NULL")
+    return docs.select("doc_id", F.md5(F.regexp_replace("text", r"(^|[ (])no\.( ?[0-9])", "$1No.$2")).alias("digest"))
+
+
+_add("norm_number_abbrev", number_abbreviation, r"SELECT doc_id, md5(regexp_replace(text, '(^|[ (])no\.( ?[0-9])', '\1No.\2', 'g')) AS digest FROM documents WHERE text IS NOT NULL")
+
+_SPANS = [("a", 0, 5), ("a", 3, 9), ("a", 5, 7), ("a", 5, 9), ("a", 12, 13), ("b", 2, 4), ("b", 2, 8), ("b", 8, 9)]
+
+
+def span_select(spark: SparkSession, d: str) -> DataFrame:
+    """Leftmost-longest spans that do not overlap: an ordered fold over the sorted spans of a text."""
+    rows = spark.createDataFrame(_SPANS, "k string, s int, e int").groupBy("k").agg(F.array_sort(F.collect_list(F.struct(F.col("s"), (-F.col("e")).alias("n")))).alias("x"))
+    start = F.array().cast("array<struct<s:int,n:int>>")
+    kept = F.aggregate("x", start, lambda acc, v: F.when((F.size(acc) == 0) | (v["s"] >= -F.element_at(acc, -1)["n"]), F.concat(acc, F.array(v))).otherwise(acc))
+    return rows.select("k", F.explode(kept).alias("v")).select("k", "v.s", (-F.col("v.n")).alias("e"))
+
+
+_add("span_select", span_select, "SELECT * FROM (VALUES ('a', 0, 5), ('a', 5, 9), ('a', 12, 13), ('b', 2, 8), ('b', 8, 9)) AS v(k, s, e)")
+
+_PAGES = {
+    "toc": "Contents\nSafety ........ 1\nSetup ........ 4\nUse ........ 9\nCare ........ 12",
+    "index": "\n".join(f"term{i}, {i}" for i in range(24)),
+    "references": "References\n[1] A. Author, Title, 2001.\n[2] B. Author, Title, 2002.",
+    "prose": "Check the relay.\nThe fuse must be replaced.",
+}
+
+
+def page_class(spark: SparkSession, d: str) -> DataFrame:
+    """Kind of a page by flags of its lines: contents, index, references, or none."""
+    pages = spark.createDataFrame(list(_PAGES.items()), "page string, text string")
+    lines = pages.select("page", F.posexplode(F.split("text", "\n")).alias("i", "raw")).select("page", "i", F.trim("raw").alias("l")).filter("l <> ''")
+    flag = lambda p: F.sum(F.when(F.col("l").rlike(p), 1).otherwise(0))
+    per = lines.groupBy("page").agg(F.count("*").alias("n"), flag(r"[.]{4,} *[0-9]+$").alias("leader"), flag(r", [0-9]+$").alias("entry"), flag(r"^\[[0-9]+\] ").alias("cited"), F.min_by(F.lower("l"), "i").alias("first"))
+    kind = F.when(3 * F.col("leader") + F.when(F.col("first").isin("contents", "table of contents"), 5).otherwise(0) >= 8, "TOC").when(((F.col("n") >= 20) & (F.col("entry") > 0.4 * F.col("n"))) | (F.col("first") == "index"), "INDEX")
+    return per.select("page", kind.when((F.col("first") == "references") | (F.col("cited") >= 5), "REFERENCES").alias("kind"))
+
+
+_add(
+    "page_class",
+    page_class,
+    "WITH p(page, text) AS (VALUES "
+    + ", ".join(f"({_lit(k)}, {_lit(v)})" for k, v in _PAGES.items())
+    + r"""), l AS (SELECT page, trim(unnest(string_split(text, chr(10)))) AS l, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM p),
+    g AS (SELECT page, count(*) AS n, count(*) FILTER (WHERE regexp_matches(l, '[.]{4,} *[0-9]+$')) AS leader, count(*) FILTER (WHERE regexp_matches(l, ', [0-9]+$')) AS entry, count(*) FILTER (WHERE regexp_matches(l, '^\[[0-9]+\] ')) AS cited, min_by(lower(l), i) AS first FROM l WHERE l <> '' GROUP BY page)
+    SELECT page, CASE WHEN 3 * leader + CASE WHEN first IN ('contents', 'table of contents') THEN 5 ELSE 0 END >= 8 THEN 'TOC' WHEN (n >= 20 AND entry > 0.4 * n) OR first = 'index' THEN 'INDEX' WHEN first = 'references' OR cited >= 5 THEN 'REFERENCES' END AS kind FROM g""",
+)
+
+# Literal texts that hold every token category, as the tables hold few of them.
+_TOKEN_TEXTS = [
+    "Set {{x}} and {v0} to %s, ${y}.", "Keep <b0></b0> and <x/>", "See https://example.org/a?b=1. Then go on.", "Open C:\\temp\\cfg.ini now", "In /etc/app/cfg.ini or cfg17.v2.ini.", "Page No. 3, Sec. 4.2, Fig. 12",
+    "at 192.0.2.27, TCP/502 and UDP/69", "D100, AL.52, 0x2005, KM-757", "ISO 10218-1 and IEC 60204", "Rev.B, v1.2.3", "0.5, 1,234.50 and 10~20 or 3 – 4", "2350mm, 0.5 MPa, 12 kΩ", "Servo ON then OFF", "MOV D100 D200", "",
+]
+
+
+def token_fixture(spark: SparkSession, d: str) -> DataFrame:
+    """Every extractor on literal texts."""
+    rows = spark.createDataFrame([(t,) for t in _TOKEN_TEXTS], "text string")
+    per = F.array(*[F.struct(F.lit(n).alias("category"), tokens(n, F.col("text")).alias("t")) for n in PATTERNS])
+    return rows.withColumn("c", F.explode(per)).select("c.category", "text", F.array_join("c.t", "|").alias("tokens")).filter("tokens <> ''")
+
+
+_add(
+    "token_fixture",
+    token_fixture,
+    "WITH x(text) AS (VALUES " + ", ".join(f"({_lit(t)})" for t in _TOKEN_TEXTS) + ") SELECT category, text, t AS tokens FROM ("
+    + " UNION ALL ".join(f"SELECT {_lit(n)} AS category, text, array_to_string(regexp_extract_all(text, {_lit(p)}), '|') AS t FROM x" for n, p in PATTERNS.items())
+    + ") WHERE t <> ''",
+)
