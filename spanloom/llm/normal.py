@@ -22,7 +22,7 @@ import unicodedata
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Default-ignorable code points of the Unicode Character Database, as ranges.
@@ -133,17 +133,18 @@ def look_alike_pairs(records: DataFrame, scope: list[str]) -> DataFrame:
     null scope value pair with nothing. Repeated ids add nothing.
 
     Plan: texts are first reduced to the distinct ones of a scope (combined
-    before the shuffle, so a hot text is one row), grouped by canonical form;
-    only forms with several spellings go on, and their spellings are joined
-    back to the records. No group is gathered in one value, and copies are
+    before the shuffle, so a hot text is one row), windowed by canonical form
+    and look; only looks with several spellings go on, and their spellings are
+    joined back to the records. No group is gathered in one value, and copies are
     expanded only into the pairs asked for.
     """
     rows = records.select("id", "text", *scope).dropna()
     spelled = rows.select("text", *scope).distinct().withColumn("f", forms_column(F.col("text")))
     spelled = spelled.select("text", *scope, F.col("f.form").alias("form"), F.col("f.look").alias("look"))
     h = F.xxhash64("text")
-    several = spelled.groupBy(*scope, "form", "look").agg(F.min(h).alias("lo"), F.max(h).alias("hi")).filter("lo <> hi")
-    variants = spelled.join(several.drop("lo", "hi"), [*scope, "form", "look"], "left_semi")
+    # The spellings of one look are few distinct texts, so a window over them holds little, whatever the rows.
+    same = Window.partitionBy(*scope, "form", "look")
+    variants = spelled.withColumns({"lo": F.min(h).over(same), "hi": F.max(h).over(same)}).filter("lo <> hi").select("text", *scope, "look")
     members = rows.join(variants, ["text", *scope]).dropDuplicates(["id"])
     a = members.select(F.col("id").alias("first_id"), F.col("text").alias("a"), "look", *scope)
     b = members.select(F.col("id").alias("second_id"), F.col("text").alias("b"), "look", *scope)
