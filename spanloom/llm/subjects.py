@@ -216,7 +216,7 @@ def document_subjects(spark: SparkSession, folder: str) -> DataFrame:
         return lift.select(key, "subject", F.when(F.col("lift") >= high, 1).when(F.col("lift") <= low, -1).otherwise(0).alias(vote))
 
     voted = counted.join(neighbours("manual_id", "address", 2.0, 0.4), ["manual_id", "subject"], "left")
-    voted = voted.join(F.broadcast(neighbours("source", "origin", 1.3, 0.7)), ["source", "subject"], "left")  # at most subjects x listed sources
+    voted = voted.join(neighbours("source", "origin", 1.3, 0.7), ["source", "subject"], "left")
     lex_vote = F.when(F.col("share") >= SHARE, 1).otherwise(-1)
     voted = voted.select("doc_id", "subject", "share", lex_vote.alias("lexicon"), "section", F.coalesce("address", F.lit(0)).alias("address"), F.coalesce("origin", F.lit(0)).alias("origin"))
     functions = ["lexicon", "section", "address", "origin"]
