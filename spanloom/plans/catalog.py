@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from spanloom.functions.scripts import SCRIPTS, profile
 from spanloom.functions.tokens import PATTERNS, bag_minus, tokens
-from spanloom.operators import flow, geometry, layout, ledger, metrics, rules, units
-from spanloom.sources.tables import table
+from spanloom.operators import flow, geometry, layout, ledger, metrics, rules, texts, units
+from spanloom.sources.tables import table, union_records
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -662,3 +662,54 @@ _add(
     + " UNION ALL ".join(f"SELECT {_lit(n)} AS category, text, array_to_string(regexp_extract_all(text, {_lit(p)}), '|') AS t FROM x" for n, p in PATTERNS.items())
     + ") WHERE t <> ''",
 )
+
+# Whole tables of texts -----------------------------------------------------------------------------------------
+# tag_balance, placeholder_roundtrip, span_select, page_class and token_fixture above are cases on literals; these judge the tables.
+
+_TEXTS = [("documents", "doc_id", ("text",)), ("logical_units", "logical_unit_id", ("text",)), ("segments", "segment_id", ("src",)), ("fragments", "fragment_id", ("text",)), ("occurrences", "occurrence_id", ("source_text", "target_text")), ("translation_cache", "id", ("original_text", "translation"))]
+_ALL_TEXTS = " UNION ALL ".join(f"SELECT '{t}' AS tbl, '{c}' AS field, {k}::VARCHAR AS record_id, {c} AS text FROM {t}" for t, k, columns in _TEXTS for c in columns)
+
+
+def _all_texts(spark: SparkSession, d: str) -> DataFrame:
+    """(tbl, field, record_id, text) of every text column; a table with two is read once."""
+    out = None
+    for name, key, columns in _TEXTS:
+        each = F.explode(F.array(*[F.struct(F.lit(c).alias("field"), F.col(c).alias("text")) for c in columns])).alias("f")
+        one = table(spark, d, name).select(F.lit(name).alias("tbl"), F.col(key).cast("string").alias("record_id"), each).select("tbl", "f.field", "record_id", "f.text")
+        out = one if out is None else out.unionAll(one)
+    return out
+
+
+_add(
+    "tag_nesting",
+    lambda s, d: texts.tag_nesting(_all_texts(s, d)),
+    f"""WITH x AS (SELECT tbl, field, record_id, regexp_extract_all(text, {_lit(texts.TAG)}) AS t FROM ({_ALL_TEXTS}) WHERE regexp_matches(text, {_lit(texts.TAG)})),
+    n AS (SELECT *, list_transform(t, lambda x: CASE WHEN x LIKE '%/>' THEN '' WHEN x LIKE '</%' THEN '/' ELSE '+' END || CASE WHEN x LIKE '%/>' THEN '' ELSE lower(regexp_extract(x, {_lit(texts.TAG_NAME)}, 1)) END) AS steps FROM x)
+    SELECT DISTINCT tbl, field, record_id, len(t)::INT AS tags, list_reduce(list_prepend('', steps), lambda s, x: CASE WHEN x = '' THEN s WHEN x LIKE '+%' THEN s || '<' || substr(x, 2) WHEN ends_with(s, '<' || substr(x, 2)) THEN left(s, length(s) - length(x)) ELSE s || '<!' END) = '' AS balanced FROM n""",
+)
+_add(
+    "formula_markers",
+    lambda s, d: texts.formula_markers(_all_texts(s, d)),
+    rf"""WITH x AS (SELECT tbl, field, record_id, text, regexp_extract_all(text, {_lit(texts.MARKER)}) AS m FROM ({_ALL_TEXTS}) WHERE regexp_matches(text, {_lit(texts.MARKER)}) OR regexp_matches(text, {_lit(texts.MASKED)})),
+    k AS (SELECT *, list_transform(m, lambda x: regexp_replace(regexp_replace(x, '[^0-9]', '', 'g'), '^0+([0-9])', '')) AS k FROM x)
+    SELECT DISTINCT tbl, field, record_id, array_to_string(list_transform(k, lambda x: '<b' || x || '></b' || x || '>'), '') AS masked, m = list_transform(k, lambda x: '{{v' || x || '}}') AND NOT regexp_matches(text, {_lit(texts.MASKED)}) AS same FROM k""",
+)
+
+
+def token_spans(spark: SparkSession, d: str) -> DataFrame:
+    """Spans of the tokens of all categories in every source text, leftmost-longest; no SQL, tested against brute force."""
+    return texts.token_spans(union_records([(table(spark, d, t), t, k, c[0]) for t, k, c in _TEXTS[:4]]))
+
+
+_add("token_spans", token_spans)
+
+_LINE_FLAGS = ", ".join(f"regexp_matches(l, {_lit(p)})" + (f" AND k <= {most}" if most else "") + f" AS {n}" for n, (p, most) in texts.FLAGS.items())
+_add(
+    "page_kinds",
+    lambda s, d: texts.page_kinds(table(s, d, "fragments")),
+    f"""WITH b AS (SELECT DISTINCT ON (fragment_id) fragment_id, manual_id, page, reading_order, bbox.y0 AS y0, bbox.x0 AS x0, regexp_split_to_array(coalesce(text, ''), {_lit(texts.LINE_END)}) AS t FROM fragments),
+    r AS (SELECT *, unnest(t) AS raw, generate_subscripts(t, 1) AS i FROM b), c AS (SELECT *, nullif(regexp_replace(raw, {_lit(texts.EDGES)}, '', 'g'), '') AS l FROM r),
+    p AS (SELECT manual_id, page, l, row_number() OVER w AS k, lead(l) OVER w AS after FROM c WINDOW w AS (PARTITION BY manual_id, page, l IS NULL ORDER BY reading_order, y0, x0, fragment_id, i)),
+    f AS (SELECT *, {_LINE_FLAGS} FROM p), g AS (SELECT manual_id, page, count(l) AS n, {", ".join(f"count(*) FILTER (WHERE {c}) AS {n}" for n, c in texts.COUNTS.items())} FROM f GROUP BY manual_id, page)
+    SELECT manual_id, page, n AS lines, {texts.KIND} AS kind FROM g""",
+)

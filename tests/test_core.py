@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from spanloom.functions.tokens import PATTERNS, bag_minus, tokens
-from spanloom.operators import flow, geometry, ledger, metrics, rules, units
+from spanloom.operators import flow, geometry, ledger, metrics, rules, texts, units
 from spanloom.plans import catalog
 from spanloom.sources import interchange
 
@@ -189,3 +189,54 @@ def test_query_equals_sql(spark, duck, data, name):
     want = duck.execute(catalog.oracle_sql()[name]).df()
     assert sorted(got.columns) == sorted(want.columns)
     assert _rows(got) == _rows(want)
+
+
+TEXTS = "tbl string, field string, record_id string, text string"
+
+
+def test_tag_nesting_of_a_table(spark):
+    cases = {"Keep <b0></b0>": True, '<a href="x"><s1>NOT</s1></A> now': True, "<a><b></a></b>": False, "<x/> alone": True, "open <s2>": False, "</s3>": False, "<q:r-s>": False}
+    rows = [("t", "f", str(i), t) for i, t in enumerate(cases)] + [("t", "f", "0", "Keep <b0></b0>"), ("t", "f", "n", None), ("t", "f", "p", "plain 1 < 2")]
+    got = {int(r.record_id): r.balanced for r in texts.tag_nesting(spark.createDataFrame(rows, TEXTS)).collect()}
+    assert got == dict(enumerate(cases.values()))
+
+
+def test_formula_markers_of_a_table(spark):
+    cases = {"Set {v0} to {v1}.": ("<b0></b0><b1></b1>", True), "{v2}{v2}": ("<b2></b2><b2></b2>", True), "{ V 1 2 }": ("<b12></b12>", False), "{v01}": ("<b1></b1>", False), "{v3} <b3></b3>": ("<b3></b3>", False), "<b4>": ("", False)}
+    rows = [("t", "f", str(i), t) for i, t in enumerate(cases)] + [("t", "f", "n", None), ("t", "f", "p", "{x} and {v}")]
+    got = {int(r.record_id): (r.masked, r.same) for r in texts.formula_markers(spark.createDataFrame(rows, TEXTS)).collect()}
+    assert got == dict(enumerate(cases.values()))
+
+
+def test_token_spans_brute_force(spark, data):
+    import re
+
+    got = {}
+    for r in catalog.queries()["token_spans"](spark, data).filter("tbl = 'documents'").collect():
+        got.setdefault(int(r.record_id), []).append((r.start_at, r.end_at))
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{data}/documents.parquet").collect() if r.text}
+    for key, text in docs.items():
+        spans = {m.span() for p in PATTERNS.values() for m in re.finditer(p, text)}
+        want, cursor = [], 0
+        while left := [x for x in spans if x[0] >= cursor]:
+            first = min(x[0] for x in left)
+            want.append(max(x for x in left if x[0] == first))
+            cursor = want[-1][1]
+        assert sorted(got.get(key, [])) == want
+    assert texts.select_spans("at 192.0.2.27, ISO 10218-1") == [(3, 13, "ipv4"), (15, 26, "standards")] and texts.select_spans(None) == []
+
+
+PAGES = {
+    "TOC": ["Contents", "Safety ........ 1", "Setup ........ 4"],
+    "INDEX": [f"term{i}, {i} ff." for i in range(24)],
+    "NOMENCLATURE": ["Nomenclature", *[x for i in range(6) for x in (f"a{i}", f"width of beam {i}")]],
+    "REFERENCES": ["References", *[f"[{i}] A. Author, Title ({2000 + i})." for i in range(1, 5)]],
+    None: ["Check the relay.", "The fuse must be replaced."],
+}
+
+
+def test_page_kinds_of_fragments(spark):
+    rows = [_fragment(f"{p}-{i}", t, (10.0, 12.0 * i, 90.0, 12.0 * i + 10), page=p, order=i) for p, lines in enumerate(PAGES.values()) for i, t in enumerate(lines)]
+    rows += [_fragment("9-0", "Index\r\n \u2003a\n", (10.0, 0.0, 90.0, 10.0), page=9, order=0), _fragment("8-0", None, (10.0, 0.0, 90.0, 10.0), page=8, order=0)]
+    got = {r.page: (r.lines, r.kind) for r in texts.page_kinds(spark.createDataFrame(rows * 2, SCHEMA)).collect()}
+    assert got == {p: (len(lines), kind) for p, (kind, lines) in enumerate(PAGES.items())} | {9: (2, "INDEX"), 8: (0, None)}
