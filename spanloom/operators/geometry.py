@@ -49,16 +49,22 @@ def x_clusters(fragments: DataFrame) -> DataFrame:
 
 
 def height_below(fragments: DataFrame) -> DataFrame:
-    """Free height below each fragment to the next one that shares a column of the page.
+    """Free height below each fragment to the nearest box under it that shares a column of the page; null if there is none.
 
-    Ordered by reading order within the page, so the candidates are neighbours
-    of a window instead of all pairs.
+    A box that begins more than half a unit above the fragment's lower edge
+    lies beside it and is no obstacle. A theta join within the page: one
+    exchange by page serves both sides and the minimum, so that only the few
+    boxes of a page meet. The box is an array, so that both sides are one plan.
     """
-    order = Window.partitionBy(*PAGE).orderBy("y0", "x0", "fragment_id")
-    b = boxes(fragments)
-    nxt = F.lead(F.struct("x0", "x1", "y0")).over(order)
-    shares = (nxt["x0"] < F.col("x1")) & (nxt["x1"] > F.col("x0"))
-    return b.select("fragment_id", F.when(shares, F.round(nxt["y0"] - F.col("y1"), 4)).alias("height"))
+    b = boxes(fragments).select(*PAGE, "fragment_id", F.array("x0", "y0", "x1", "y1").alias("q")).repartition(*PAGE)
+    l, r = b.alias("l"), b.alias("r")
+    x0, y0, x1, y1 = range(4)
+    at = lambda s, i: F.col(f"{s}.q")[i]
+    shares = (at("r", x0) < at("l", x1)) & (at("r", x1) > at("l", x0))
+    on = [F.col(f"l.{c}") == F.col(f"r.{c}") for c in PAGE]
+    under = l.join(r, [*on, F.col("l.fragment_id") != F.col("r.fragment_id"), shares, at("r", y0) >= at("l", y1) - 0.5], "left")
+    near = under.groupBy(*[F.col(f"l.{c}") for c in (*PAGE, "fragment_id")]).agg(F.min(at("l", y1)).alias("y1"), F.min(at("r", y0)).alias("below"))
+    return near.select("fragment_id", F.when(F.col("below").isNotNull(), F.round(F.greatest(F.lit(0.0), F.col("below") - F.col("y1")), 4)).alias("height"))
 
 
 def iou(a: str, b: str) -> Column:

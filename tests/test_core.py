@@ -240,3 +240,22 @@ def test_page_kinds_of_fragments(spark):
     rows += [_fragment("9-0", "Index\r\n \u2003a\n", (10.0, 0.0, 90.0, 10.0), page=9, order=0), _fragment("8-0", None, (10.0, 0.0, 90.0, 10.0), page=8, order=0)]
     got = {r.page: (r.lines, r.kind) for r in texts.page_kinds(spark.createDataFrame(rows * 2, SCHEMA)).collect()}
     assert got == {p: (len(lines), kind) for p, (kind, lines) in enumerate(PAGES.items())} | {9: (2, "INDEX"), 8: (0, None)}
+
+
+def test_height_below_side_by_side(spark):
+    boxes = {"cell": (10.0, 10.0, 100.0, 20.0), "right cell": (110.0, 10.0, 600.0, 20.0), "under both": (10.0, 32.0, 600.0, 42.0), "right only": (110.0, 50.0, 600.0, 60.0), "left, last": (10.0, 70.0, 100.0, 80.0), "touching": (100.0, 90.0, 110.0, 95.0)}
+    df = spark.createDataFrame([_fragment(n, n, b, order=0) for n, b in boxes.items()] * 2, SCHEMA)
+    got = {r.fragment_id[5:]: r.height for r in geometry.height_below(df).collect()}
+    assert got == {"cell": 12.0, "right cell": 12.0, "under both": 8.0, "right only": None, "left, last": None, "touching": None}
+
+
+def test_height_below_brute_force(spark):
+    import random
+
+    rng = random.Random(7)
+    boxes = [(i % 3, x, y, x + rng.randint(5, 300), y + rng.randint(5, 30)) for i in range(150) for x, y in [(rng.randint(0, 500), rng.randint(0, 700))]]
+    df = spark.createDataFrame([_fragment(i, "", tuple(map(float, b[1:])), page=b[0]) for i, b in enumerate(boxes)], SCHEMA)
+    got = {int(r.fragment_id[5:]): r.height for r in geometry.height_below(df).collect()}
+    for i, (page, x0, _, x1, y1) in enumerate(boxes):
+        under = [b[2] - y1 for j, b in enumerate(boxes) if j != i and b[0] == page and b[1] < x1 and b[3] > x0 and b[2] >= y1 - 0.5]
+        assert got[i] == (max(0.0, min(under)) if under else None)
