@@ -22,7 +22,7 @@ from __future__ import annotations
 import itertools
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -34,7 +34,8 @@ from spanloom.llm.normal import per_distinct
 LEAST_CHARS = 20
 LOST_SHARE = 0.4
 LEAST_COPY = 4  # characters of letters and digits that make a line or sentence comparable
-LONGEST_PHRASE = 80  # tokens of a phrase repeated in a row
+SHORT_PHRASE = 80  # tokens of a phrase whose period is found by pairs of tokens; longer ones are found by blocks
+BLOCK = 40  # tokens; a phrase longer than SHORT_PHRASE holds a whole block, wherever it begins
 
 _END = re.compile(r"[.!?…]+[\"”’'»）)」』“]*(?=\s|$|[^\x00-\x7f])|[。！？]+[”’」』）]*")
 _NUMBER = re.compile(r"^\W*(?:\d{1,4}|[a-z])\s*[.)）、:：]\s*|^\W*\(\d{1,4}\)\s*|\s*[(（#]\s*\d{1,4}\s*[)）]\W*$|\s*#\d{1,4}\W*$")
@@ -68,18 +69,58 @@ def _in_a_row(text: str) -> int:
     lags: dict[int, int] = {}
     for i, pair in enumerate(zip(words, words[1:])):
         j = last.get(pair)
-        if j is not None and i - j <= LONGEST_PHRASE:
+        if j is not None and i - j <= SHORT_PHRASE:
             lags[i - j] = lags.get(i - j, 0) + 1
         last[pair] = i
         if pair[0] == pair[1]:
             lags[1] = 2
     # A phrase of p tokens repeats at least about half of its pairs p tokens later (the others may recur sooner).
     periods = [p for p, k in lags.items() if k >= max(1, (p - 1) // 2)]
-    if not periods:
+    if not periods and n < 2 * SHORT_PHRASE + 2:
         return 0
     ids: dict[str, int] = {}
-    seq = np.array([ids.setdefault(t, len(ids)) for t in words])
+    seq = np.array([ids.setdefault(t, len(ids)) for t in words], dtype=np.int32)
     copied = np.zeros(n, dtype=bool)
+    _mark_copies(words, seq, periods, copied)
+    if n >= 2 * SHORT_PHRASE + 2:
+        _mark_copies(words, seq, _long_periods(seq, periods), copied)
+    return sum(map(len, itertools.compress(words, copied))) if copied.any() else 0
+
+
+def _long_periods(seq: np.ndarray, short: list[int]) -> set[int]:
+    """Every distance above SHORT_PHRASE at which a block of tokens, cut at multiples of its length, stands again.
+
+    A phrase of that length repeated in a row holds such a block, and its copy
+    stands one period later, so no period is missed however often parts of the
+    phrase recur inside it. Two places of one run of a short period say nothing
+    that the run does not.
+    """
+    n = len(seq)
+    raw = seq.tobytes()
+    wide = BLOCK * seq.itemsize
+    blocks: dict[bytes, list[int]] = {}
+    for s in range(0, n - BLOCK + 1, BLOCK):
+        blocks.setdefault(raw[s * seq.itemsize : s * seq.itemsize + wide], []).append(s)
+    run, runs = np.zeros(n, dtype=np.int32), 0
+    for p in short:
+        same = seq[p:] == seq[:-p]
+        edge = np.flatnonzero(np.diff(np.concatenate(([0], same.view(np.int8), [0]))))
+        for a, b in zip(edge[::2], edge[1::2]):
+            if b - a >= BLOCK:
+                runs += 1
+                run[a : b + p] = runs
+    found: set[int] = set()
+    for i in range(SHORT_PHRASE + 1, n - BLOCK + 1):
+        for s in blocks.get(raw[i * seq.itemsize : i * seq.itemsize + wide], ()):
+            if i - s <= SHORT_PHRASE:
+                break
+            if i - s <= n // 2 and not (run[s] and run[s] == run[s + BLOCK - 1] == run[i] == run[i + BLOCK - 1]):
+                found.add(i - s)
+    return found
+
+
+def _mark_copies(words: list[str], seq: np.ndarray, periods: Iterable[int], copied: np.ndarray) -> None:
+    """Mark the tokens that repeat in a row what stands one of the periods before."""
     for p in sorted(periods):
         same = seq[p:] == seq[:-p]
         if np.count_nonzero(same) < p:
@@ -93,7 +134,6 @@ def _in_a_row(text: str) -> int:
                 phrase = [w for w in words[a : a + p] if w.isalnum()]
                 if b - a >= 2 * p and len(phrase) > 1 and "\x00".join(phrase) in "\x00".join(w for w in words[:a] if w.isalnum()):
                     copied[a : a + p] = True
-    return sum(map(len, itertools.compress(words, copied))) if copied.any() else 0
 
 
 def repeated_chars(raw: str) -> tuple[int, int]:

@@ -1,5 +1,6 @@
 """Operators without Spark: character forms, tokenizer, repetition, pairs, packing, mixing."""
 
+import itertools
 import random
 from collections import Counter
 
@@ -120,6 +121,40 @@ def test_handoff_prompt():
     assert pairs.prompt_of("[broken", "handoff") == "[broken"
 
 
+_THAI = "กรุณาตรวจสอบรีเลย์และฟิวส์ก่อนเริ่มใช้งานเครื่องจักรทุกครั้งแล้วบันทึกค่าที่วัดได้ลงในแบบฟอร์มรายงานประจำวันก่อนส่งให้ผู้ควบคุม"
+
+
+def test_long_phrase_in_a_row():
+    assert len(_THAI) > 80
+    for times, rejected in ((1, False), (2, True), (3, True)):
+        assert repetition.measure(" ".join([_THAI] * times))[1] is rejected
+    assert repetition.measure(" ".join([_THAI, _THAI[::-1]]))[1] is False
+
+
+@pytest.mark.parametrize("period", [81, 120, 333, 700])
+def test_long_periods_brute_force(period):
+    import numpy as np
+
+    rng = random.Random(period)
+    phrase = [rng.choice("天地人山川草木花鳥風月雪") for _ in range(period)]  # pairs recur within the phrase
+    head = [rng.choice("甲乙丙丁戊己") for _ in range(rng.randint(0, 60))]
+    words = head + phrase * 2 + ["丁"]
+    assert repetition._in_a_row("".join(words)) >= period
+    assert repetition._in_a_row("".join(head + phrase)) < period // 2
+    seq = np.array([ord(w) for w in words], dtype=np.int32)
+    run = lambda p: max((len(list(g)) for k, g in itertools.groupby(seq[p:] == seq[:-p]) if k), default=0)
+    want = {p for p in range(81, len(seq) // 2 + 1) if run(p) >= p}
+    assert period in want and want <= repetition._long_periods(seq, [])
+
+
+def test_long_run_of_a_word_is_quick():
+    import time
+
+    start = time.time()
+    assert repetition._in_a_row("late " * 30_000) == 4 * 29_999
+    assert time.time() - start < 5
+
+
 def test_bucket_bounds_are_optimal():
     import itertools
 
