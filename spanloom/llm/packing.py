@@ -2,10 +2,10 @@
 
 Sizes are grouped into length buckets: dynamic programming over the *global*
 histogram of sizes chooses the bucket boundaries of least padding (the sum of
-bucket bound minus size). Token-budget batches are then formed inside the
-buckets, from the longest bucket down: a batch is a pattern of sizes that fits
-the capacity. What a batch of a bucket leaves unused goes on as the budget of
-the next shorter bucket, so short items top up what long ones leave.
+bucket bound minus size). Token-budget batches are then formed inside each
+bucket: a batch is a pattern of sizes that fits the capacity. Batches that leave
+more than a small share of it unused are given up, and their items are batched
+across the buckets, so that short items top up what long ones leave.
 
 The batches of a group (manual, language) are planned on the group's
 *histogram*, never on its rows: a capacity of C allows at most C different
@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 BUCKETS = 12
+SLACK = 0.005  # of the capacity that a batch of one bucket may leave unused
 SPREAD = 1 << 12  # rows of a group and size that one ranking task may hold on average
 
 
@@ -77,30 +78,46 @@ def bucket_bounds(histogram: dict[int, int], buckets: int = BUCKETS) -> list[int
 
 
 def plan_group(sizes: dict[int, int], capacity: int, bounds: list[int]) -> list[tuple[dict[int, int], int]]:
-    """Batches of one group as (pattern: size -> items, how often), from its histogram of sizes <= capacity."""
-    left = {s: n for s, n in sizes.items() if n > 0}
-    order = sorted(left, reverse=True)
+    """Batches of one group as (pattern: size -> items, how often), from its histogram of sizes <= capacity.
+
+    Every bucket forms its own batches; those that leave more than ``SLACK`` of
+    the capacity are given up, and their items are batched across the buckets.
+    """
     edges = sorted(set(bounds) | {capacity})
-    bucket = {s: int(np.searchsorted(edges, s)) for s in order}
-    members: list[list[int]] = [[s for s in order if bucket[s] == b] for b in range(len(edges) + 1)]
+    buckets: list[dict[int, int]] = [{} for _ in range(len(edges))]
+    for s, n in sizes.items():
+        if n > 0:
+            buckets[int(np.searchsorted(edges, s))][s] = n
     plans: list[tuple[dict[int, int], int]] = []
+    rest: dict[int, int] = {}
+    for inside in reversed(buckets):
+        for pattern, times in _batches(inside, capacity):
+            if capacity - sum(s * k for s, k in pattern.items()) <= SLACK * capacity:
+                plans.append((pattern, times))
+            else:
+                for s, k in pattern.items():
+                    rest[s] = rest.get(s, 0) + k * times
+    return plans + _batches(rest, capacity)
+
+
+def _batches(sizes: dict[int, int], capacity: int) -> list[tuple[dict[int, int], int]]:
+    """Batches of all ``sizes``: the longest item opens one, shorter ones spend what is left of its budget."""
+    left = dict(sizes)
+    plans: list[tuple[dict[int, int], int]] = []
+    order = sorted(left, reverse=True)
     while order:
         room, pattern = capacity, {}
-        # The longest item opens the batch; its bucket, then the shorter ones, spend the budget.
-        for b in range(bucket[order[0]], -1, -1):
-            for s in members[b]:
-                if s <= room and left[s]:
-                    k = left[s] if s == 0 else min(left[s], room // s)
-                    pattern[s] = k
-                    room -= k * s
+        for s in order:
+            if s <= room:
+                k = left[s] if s == 0 else min(left[s], room // s)
+                pattern[s] = k
+                room -= k * s
         _fill_better(pattern, left, room)
         times = min(left[s] // k for s, k in pattern.items())
         for s, k in pattern.items():
             left[s] -= k * times
         plans.append((pattern, times))
         order = [s for s in order if left[s] > 0]
-        for b in {bucket[s] for s in pattern}:
-            members[b] = [s for s in members[b] if left[s] > 0]
     return plans
 
 

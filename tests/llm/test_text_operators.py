@@ -182,6 +182,14 @@ def test_plan_keeps_items_and_capacity(sizes):
     assert used <= max(1, 2 * sum(sizes) // 100 + 1) or not sizes
 
 
+def test_buckets_shape_the_batches():
+    h = {60: 1, 40: 1, 30: 2}
+    assert ({40: 1, 30: 2}, 1) in packing.plan_group(h, 100, [50, 100])
+    assert ({60: 1, 40: 1}, 1) in packing.plan_group(h, 100, [100])
+    # 70 and 30 fill no batch of their own buckets, so they go across.
+    assert packing.plan_group({70: 1, 30: 1}, 100, [50, 100]) == [({70: 1, 30: 1}, 1)]
+
+
 def test_cube_keeps_both_totals():
     rng = random.Random(3)
     tokens = [rng.randint(1, 900) for _ in range(3000)]
