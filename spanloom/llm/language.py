@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanloom.llm.normal import canonical
-from spanloom.llm.sampling import bounded_sample
+from spanloom.llm.sampling import distinct_sample
 from spanloom.sources.tables import table
 
 LANGUAGES = ["en", "ko", "zh-CN", "zh-TW", "ja", "vi", "de", "th"]
@@ -338,15 +338,14 @@ def labelled_sources(spark: SparkSession, folder: str) -> list[tuple[DataFrame,
 def fit_on(spark: SparkSession, folder: str) -> LanguageModel:
     """Fit on at most SAMPLE_TEXTS labelled texts of at most SAMPLE_CHARS characters.
 
-    The sample is the labelled rows of smallest text hash, by a bounded top-k:
-    the same on every run, whatever the partitioning.
+    The sample is of different texts, those of smallest hash, with an equal
+    share for each language: the same on every run, whatever the partitioning.
     """
-    parts, n = None, 0
+    parts = None
     for df, _, _, label, text in labelled_sources(spark, folder):
         one = df.select(label_column(F.col(label)).alias("langs"), F.col(text).alias("text")).filter(f"size(langs) = 1 AND length(text) BETWEEN 4 AND {SAMPLE_CHARS}")
         parts = one if parts is None else parts.unionAll(one)
-        n += df.count()
-    rows = bounded_sample(parts.select(F.col("langs")[0].alias("lang"), "text"), n, "text", SAMPLE_TEXTS)
+    rows = distinct_sample(parts.select(F.col("langs")[0].alias("lang"), "text"), "text", SAMPLE_TEXTS, "lang")
     return train([(r.lang, r.text) for r in rows])
 
 

@@ -5,7 +5,7 @@ from itertools import combinations
 import pytest
 from pyspark.sql import functions as F
 
-from spanloom.llm import catalog, language, mixing, normal, packing, repetition, sentences, tokenizer
+from spanloom.llm import catalog, language, mixing, normal, packing, repetition, sampling, sentences, tokenizer
 
 
 def test_look_alike_pairs_brute_force(spark):
@@ -72,6 +72,16 @@ def test_label_column(spark):
     assert got == [[], [], [], [], [], ["en"], ["en"], ["en"], ["en"], ["zh-CN", "zh-TW"], ["zh-CN"], ["zh-TW"], ["ko"], ["de"], ["ko"], []]
 
 
+def test_sample_of_different_texts_in_strata(spark):
+    rows = [(f"en {i}", "en") for i in range(900)] + [("hot", "vi")] * 2000 + [("hot", "en")] * 10 + [(f"th {i}", "th") for i in range(30)]
+    df = spark.createDataFrame(rows, "text string, lang string")
+    got = [(r.lang, r.text) for r in sampling.distinct_sample(df, "text", 100, "lang")]
+    assert len(got) == len(set(got)) == 100 and ("vi", "hot") in got
+    assert sum(g == "th" for g, _ in got) == 30 and sum(g == "en" for g, _ in got) == 69
+    assert sorted(got) == sorted((r.lang, r.text) for r in sampling.distinct_sample(df.repartition(7), "text", 100, "lang"))
+    assert len(sampling.distinct_sample(df, "text", 5000)) == 931 and sampling.distinct_sample(df.limit(0), "text", 9, "lang") == []
+
+
 def test_sentence_rows(spark):
     model = sentences.fit(["Check the relay. Check the fuse.", "The relay is late."] * 10)
     df = spark.createDataFrame([("t", "1", None, 5), ("t", "2", "", 5), ("t", "3", "One is here.\n\nTwo is here.", 5)], "tbl string, record_id string, text string, extra int")
