@@ -82,6 +82,17 @@ def test_sample_of_different_texts_in_strata(spark):
     assert len(sampling.distinct_sample(df, "text", 5000)) == 931 and sampling.distinct_sample(df.limit(0), "text", 9, "lang") == []
 
 
+def test_headings_fill_their_sample(spark, tmp_path, monkeypatch):
+    seen = {}
+    monkeypatch.setattr(sentences, "fit", lambda texts, heads: seen.update(texts=texts, heads=heads))
+    spark.createDataFrame([("One is here.",)], "src string").write.parquet(f"{tmp_path}/segments.parquet")
+    spark.createDataFrame([("One is here.",)], "text string").write.parquet(f"{tmp_path}/logical_units.parquet")
+    rows = spark.range(100_000).selectExpr("'m' AS manual_id", "cast(id AS int) AS page", "'p' AS paragraph_id", "concat('Head ', id % 900) AS text", "0 AS reading_order", "'heading' AS structural_role")
+    rows.write.parquet(f"{tmp_path}/fragments.parquet")
+    sentences.fit_on(spark, str(tmp_path))
+    assert len(set(seen["heads"])) == sentences.SAMPLE_HEADINGS and seen["texts"] == ["One is here."]
+
+
 def test_sentence_rows(spark):
     model = sentences.fit(["Check the relay. Check the fuse.", "The relay is late."] * 10)
     df = spark.createDataFrame([("t", "1", None, 5), ("t", "2", "", 5), ("t", "3", "One is here.\n\nTwo is here.", 5)], "tbl string, record_id string, text string, extra int")
