@@ -95,12 +95,30 @@ def aligned_share(template: str, text: str) -> float:
 
 
 def is_refusal(answer: str) -> bool:
-    if len(answer) > 400 or not _CUE.search(answer):
+    """Whether the answer declines: short ones are aligned as a whole, longer ones by pairs of neighbouring sentences."""
+    if not _CUE.search(answer):
         return False
     text = canonical(answer).replace("’", "'")
+    if len(answer) <= REFUSAL_WHOLE:
+        return _declines(text)
+    parts = [s for s in _SENTENCE.findall(text) if s.strip()]
+    # A template may span two sentences; a part without end marks is read in overlapping pieces.
+    for pair in (a + b for a, b in zip(parts, [*parts[1:], ""])):
+        for at in range(0, max(1, len(pair) - REFUSAL_WHOLE // 2), REFUSAL_WHOLE // 2):
+            piece = pair[at : at + REFUSAL_WHOLE]
+            if _CUE.search(piece) and _declines(piece):
+                return True
+    return False
+
+
+def _declines(text: str) -> bool:
     return any(aligned_share(t, text) >= REFUSAL_SHARE for t in _TEMPLATES)
 
 
+REFUSAL_WHOLE = 400  # characters that are aligned at once
+_SENTENCE = re.compile(r"[^.!?。！？\n]*(?:[.!?。！？\n]+|$)")
+
+
 _TEMPLATES = [canonical(t) for t in REFUSALS]
 
 

@@ -115,6 +115,14 @@ def test_pairs(prompt, answer, want, defect):
     assert _judge().defect(prompt, answer, want) == defect
 
 
+_EXPLAINED = " The relay and the fuse are described on the next page of the manual, with their limits and tolerances." * 6
+
+
+@pytest.mark.parametrize("answer,refuses", [("I'm sorry, but I can't help with translating this." + _EXPLAINED, True), (_EXPLAINED.strip() + " I'm sorry, but I can't help with translating this.", True), ("Xin lỗi, tôi không thể dịch nội dung này." + _EXPLAINED, True), (_EXPLAINED.strip(), False), ("I'm sorry for the delay." + _EXPLAINED, False)])
+def test_long_refusals(answer, refuses):
+    assert len(answer) > 400 and pairs.is_refusal(answer) is refuses
+
+
 def test_handoff_prompt():
     assert pairs.prompt_of('["id", "text"]', "handoff") == "text"
     assert pairs.prompt_of('["id", "text"]', "other") == '["id", "text"]'
