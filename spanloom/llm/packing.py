@@ -38,19 +38,12 @@ SPREAD = 1 << 12  # rows of a group and size that one ranking task may hold on a
 def bucket_bounds(histogram: dict[int, int], buckets: int = BUCKETS) -> list[int]:
     """Upper bounds of at most ``buckets`` length buckets with the least total padding.
 
-    Dynamic programming over the distinct sizes; more than 1,000 of them are
-    first united into steps of equal width, whose upper ends are the sizes.
+    Dynamic programming over all distinct sizes. The best cut never moves down as
+    the size grows, so each layer is found by divide and conquer.
     """
     if not histogram:
         return []
     sizes = sorted(histogram)
-    if len(sizes) > 1000:
-        step = -(-(sizes[-1] + 1) // 1000)
-        united: dict[int, list[int]] = {}
-        for s in sizes:
-            united.setdefault(s // step, []).append(s)
-        histogram = {max(v): sum(histogram[s] for s in v) for v in united.values()}
-        sizes = sorted(histogram)
     x = np.array(sizes, dtype=np.float64)
     n = np.array([histogram[s] for s in sizes], dtype=np.float64)
     count, total = np.concatenate(([0.0], np.cumsum(n))), np.concatenate(([0.0], np.cumsum(n * x)))
@@ -59,11 +52,18 @@ def bucket_bounds(histogram: dict[int, int], buckets: int = BUCKETS) -> list[int
     back = [np.zeros(m, dtype=int)]
     for _ in range(1, min(buckets, m)):
         new, frm = best.copy(), np.full(m, -1)
-        for j in range(1, m):
-            pad = best[:j] + x[j] * (count[j + 1] - count[1 : j + 1]) - (total[j + 1] - total[1 : j + 1])
-            i = int(pad.argmin())
-            if pad[i] < new[j]:
-                new[j], frm[j] = pad[i], i
+        todo = [(1, m - 1, 0, m - 2)]  # sizes from, to; cuts from, to
+        while todo:
+            low, high, first, last = todo.pop()
+            if low > high:
+                continue
+            j = (low + high) // 2
+            end = min(last, j - 1) + 1
+            pad = best[first:end] + x[j] * (count[j + 1] - count[first + 1 : end + 1]) - (total[j + 1] - total[first + 1 : end + 1])
+            i = first + int(pad.argmin())
+            if pad[i - first] < new[j]:
+                new[j], frm[j] = pad[i - first], i
+            todo += [(low, j - 1, first, i), (j + 1, high, i, last)]
         back.append(frm)
         best = new
     bounds, j, k = [], m - 1, len(back) - 1
@@ -141,17 +141,22 @@ def _fill_better(pattern: dict[int, int], left: dict[int, int], room: int) -> No
         pattern[s + extra] = pattern.get(s + extra, 0) + 1
 
 
+def _pieces(items: DataFrame, limits: DataFrame) -> DataFrame:
+    """One row per limit and item, or piece of one that exceeds the capacity, with its size."""
+    caps = limits.select("limit_name", F.col("capacity_chars").alias("capacity")).filter("capacity > 0")
+    sized = items.select("segment_id", "manual_id", "lang_out", F.coalesce(F.length("src"), F.lit(0)).alias("n")).dropDuplicates(["segment_id"])
+    each = sized.crossJoin(F.broadcast(caps))  # one copy of each row per limit: a bounded table
+    pieces = each.withColumn("piece", F.explode(F.expr("sequence(0, greatest(0, int(ceil(n / capacity)) - 1))")))
+    return pieces.withColumn("size", F.expr("CASE WHEN n = 0 THEN 0 WHEN (piece + 1) * capacity <= n THEN capacity ELSE n - piece * capacity END"))
+
+
 def pack(items: DataFrame, limits: DataFrame) -> DataFrame:
     """(limit_name, manual_id, lang_out, segment_id, piece, size, container_id, capacity), one row per item or piece.
 
     ``items`` has segment_id, manual_id, lang_out, src; ``limits`` (a bounded
     table of capacities) has limit_name, capacity_chars.
     """
-    caps = limits.select("limit_name", F.col("capacity_chars").alias("capacity")).filter("capacity > 0")
-    sized = items.select("segment_id", "manual_id", "lang_out", F.coalesce(F.length("src"), F.lit(0)).alias("n")).dropDuplicates(["segment_id"])
-    each = sized.crossJoin(F.broadcast(caps))  # one copy of each row per limit: a bounded table
-    pieces = each.withColumn("piece", F.explode(F.expr("sequence(0, greatest(0, int(ceil(n / capacity)) - 1))")))
-    pieces = pieces.withColumn("size", F.expr("CASE WHEN n = 0 THEN 0 WHEN (piece + 1) * capacity <= n THEN capacity ELSE n - piece * capacity END"))
+    pieces = _pieces(items, limits)
     key = ["limit_name", "manual_id", "lang_out"]
     histogram = pieces.groupBy(*key, "capacity", "size").count()
     # The global histogram has at most one row per possible size and limit; it alone comes to the driver.
@@ -193,11 +198,9 @@ def pack(items: DataFrame, limits: DataFrame) -> DataFrame:
 
 
 def bucket_report(items: DataFrame, limits: DataFrame) -> DataFrame:
-    """(limit_name, bound, items, padding) of the chosen length buckets over all items; longer items count by their rest."""
+    """(limit_name, bound, items, padding) of the chosen length buckets over all items; longer items count by their pieces, as in ``pack``."""
     spark = items.sparkSession
-    caps = limits.select("limit_name", F.col("capacity_chars").alias("capacity")).filter("capacity > 0")
-    sized = items.select("segment_id", F.coalesce(F.length("src"), F.lit(0)).alias("n")).dropDuplicates(["segment_id"])
-    histogram = sized.crossJoin(F.broadcast(caps)).withColumn("size", F.expr("n % capacity")).groupBy("limit_name", "size").count().collect()
+    histogram = _pieces(items, limits).groupBy("limit_name", "size").count().collect()
     rows = []
     for name in sorted({r.limit_name for r in histogram}):
         h = {r["size"]: r["count"] for r in histogram if r.limit_name == name}

@@ -45,6 +45,13 @@ def test_packing_rows(spark):
     assert packing.pack(items.limit(0).drop("size"), limits).count() == 0
 
 
+def test_bucket_report_counts_pieces(spark):
+    rows = [("a", "m", "vi", "x" * 100), ("b", "m", "vi", "x" * 230), ("c", "m", "vi", "")]
+    items = spark.createDataFrame(rows, "segment_id string, manual_id string, lang_out string, src string")
+    limits = spark.createDataFrame([("small", 100)], "limit_name string, capacity_chars int")
+    assert {(r.bound, r["items"], r.padding) for r in packing.bucket_report(items, limits).collect()} == {(0, 1, 0), (30, 1, 0), (100, 3, 0)}
+
+
 def test_mixing_rows(spark):
     rows = [(i, s, 10 + i % 7) for s, lo, n in (("big", 0, 400), ("small", 1000, 60)) for i in range(lo, lo + n)] + [(9000, "unlisted", 5)]
     sized = spark.createDataFrame(rows, "doc_id long, source string, tokens int")

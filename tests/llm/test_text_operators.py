@@ -190,6 +190,14 @@ def test_plan_keeps_items_and_capacity(sizes):
     assert used <= max(1, 2 * sum(sizes) // 100 + 1) or not sizes
 
 
+def test_bounds_of_many_sizes_are_exact():
+    rng = random.Random(9)
+    h = {s: rng.randint(1, 9) for s in rng.sample(range(5000), 1500)} | {2001: 1_000_000, 2004: 1}
+    sizes = sorted(h)
+    cost = lambda bounds: sum((min(b for b in bounds if b >= s) - s) * n for s, n in h.items())
+    assert cost(packing.bucket_bounds(h, 2)) == min(cost((c, sizes[-1])) for c in sizes[:-1])
+
+
 def test_buckets_shape_the_batches():
     h = {60: 1, 40: 1, 30: 2}
     assert ({40: 1, 30: 2}, 1) in packing.plan_group(h, 100, [50, 100])
