@@ -110,6 +110,12 @@ def p7_counts(spark: SparkSession, d: str) -> DataFrame:
     return docs.select("doc_id", tokenizer.count_column(F.col("text")).alias("tokens"))
 
 
+def p7_roundtrip(spark: SparkSession, d: str) -> DataFrame:
+    """Whether the ids of every document decode to its text again, by the incremental decoder."""
+    docs = spread(table(spark, d, "documents").select("doc_id", "text"), "doc_id")
+    return docs.select("doc_id", tokenizer.roundtrip_column(F.col("text")).alias("same"))
+
+
 def p8_selection(spark: SparkSession, d: str) -> DataFrame:
     """Documents of the mix and how often each is used."""
     return mixing.mix(mixing.sizes(table(spark, d, "documents")), table(spark, d, "mix_targets"))
@@ -134,7 +140,7 @@ def p9_composition(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_forms, p2_found, p2_stretches, p2_documents, p3_found, p4_containers, p4_buckets, p4_fill, p5_found, p5_shares, p6_found, p7_ids, p7_counts, p8_selection, p8_report, p9_found, p9_composition)}
+    return {f.__name__: f for f in (p1_found, p1_forms, p2_found, p2_stretches, p2_documents, p3_found, p4_containers, p4_buckets, p4_fill, p5_found, p5_shares, p6_found, p7_ids, p7_counts, p7_roundtrip, p8_selection, p8_report, p9_found, p9_composition)}
 
 
 def oracle_sql() -> dict[str, str]:

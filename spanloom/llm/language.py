@@ -4,6 +4,8 @@ Nearest-centroid classification: character n-grams (1 to 3) of a stretch,
 hashed, weighted by TF-IDF and normalised, are compared by cosine with several
 centroids per language, which come from spherical k-means over labelled text.
 A stretch whose best cosine lies below that centroid's limit is of no language.
+The limits depend on the length of the stretch and are set where texts of the
+other languages, which stand for languages not in the set, would end up.
 
 Labels are noisy, so training first drops stretches that the centroids of
 another language fit better, then clusters. Stretches are sentences and lines:
@@ -38,6 +40,9 @@ BUCKETS = 1 << 16
 SHARPNESS = 18.0
 UNSURE = 0.9  # below this confidence, the other pieces of a text count
 NEARLY = 0.6
+LENGTHS = [15, 40]  # characters at which pieces begin to be of another class of length
+KIN = [[k] if x not in ("zh-CN", "zh-TW", "ja") else [2, 3, 4] for k, x in enumerate(LANGUAGES)]  # languages of one script say nothing of those not in the set
+FLOOR, CEILING = 0.2, 0.75  # of the cosine that 99 in 100 of a language's own texts reach: least and highest limit
 REMEMBERED = 200_000  # distinct pieces whose result a process keeps; beyond, it starts anew
 
 # Spellings of the languages, in lower case with "_" as "-".
@@ -61,7 +66,7 @@ _CODE = re.compile(r"(?<![a-z+/=._-])[a-z+/=._-]*+\d[a-z0-9+/=._-]*+|<[^>]{0,20}
 # Statements of machine programs: a word in capitals, then operands; several of them in a row.
 _PROGRAM = re.compile(r"\b(?:[A-Z]{2,8}[ ,]+(?:[A-Z]?[\w.]*\d[\w.]*|[a-z]+ (?=GOTO|THEN|DO))[ ,;]*)+(?:[A-Z]{2,8}\b(?=$|\s*[\n;]))?")
 _COMPANY = re.compile(r"(?:\b[A-Z]\w+ )+(?:Ltd|Inc|Corp|Co|GmbH|AG|LLC)\b\.?(?: [A-Z]\w+)*")
-_LETTERS = re.compile(r"[^\W\d_]+")
+_LETTERS = re.compile(r"[^\W\d_²³¹⁰-₉①-⓿¼-¾]+")
 # Units of measure, which are of no language.
 UNITS = set("v a w hz pa mpa kpa bar psi m mm cm km µm μm nm g kg mg s ms µs μs min h n nm j kj kw kwh mw ma µa μa mv kv ω kω mω l ml rpm dpi c f k °c db x no".split())
 _ENDS_WORD = re.compile(r"(?:^|[\s(（“„])(\w{1,7})\.$")
@@ -103,11 +108,11 @@ def pieces(text: str) -> list[tuple[int, int]]:
     return out
 
 
-_RUN = re.compile(r"[가-힣]{2,}|[ก-๛]{2,}|[ぁ-ヿ]|[一-鿿]{2,}|[A-Za-zÀ-ỹ]{2,}")
+_RUN = re.compile(r"[가-힣]{2,}|[ก-๛]{2,}|[ぁ-ヿ]|[一-鿿]{2,}|[A-Za-zÀ-ɏḀ-ỹ]{2,}")
 
 
 _KINDS = [("K", re.compile("[가-힣]")), ("H", re.compile("[一-鿿ぁ-ヿ]")), ("T", re.compile("[ก-๛]"))]
-_WORDS = re.compile(r"[A-Za-zÀ-ỹ]{2,} [a-zà-ỹ]{2,} ")
+_WORDS = re.compile(r"[A-Za-zÀ-ɏḀ-ỹ]{2,} [a-zà-ɏḁ-ỹ]{2,} ")
 # Characters that need no evening out before letters are compared.
 _STRANGE = re.compile(r"[^ -~가-힣一-鿿ぁ-ゖァ-ヺー、。「」！？（），：；à-öø-ÿÀ-ÖØ-Þ“”„•°²µΩăđĩũơưạ-ỹĂĐĨŨƠƯẠ-Ỹก-๛\n\t…–—’‘]")
 
@@ -178,7 +183,7 @@ def _vectors(texts: list[str], idf: np.ndarray | None) -> tuple[np.ndarray, np.n
 
 
 class LanguageModel:
-    """Centroids (n-grams x centroids), the language of each, and its limit of rejection."""
+    """Centroids (n-grams x centroids), the language of each, and its limits of rejection by length."""
 
     def __init__(self, idf: np.ndarray, centroids: np.ndarray, owner: np.ndarray, limits: np.ndarray):
         self.idf, self.centroids, self.owner, self.limits = idf, centroids, owner, limits
@@ -204,7 +209,8 @@ class LanguageModel:
         for at in range(0, len(texts), 1000):
             part = texts[at : at + 1000]
             sims = self.cosines(part)
-            ok = sims.max(axis=1) >= self.limits[sims.argmax(axis=1)]
+            best = sims.argmax(axis=1)
+            ok = sims[np.arange(len(part)), best] >= self.limits[best, length_class(part)]
             by_lang = np.zeros((len(part), len(LANGUAGES)), dtype=np.float32)
             for c, o in enumerate(self.owner):
                 np.maximum(by_lang[:, o], sims[:, c], out=by_lang[:, o])
@@ -264,6 +270,10 @@ def text_is_space(text: str, at: int) -> bool:
     return text[at : at + 1].isspace()
 
 
+def length_class(texts: list[str]) -> np.ndarray:
+    return np.searchsorted(LENGTHS, np.array([len(t) for t in texts], dtype=np.int64), side="right")
+
+
 def train(labelled: list[tuple[str, str]], seed: int = 3) -> LanguageModel:
     """Fit on (language, text) pairs; labels may be wrong now and then."""
     langs, texts = [], []
@@ -304,15 +314,21 @@ def train(labelled: list[tuple[str, str]], seed: int = 3) -> LanguageModel:
         group = np.where(keep >= 0, own.argmax(axis=1), -1)
     m = means(group, total)
     s = sims(m)
-    limits = np.full(total, 0.35, dtype=np.float32)
-    used = []
-    for c in range(total):
-        mine = s[group == c, c]
-        if len(mine):
-            used.append(c)
-            limits[c] = 0.35 * np.quantile(mine, 0.01)
-    used = np.array(used)
-    return LanguageModel(idf, np.ascontiguousarray(m[used].T), used // CLUSTERS, limits[used])
+    # Rejection: per centroid and length, between what its own texts reach and what those of other languages do.
+    used = np.array([c for c in range(total) if (group == c).any()])
+    limits = np.zeros((total, len(LENGTHS) + 1), dtype=np.float32)
+    lengths = length_class([texts[i] for i in row[starts]])
+    owner = used // CLUSTERS
+    best = np.stack([s[:, used[owner == k]].max(axis=1) if (owner == k).any() else np.zeros(len(s), dtype=np.float32) for k in range(len(LANGUAGES))], axis=1)
+    for k in sorted(set(owner.tolist())):
+        least = 0.35 * float(np.quantile(best[keep == k, k], 0.01))  # for short pieces, whose cosines vary most
+        for n in range(len(LENGTHS) + 1):
+            own = best[(keep == k) & (lengths == n), k]
+            other = best[(keep >= 0) & ~np.isin(keep, KIN[k]) & (lengths == n), k]
+            low = float(np.quantile(own, 0.01)) if len(own) else 0.1
+            high = float(np.quantile(other, 0.99)) if len(other) else 0.0
+            limits[used[owner == k], n] = max(FLOOR * low, min(CEILING * low, high), least if n == 0 else 0.0)
+    return LanguageModel(idf, np.ascontiguousarray(m[used].T), owner, limits[used])
 
 
 def label_column(label: Column) -> Column:

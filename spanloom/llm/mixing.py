@@ -10,6 +10,11 @@ component is 0 or 1. Both totals stay exact during the flight; only the last
 two or three documents of a source have to be landed, by the choice that
 misses the token total least.
 
+What landing misses is about the size of a document, so documents above a
+thousandth of what the source is to give are decided before the flight, each
+with its probability as far as the token total can still be met; the others'
+probability is then set so that the total fits again.
+
 Scale: the flight runs in blocks of bounded size, keyed by source and hash, so
 a source with half of all rows is many tasks. A block leaves at most two
 undecided documents; those form the blocks of the next level, and so on until a
@@ -37,6 +42,8 @@ from spanloom.session import cut_lineage
 from spanloom.sources.tables import spread
 
 BLOCK = 4000  # documents of a block, on average
+LARGE = 1e-3  # of a source's tokens in the mix; larger documents are decided before the flight
+LARGEST = 1e-5  # of a source's tokens: no document below is large, so that the large ones are at most 100,000 per source
 EDGE = 1e-9
 
 
@@ -80,6 +87,23 @@ def land(p: list[float], tokens: list[int]) -> list[float]:
     return out
 
 
+def decide_large(tokens: list[int], p: float, goal: float, small: float, seed: int) -> list[int]:
+    """0 or 1 for each large document: with probability ``p`` as long as the small ones' tokens can make up ``goal``.
+
+    The largest are decided first, while there is most to make up with.
+    """
+    rng = random.Random(seed)
+    out, chosen, left = [0] * len(tokens), 0.0, float(sum(tokens))
+    for i in sorted(range(len(tokens)), key=lambda i: (-tokens[i], i)):
+        left -= tokens[i]
+        fits = chosen + tokens[i] <= goal
+        needed = chosen + left + small < goal
+        if fits and (needed or rng.random() < p):
+            out[i] = 1
+            chosen += tokens[i]
+    return out
+
+
 def _flyer(last: set[str], level: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
     """The flight of one block; sources in ``last`` have a single block and are landed."""
 
@@ -119,19 +143,43 @@ def mix(sized: DataFrame, targets: DataFrame) -> DataFrame:
         return F.create_map(*[F.lit(x) for s, v in values.items() for x in (s, v)])[F.col("source")]
 
     open_ = wanted.withColumn("base", by_source(whole)).withColumn("p", by_source({s: float(v) for s, v in rest.items()}))
-    done = open_.filter(f"p <= {EDGE}").withColumn("p", F.lit(0.0))
-    state = open_.filter(f"p > {EDGE}")
+    done = open_.filter(f"p <= {EDGE}").withColumn("p", F.lit(0.0)).select("doc_id", "source", "tokens", "base", "p")
+    state = open_.filter(f"p > {EDGE}").select("doc_id", "source", "tokens", "base", "p")
     left = {s: n for s, (n, _) in have.items() if rest[s] > EDGE}
     level = 0
     row = "doc_id long, source string, tokens int, base int, p double"
 
+    if left:
+        due = {s: rest[s] * have[s][1] for s in left}
+        bound = {s: max(LARGE * rate[s] * have[s][1], LARGEST * have[s][1]) for s in left}
+        is_large = F.col("tokens") > by_source(bound)
+        sizes_of = {r.source: float(r.t) for r in state.filter(is_large).groupBy("source").agg(F.sum("tokens").alias("t")).collect()}
+
+        def decide(part: pd.DataFrame) -> pd.DataFrame:
+            part = part.sort_values("doc_id")
+            s = part["source"].iloc[0]
+            part["p"] = [float(x) for x in decide_large(part["tokens"].tolist(), rest[s], due[s], have[s][1] - sizes_of[s], seed=int(part["doc_id"].iloc[0]))]
+            return part[["doc_id", "source", "tokens", "base", "p"]]
+
+        if sizes_of:
+            large = cut_lineage(state.filter(is_large).groupBy("source").applyInPandas(decide, row))
+            taken = {r.source: float(r.t) for r in large.filter("p = 1").groupBy("source").agg(F.sum("tokens").alias("t")).collect()}
+            done = done.unionByName(large)
+            small = {s: have[s][1] - sizes_of.get(s, 0.0) for s in left}
+            again = {s: min(1.0, max(0.0, (due[s] - taken.get(s, 0.0)) / small[s])) if small[s] > 0 else 0.0 for s in left}
+            state = state.filter(~is_large).withColumn("p", by_source(again))
+            fixed = (F.col("p") <= EDGE) | (F.col("p") >= 1 - EDGE)
+            done = done.unionByName(state.filter(fixed).withColumn("p", F.round("p")))
+            state = state.filter(~fixed)
+            left = {r.source: r["count"] for r in state.groupBy("source").count().collect()}
+
     while left:
         blocks = {s: max(1, -(-n // BLOCK)) for s, n in left.items()}
         last = {s for s, b in blocks.items() if b == 1}
 
         block = F.pmod(F.xxhash64("doc_id", F.lit(level)), by_source(blocks).cast("long"))
         flown = cut_lineage(state.select("doc_id", "source", "tokens", "base", "p", block.alias("block")).groupBy("source", "block").applyInPandas(_flyer(last, level), row))
-        done = done.select("doc_id", "source", "tokens", "base", "p").unionByName(flown.filter("p = 0 OR p = 1"))
+        done = done.unionByName(flown.filter("p = 0 OR p = 1"))
         state = flown.filter("p > 0 AND p < 1")
         # Each block leaves at most two documents, so the levels shrink by about BLOCK / 2.
         left = {r.source: r["count"] for r in state.groupBy("source").count().collect()}

@@ -17,6 +17,7 @@ only become the empty string. Whole texts are processed, of any length.
 from __future__ import annotations
 
 import functools
+import hashlib
 import re
 import unicodedata
 from collections.abc import Callable
@@ -25,6 +26,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from spanloom.session import cut_lineage
+
 # Default-ignorable code points of the Unicode Character Database, as ranges.
 IGNORABLE_RANGES = [
     (0x00AD, 0x00AD), (0x034F, 0x034F), (0x061C, 0x061C), (0x115F, 0x1160), (0x17B4, 0x17B5), (0x180B, 0x180F),
@@ -43,7 +46,8 @@ HYPHENS = "‐‑﹣－"
 #: Kinds of compatibility decomposition that only change width, or nothing in print.
 SAME_LOOK = {"<wide>", "<narrow>", "<noBreak>", "<compat>"}
 
-_ODD = re.compile(r"[^ -~가-힣一-鿿ぁ-ゖァ-ヺー、。「」！？（），：；à-öø-ÿÀ-ÖØ-Þ“”„•°²ăđĩũơưạ-ỹĂĐĨŨƠƯ]")
+# Any character that may not print as itself; those left out here are the same in every form (wide marks are not).
+_ODD = re.compile(r"[^ -~가-힣一-鿿ぁ-ゖァ-ヺー、。「」à-öø-ÿÀ-ÖØ-Þ“”„•°²ăđĩũơưạ-ỹĂĐĨŨƠƯ]")
 
 
 @functools.lru_cache(maxsize=1)
@@ -115,15 +119,18 @@ def canonical_column(text: Column) -> Column:
     return form(text)
 
 
-def forms_column(text: Column) -> Column:
-    """struct(form, look) of a text column."""
+def _digest(text: str) -> bytes:
+    return hashlib.md5(text.encode("utf-8", "replace"), usedforsecurity=False).digest()
+
+
+def print_column(text: Column) -> Column:
+    """Digest of canonical form and look of a text column: equal for texts that print alike."""
 
-    @F.pandas_udf("form string, look string")
-    def forms(texts: pd.Series) -> pd.DataFrame:
-        pairs = per_distinct(texts, lambda x: (canonical(x), look(x)))
-        return pd.DataFrame([p or (None, None) for p in pairs], columns=["form", "look"], dtype=object)
+    @F.pandas_udf("binary")
+    def prints(texts: pd.Series) -> pd.Series:
+        return pd.Series(per_distinct(texts, lambda x: _digest(canonical(x) + "\x00" + look(x))), dtype=object)
 
-    return forms(text)
+    return prints(text)
 
 
 def look_alike_pairs(records: DataFrame, scope: list[str]) -> DataFrame:
@@ -132,21 +139,22 @@ def look_alike_pairs(records: DataFrame, scope: list[str]) -> DataFrame:
     ``records`` has id, text and the scope columns. Rows with a null text or a
     null scope value pair with nothing. Repeated ids add nothing.
 
-    Plan: texts are first reduced to the distinct ones of a scope (combined
-    before the shuffle, so a hot text is one row), windowed by canonical form
-    and look; only looks with several spellings go on, and their spellings are
-    joined back to the records. No group is gathered in one value, and copies are
-    expanded only into the pairs asked for.
+    Plan: texts are shuffled once, reduced to the distinct ones of a scope
+    (combined before the shuffle, so a hot text is one row); from there on
+    digests of 128 bits stand for texts. Spellings are windowed by their print
+    (canonical form and look); those of prints with several spellings, a small
+    table that is written once, are paired with each other first and then with
+    the records, so that copies of one text are never paired among themselves.
+    No group is gathered in one value.
     """
-    rows = records.select("id", "text", *scope).dropna()
-    spelled = rows.select("text", *scope).distinct().withColumn("f", forms_column(F.col("text")))
-    spelled = spelled.select("text", *scope, F.col("f.form").alias("form"), F.col("f.look").alias("look"))
-    h = F.xxhash64("text")
-    # The spellings of one look are few distinct texts, so a window over them holds little, whatever the rows.
-    same = Window.partitionBy(*scope, "form", "look")
-    variants = spelled.withColumns({"lo": F.min(h).over(same), "hi": F.max(h).over(same)}).filter("lo <> hi").select("text", *scope, "look")
-    members = rows.join(variants, ["text", *scope]).dropDuplicates(["id"])
-    a = members.select(F.col("id").alias("first_id"), F.col("text").alias("a"), "look", *scope)
-    b = members.select(F.col("id").alias("second_id"), F.col("text").alias("b"), "look", *scope)
-    pairs = a.join(b, ["look", *scope]).filter("first_id < second_id AND a <> b")
-    return pairs.select("first_id", "second_id")
+    rows = records.select("id", "text", *scope).dropna().withColumn("t", F.unhex(F.md5("text")))
+    spelled = rows.groupBy("t", *scope).agg(F.first("text").alias("text")).select("t", *scope, print_column(F.col("text")).alias("look"))
+    same = Window.partitionBy(*scope, "look")
+    variants = spelled.withColumns({"lo": F.min("t").over(same), "hi": F.max("t").over(same)}).filter("lo <> hi").select("t", *scope, "look")
+    variants = cut_lineage(variants)
+    spellings = variants.withColumnRenamed("t", "t1").join(variants.withColumnRenamed("t", "t2"), ["look", *scope]).filter("t1 <> t2").select("t1", "t2", *scope)
+    ids = rows.select("id", "t", *scope)
+    first = ids.withColumnsRenamed({"id": "first_id", "t": "t1"})
+    second = ids.withColumnsRenamed({"id": "second_id", "t": "t2"})
+    pairs = first.join(spellings, ["t1", *scope]).join(second, ["t2", *scope]).filter("first_id < second_id")
+    return pairs.select("first_id", "second_id").distinct()

@@ -5,14 +5,15 @@ A pair gets at most one defect, the first that holds of:
 * ``empty``: the answer is null or has no letter or figure outside markup;
 * ``refusal``: it holds most of the character shingles of a refusal template,
   in the template's order (longest common subsequence of shingles);
-* ``copied``: answer and prompt share nearly all shingles and a longest common
-  subsequence of nearly the whole text, after case, character forms, quotes,
+* ``copied``: answer and prompt share nearly all token shingles and a longest
+  common subsequence of nearly all tokens, after case, character forms, quotes,
   punctuation and white space are evened out; a short lead-in may precede;
 * ``wrong_language``: no stretch of the answer is in the wanted language
   (centroid model of :mod:`spanloom.llm.language`);
 * ``truncated``: the answer breaks off (cut mark, or no end where the prompt
   has one) or has fewer sentences, and is shorter than such answers are: the
-  usual ratio of lengths is the median over all pairs of its two scripts.
+  usual ratio of lengths is the median over all pairs of its two scripts,
+  weighed with PRIOR_PAIRS of the ratio that the scripts' densities suggest.
 
 Defined results: a prompt without letters outside codes and quantities may be
 answered by itself; a null or blank prompt makes no pair and has no defect; a
@@ -23,8 +24,8 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Iterator
-from difflib import SequenceMatcher
+import unicodedata
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -33,12 +34,17 @@ from pyspark.sql import functions as F
 from spanloom.llm.language import LANGUAGES, LanguageModel, bare, pieces
 from spanloom.llm.normal import canonical
 
-SHINGLE = 5  # characters
+SHINGLE = 5  # characters of a shingle of a refusal template
+TOKENS = 3  # tokens of a shingle of a prompt
 REFUSAL_SHARE = 0.78
-COPY_SHARE = 0.9
+COPY_SHARE = 0.9  # of the tokens, in order
+CONTAINED = 0.6  # of the shingles: one differing token breaks TOKENS of them
 LEAD_IN = 30  # characters that may surround a copy
 SHORT_THAI = 0.62  # of the usual length: without marks that could be counted
 SHORT_OPEN = 0.93  # of the usual length: without an end
+# About how many characters each script takes for the same content, and how many pairs that is worth.
+DENSITY = {"L": 1.0, "K": 0.52, "J": 0.45, "H": 0.33, "T": 0.9}
+PRIOR_PAIRS = 20
 
 # What refusals of this task say, per language, as templates without their polite openings and reasons.
 REFUSALS = [
@@ -54,23 +60,28 @@ REFUSALS = [
 _CUE = re.compile(
     r"\bi\b|\bme\b|\bmy\b|tôi|번역|드릴 수 없|드릴수|거절합|[我吾]|翻訳|訳出|お断り|応え|\bich\b|\bmir\b|ปฏิเสธ|ไม่สามารถ", re.I
 )
-_MARKUP = re.compile(r"<[^<>]{0,40}>|&[a-z]{2,6};")
+_MARKUP = re.compile(r"<[/!?]?[A-Za-z][^<>]*>|<[^\w<>]*>|&[A-Za-z]{2,31};|&#\w{1,8};")
 _READABLE = re.compile(r"[^\W_]")
 _INVISIBLE = re.compile("[\xad​-‏⁠-⁯﻿]")
 _SOLID = re.compile(r"[^\W_]+")
+_TOKEN = re.compile(r"[가-힣ぁ-ヿ一-鿿ก-๛]|[^\W_가-힣ぁ-ヿ一-鿿ก-๛]+")
 _CUT_MARK = re.compile(r"(?:\[\s*(?:\.{2,}|…)\s*\]|…|\.{3,}|[,，、;；(（“„「-])\s*$")
 _TAIL_MARKS = re.compile(r"(?:([^\w\s])\s*(?:\1\s*){3,})$")
 _END = re.compile(r"[.!?。！？][\"”’'»）)」』“]*\s*$")
 _NESTED = re.compile(r"\([^()]*\)|（[^（）]*）|„[^„“”]*[“”]|“[^“”„]*”|「[^「」]*」|\"[^\"\n]*\"")
-_INNER_END = re.compile(r"[.!?]+(?=[\s\x01]|$|[^\x00-\x7f])|[。！？]+|\x01[.。!！?？]*(?=\s*(?:$|\n|[A-ZĐÀ-Ỹ一-鿿]))")
+# Latin letters of either case, Vietnamese ones included (they alternate in their block).
+_UPPER = "A-ZÀ-ÖØ-ÞĂĐĨŨƠƯ" + "".join(map(chr, range(0x1EA0, 0x1EFA, 2)))
+_LOWER = "a-zà-öø-ÿăđĩũơư" + "".join(map(chr, range(0x1EA1, 0x1EFA, 2)))
+# \x01 stands for a quotation that ends in a mark itself: the sentence ends there unless it goes on.
+_INNER_END = re.compile(rf"[.!?]+(?=[\s\x01]|$|[^\x00-\x7f])|[。！？]+|\x01[.。!！?？]*(?=\s*(?:$|\n|[\x01\x02{_UPPER}一-鿿]))")
 _LIST_MARK = re.compile(r"(?m)^\s*(?:[•-]|\(?\w{1,3}[.)）])\s+")
 _ABBREVIATION = re.compile(r"\b(?:No|Nr|Fig|Sec|Ltd|Inc|Abb|Abschn|Pos|max|approx|ca|e\.g|i\.e|d\. h|z\. B|usw(?=\. [a-z])|ff|Typ Nr)\.(?!\s*$)")
 _VIETNAMESE = re.compile("[ăâđêôơưạảấầẩẫậắằẳẵặẹẻẽếềểễệỉịọỏốồổỗộớờởỡợụủứừửữựỳỵỷỹýúùũíìĩóòõáàãéè]", re.I)
 _KANA, _HANGUL, _HAN, _THAI = re.compile("[ぁ-ヿ]"), re.compile("[가-힣]"), re.compile("[一-鿿]"), re.compile("[ก-๛]")
-_LATIN_WORD = re.compile("[A-Za-zÀ-ỹ]{2,}(?= [a-zà-ỹ])")
-_OTHER = re.compile("[가-힣ぁ-ヿ一-鿿ก-๛]")
+_LATIN_WORD = re.compile(f"[{_UPPER}{_LOWER}]{{2,}}(?= [{_LOWER}])")
 _CODE = re.compile(r"[A-Za-z-]*\.?\d[\w.,]*\w|\d")
-_WRAP = re.compile(r"(?<![.!?。！？”\n])\n(?=[a-zà-ỹ])")
+_LAST_CODE = re.compile(r"(?<=\s)(?=\S*\d)\S+(?: [a-zA-ZµΩ°²]{1,4})?(?<![.!?。！？])$")
+_WRAP = re.compile(rf"(?<![.!?。！？”\n])\n(?=[{_LOWER}])")
 
 #: The script of a text as a SQL expression, for the usual ratios of lengths.
 SCRIPT_SQL = "CASE WHEN {0} RLIKE '[가-힣]' THEN 'K' WHEN {0} RLIKE '[ぁ-ヿ]' THEN 'J' WHEN {0} RLIKE '[一-鿿]' THEN 'H' WHEN {0} RLIKE '[ก-๛]' THEN 'T' ELSE 'L' END"
@@ -80,18 +91,35 @@ def script(text: str) -> str:
     return "K" if _HANGUL.search(text) else "J" if _KANA.search(text) else "H" if _HAN.search(text) else "T" if _THAI.search(text) else "L"
 
 
-def shingles(text: str, n: int = SHINGLE) -> set[str]:
-    return {text[i : i + n] for i in range(len(text) - n + 1)} or {text}
+def shingles(tokens: str | list[str], n: int) -> set:
+    """Runs of ``n`` characters or tokens; a shorter text is one shingle."""
+    if len(tokens) <= n:
+        return {tokens if isinstance(tokens, str) else tuple(tokens)}
+    if isinstance(tokens, str):
+        return {tokens[i : i + n] for i in range(len(tokens) - n + 1)}
+    return set(zip(*(tokens[i:] for i in range(n))))
+
+
+def common_subsequence(a: Sequence, b: Sequence) -> int:
+    """Length of the longest common subsequence, by one row of bits per item of ``b`` (exact, for any length)."""
+    places: dict = {}
+    for i, x in enumerate(a):
+        places[x] = places.get(x, 0) | 1 << i
+    full = (1 << len(a)) - 1
+    row = full
+    for x in b:
+        hit = row & places.get(x, 0)
+        row = (row + hit | row - hit) & full
+    return len(a) - row.bit_count()
 
 
 def aligned_share(template: str, text: str) -> float:
-    """Share of the template's shingles that stand in the text, in order."""
+    """Share of the template's shingles that stand in the text, in order: the longest common subsequence of both."""
     want = [template[i : i + SHINGLE] for i in range(max(1, len(template) - SHINGLE + 1))]
-    have = shingles(text)
-    if sum(w in have for w in want) < REFUSAL_SHARE * len(want):
+    if sum(w in text for w in want) < REFUSAL_SHARE * len(want):
         return 0.0
-    m = SequenceMatcher(None, template, text, autojunk=False)
-    return sum(b.size for b in m.get_matching_blocks() if b.size >= 2) / len(template)
+    have = [text[i : i + SHINGLE] for i in range(max(1, len(text) - SHINGLE + 1))]
+    return common_subsequence(want, have) / len(want)
 
 
 def is_refusal(answer: str) -> bool:
@@ -127,6 +155,11 @@ def solid(text: str) -> str:
     return "".join(_SOLID.findall(canonical(text)))
 
 
+def word_tokens(text: str) -> list[str]:
+    """Words; in scripts whose words are not spaced alike, characters."""
+    return _TOKEN.findall(canonical(text))
+
+
 def is_copy(prompt: str, answer: str) -> bool:
     p, a = solid(prompt), solid(answer)
     if not p or not a:
@@ -135,14 +168,14 @@ def is_copy(prompt: str, answer: str) -> bool:
         return True
     if p in a:
         return len(a) - len(p) <= LEAD_IN
-    if not 0.85 <= len(a) / len(p) <= 1.25 or len(p) < 20:
+    if not 0.85 <= len(a) / len(p) <= 1.25 + LEAD_IN / len(p):
         return False
-    sp, sa = shingles(p), shingles(a)
-    both = len(sp & sa)
-    if both < COPY_SHARE * 0.8 * min(len(sp), len(sa)):
+    tp, ta = word_tokens(prompt), word_tokens(answer)
+    sp, sa = shingles(tp, TOKENS), shingles(ta, TOKENS)
+    if len(sp & sa) < CONTAINED * min(len(sp), len(sa)):
         return False
-    m = SequenceMatcher(None, p, a, autojunk=False)
-    return sum(b.size for b in m.get_matching_blocks()) >= COPY_SHARE * max(len(p), len(a) - LEAD_IN)
+    weight = sum(map(len, ta)) / len(ta)  # characters of a token, for the lead-in
+    return common_subsequence(tp, ta) >= COPY_SHARE * max(len(tp), len(ta) - LEAD_IN / weight)
 
 
 def prompt_of(text: str | None, engine: str | None) -> str | None:
@@ -159,8 +192,10 @@ def prompt_of(text: str | None, engine: str | None) -> str | None:
 
 def sentence_count(text: str) -> int:
     """Sentences and headings, by marks and lines alone."""
+    if not text.isascii():
+        text = unicodedata.normalize("NFC", text)
     if "(" in text or "“" in text or "（" in text or "「" in text or "„" in text or '"' in text:
-        text = _NESTED.sub(lambda m: "" if m[0][0] in "(（" else "\x01", text)
+        text = _NESTED.sub(lambda m: "" if m[0][0] in "(（" else "\x01" if _END.search(m[0]) else "\x02", text)
     text = _ABBREVIATION.sub("", _LIST_MARK.sub("", _WRAP.sub(" ", text)))
     count = 0
     for line in text.split("\n"):
@@ -171,6 +206,25 @@ def sentence_count(text: str) -> int:
     return count
 
 
+def repeated_tail(text: str) -> bool:
+    """Whether a text ends in three copies of a phrase in a row; the last may be followed by marks."""
+    body = re.sub(r"[\s\W]+$", "", text.lower())
+    end = len(body)
+    for n in range(4, end // 3 + 1):
+        if body[end - 1] == body[end - 1 - n] and body[end - n :] == body[end - 2 * n : end - n] == body[end - 3 * n : end - 2 * n]:
+            return True
+    return False
+
+
+def last_sentence(text: str) -> int:
+    """Where the last sentence begins, by marks and lines alone."""
+    start, body = 0, text.rstrip()
+    for m in re.finditer(r"[.!?](?=\s)|[。！？]|\n", body):
+        if m.end() < len(body):
+            start = m.end()
+    return start
+
+
 def clearly(want: str | None, text: str) -> bool:
     """The text is evidently in the wanted language, by its letters alone."""
     n = len(text)
@@ -220,26 +274,34 @@ class PairJudge:
         found = [x for x in self.model.classify(texts) if x[0] >= 0]
         return bool(found) and all(lang != want and (unsure is None or unsure[want] < 0.6 * unsure[lang]) for lang, _, unsure in found)
 
-    def usual(self, prompt: str, ps: str, ans: str) -> float | None:
+    def usual(self, prompt: str, ps: str, ans: str) -> float:
         """Usual ratio of lengths; of a prompt in several scripts, by their shares."""
-        one = self.ratios.get((ps, ans))
+        han = len(_HAN.findall(prompt))
+        found = {"K": 1.4 * len(_HANGUL.findall(prompt)), "T": float(len(_THAI.findall(prompt))), "J": 0.0, "H": 0.0}  # Hangul with its spaces
+        if ps == "J" or _KANA.search(prompt):
+            found["J"] = float(len(_KANA.findall(prompt)) + han)
+        else:
+            found["H"] = float(han)
         latin = sum(map(len, _LATIN_WORD.findall(prompt)))
-        if ps != "L" and one is not None and latin > 30 and (other := self.ratios.get(("L", ans))):
-            own = len(_OTHER.findall(prompt))
-            own *= {"H": 1.0, "J": 1.0, "K": 1.4, "T": 1.0}[ps]  # with its spaces
-            return (own * one + latin * 1.2 * other) / (own + latin * 1.2)
-        return one
+        found["L"] = 1.2 * latin if latin > 30 or ps == "L" else 0.0
+        parts = [(n, self.ratios[s, ans]) for s, n in found.items() if n and (s, ans) in self.ratios]
+        total = sum(n for n, _ in parts)
+        return sum(n * r for n, r in parts) / total if total else self.ratios.get((ps, ans), DENSITY[ans] / DENSITY[ps])
 
     def breaks_off(self, prompt: str, answer: str) -> bool:
+        """Whether the answer stops too early; one that ends in a phrase said three times over has not stopped, but runs on."""
+        return self.stops_early(prompt, answer) and not repeated_tail(answer)
+
+    def stops_early(self, prompt: str, answer: str) -> bool:
         body = _TAIL_MARKS.sub(lambda m: m[1] if m[1] in ".!?。！？" else "", answer.rstrip()).rstrip()
         if _CUT_MARK.search(body) and not _CUT_MARK.search(prompt.rstrip()):
             return True
+        if (code := _LAST_CODE.search(prompt)) and body.endswith(code[0]):
+            return False  # both end in the same code
         ps, ans = script(prompt), script(body)
         usual = self.usual(prompt, ps, ans)
         size = len(body) / max(1, len(_INVISIBLE.sub("", prompt)))
         closed = _END.search(body) is not None
-        if usual is None:
-            return not closed and _END.search(prompt) is not None and ans != "T" and len(prompt) > 20
         rel = size / usual
         if not closed and ans != "T":
             if _END.search(prompt):
@@ -250,8 +312,8 @@ class PairJudge:
             if ps == "T" or ans == "T":
                 return rel < SHORT_THAI
             codes = _CODE.findall(prompt)
-            if closed and codes and body.count(codes[-1]) >= prompt.count(codes[-1]) and prompt.rfind(codes[-1]) > 0.6 * len(prompt):
-                return False  # the last code of the prompt is covered
+            if closed and codes and body.count(codes[-1]) >= prompt.count(codes[-1]) and prompt.rfind(codes[-1]) >= min(last_sentence(prompt), 0.6 * len(prompt)):
+                return False  # the last code of the prompt, which stands in or near its last sentence, is covered
             asked = sentence_count(prompt)
             missing = asked - sentence_count(body)
             # A missing sentence makes an answer shorter by about its share; half of that is asked for.
@@ -260,10 +322,19 @@ class PairJudge:
 
 
 def usual_ratios(pairs: DataFrame) -> dict[tuple[str, str], float]:
-    """Median ratio of answer length to prompt length per pair of scripts, over all pairs (at most 25 rows)."""
+    """Usual ratio of answer length to prompt length per pair of scripts, over all pairs, each id once (at most 25 rows).
+
+    The exact median of the ratios in steps of a hundredth, from their
+    histogram, so that it depends on no partitioning. PRIOR_PAIRS pairs of the
+    ratio that the densities of the scripts suggest count along; a pair of
+    scripts without any row has that ratio.
+    """
     p, a = SCRIPT_SQL.format("prompt"), SCRIPT_SQL.format("answer")
-    sized = pairs.filter("length(prompt) > 30 AND length(answer) > 10").selectExpr(f"{p} AS p", f"{a} AS a", "length(answer) / length(prompt) AS r")
-    rows = sized.groupBy("p", "a").agg(F.percentile_approx("r", 0.5, 1000).alias("r"), F.count("*").alias("n")).filter("n >= 20").collect()
+    sized = pairs.filter("length(prompt) > 30 AND length(answer) > 10").selectExpr("tbl", "record_id", f"{p} AS p", f"{a} AS a", "round(length(answer) / length(prompt), 2) AS r")
+    seen = sized.dropDuplicates(["tbl", "record_id"]).groupBy("p", "a", "r").agg(F.count("*").alias("n"))
+    prior = [(x, y, round(DENSITY[y] / DENSITY[x], 2), PRIOR_PAIRS) for x in DENSITY for y in DENSITY]
+    both = seen.unionByName(pairs.sparkSession.createDataFrame(prior, "p string, a string, r double, n long"))
+    rows = both.groupBy("p", "a").agg(F.expr("percentile(r, 0.5, n)").alias("r")).collect()
     return {(x.p, x.a): x.r for x in rows}
 
 

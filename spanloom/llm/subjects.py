@@ -1,18 +1,20 @@
 """Subject areas of documents (problem 9).
 
-Four labelling functions vote on every (document, subject):
+Four labelling functions vote on every (sentence, subject):
 
-* lexicon: a quarter of the sentences or more hold terms of the subject;
-* section: a heading of the document holds terms of it;
-* address: the documents of the same manual mostly deal with it, or never do;
-* source: the documents of the same source deal with it more, or less, than
-  all documents do.
+* lexicon: the sentence holds terms of the subject (1) or of another one (-1);
+  a sentence without known terms is left open (0);
+* section: the heading above the sentence holds terms of it (it says nothing
+  against another subject, as documents of two subjects have one heading);
+* address: the other documents of the same manual deal with it more, or less,
+  than all documents do;
+* source: the same for the other documents of the same source.
 
 A latent-variable model learns how accurate each function is from how the votes
-agree over *all* documents (expectation maximisation on the counts of vote
-patterns, which are few), and gives the posterior probability of a subject for
-each pattern. A document gets the subjects of posterior 1/2 or more; an exact
-check of the quarter of its sentences follows.
+agree over *all* sentences (expectation maximisation on the counts of the 54
+vote patterns), and gives the posterior probability of a subject for each
+pattern. A sentence is assigned the subjects of posterior 1/2 or more, and a
+document those that a quarter of its sentences or more are assigned.
 
 The lexicon is fitted on a bounded sample of rater labels: n-grams (of words;
 of characters where words are not spaced) which occur mostly in documents of
@@ -20,7 +22,8 @@ one subject. Raters' contradictions are settled by majority first.
 
 Defined results: null, empty and blank texts, and texts of no known term, have
 no subject; labels of unknown subjects or documents are ignored; spelling of
-labels is evened out; without labels there are no subjects.
+labels is evened out; without labels there are no subjects. A null manual or
+source has no vote.
 """
 
 from __future__ import annotations
@@ -31,7 +34,7 @@ from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanloom.llm import sentences
@@ -46,6 +49,8 @@ PURITY = 0.72
 WITHIN = 0.8  # share of a term's documents in which a longer one stands
 SHARE = 0.25  # of a document's sentences
 STRENGTH = 0.8  # score a sentence needs to deal with a subject
+HEADING = 80  # characters that a heading has fewer of
+SALTS = 16  # parts of a hot manual or source
 
 _RUN = re.compile(r"[가-힣]+|[一-鿿]+|[ァ-ヺー]+|[ก-๛]+|[^\W\d_ぁ-ヿ一-鿿가-힣ก-๛]+")
 
@@ -93,6 +98,7 @@ def learn(docs: list[tuple[str, str]], subjects: list[str]) -> dict[str, tuple[i
         purity = (n * scale[best]) / (total + 0.5)
         if purity >= PURITY * (1 - 0.5 / n):
             out[t] = (best, round(min(2.5, math.log(purity / (1.02 - purity))) * (1 - 1 / (n + 1)), 3))
+
     def halves(t: str) -> list[str]:
         return t.split(" ") if " " in t else [t[:2], t[1:]] if len(t) == 3 and "一" <= t[0] <= "鿿" else []
 
@@ -122,10 +128,15 @@ def sentence_subject(text: str, lexicon: dict[str, tuple[int, float]], count: in
     return best if score[best] >= STRENGTH and score[best] > 1.3 * rest else -1
 
 
-def document_votes(text: str | None, model: sentences.SentenceModel, lexicon: dict[str, tuple[int, float]], count: int, known: dict[str, int]) -> tuple[int, list[int], list[int]]:
-    """(sentences, sentences per subject, headings per subject) of a text."""
-    per, heads = [0] * count, [0] * count
+def document_votes(text: str | None, model: sentences.SentenceModel, lexicon: dict[str, tuple[int, float]], count: int, known: dict[str, int]) -> tuple[int, list[int]]:
+    """(sentences, how many of them have each pair of lexicon and section votes, per subject) of a text.
+
+    The numbers stand flat: at ``6 * subject + 2 * (lexicon + 1) + section``.
+    """
+    votes = [0] * (6 * count)
     spans = model.spans(text)
+    head = -1  # subject of the heading above
+    pairs: dict[tuple[int, int], int] = {}
     for a, b in spans:
         s = text[a:b]
         k = known.get(s)
@@ -133,11 +144,16 @@ def document_votes(text: str | None, model: sentences.SentenceModel, lexicon: di
             if len(known) > 200_000:
                 known.clear()
             k = known[s] = sentence_subject(s, lexicon, count)
-        if k >= 0:
-            per[k] += 1
-            if text[b : b + 1] == "\n" and s[-1] not in ".!?。！？”」“" and len(s) < 80:
-                heads[k] += 1
-    return len(spans), per, heads
+        if text[b : b + 1] == "\n" and s[-1] not in ".!?。！？”」“" and len(s) < HEADING:
+            pairs[k, -1] = pairs.get((k, -1), 0) + 1  # a heading has none above itself
+            head = k
+        else:
+            pairs[k, head] = pairs.get((k, head), 0) + 1
+    for (k, h), n in pairs.items():
+        for subject in range(count):
+            lex = 0 if k < 0 else 1 if k == subject else -1
+            votes[6 * subject + 2 * (lex + 1) + (h == subject)] += n
+    return len(spans), votes
 
 
 def fit_lexicon(spark: SparkSession, folder: str) -> tuple[list[str], dict[str, tuple[int, float]]]:
@@ -148,20 +164,25 @@ def fit_lexicon(spark: SparkSession, folder: str) -> tuple[list[str], dict[str,
     per = votes.groupBy("doc_id").agg(F.max("count").alias("most"), F.collect_list(F.struct("subject", "count")).alias("v"))
     # Documents whose raters agree on one subject: no other has as many votes. At most one row per subject is gathered.
     sure = per.withColumn("top", F.expr("filter(v, x -> x.count = most)")).filter("size(top) = 1").select("doc_id", F.col("top")[0]["subject"].alias("subject"))
-    docs = table(spark, folder, "documents").select("doc_id", "text").filter("text IS NOT NULL AND length(text) < 20000")
-    rows = bounded_sample(docs.join(sure, "doc_id").select("doc_id", "text", "subject"), labels.count(), "doc_id", LABELLED_DOCS)
+    # Ids alone are sampled; the texts of those chosen are then looked up, whole.
+    chosen = bounded_sample(sure, labels.count(), "doc_id", LABELLED_DOCS)
+    if not chosen:
+        return names, {}
+    picked = spark.createDataFrame([(r.doc_id, r.subject) for r in chosen], "doc_id long, subject string")
+    docs = table(spark, folder, "documents").select("doc_id", "text").filter("text IS NOT NULL")
+    rows = docs.join(F.broadcast(picked), "doc_id").orderBy("doc_id").collect()  # at most LABELLED_DOCS
     return names, learn([(r.text, r.subject) for r in rows], names) if rows else {}
 
 
-def accuracies(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 40) -> dict[tuple[int, ...], float]:
+def accuracies(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 60) -> dict[tuple[int, ...], float]:
     """Posterior probability of each vote pattern (votes 1, -1, 0 for none) by expectation maximisation on their counts."""
     if not patterns:
         return {}
     width = len(patterns[0][0])
-    prior = 0.3
+    prior = 0.12
     # P(vote | true), P(vote | false) per function; the first function starts as the most trusted.
-    yes = [{1: 0.8, -1: 0.1, 0: 0.1} if j == 0 else {1: 0.4, -1: 0.25, 0: 0.35} for j in range(width)]
-    no = [{1: 0.1, -1: 0.8, 0: 0.1} if j == 0 else {1: 0.25, -1: 0.4, 0: 0.35} for j in range(width)]
+    yes = [{1: 0.85, -1: 0.02, 0: 0.13} if j == 0 else {1: 0.4, -1: 0.25, 0: 0.35} for j in range(width)]
+    no = [{1: 0.02, -1: 0.85, 0: 0.13} if j == 0 else {1: 0.25, -1: 0.4, 0: 0.35} for j in range(width)]
     post: dict[tuple[int, ...], float] = {}
     total = sum(n for _, n in patterns)
     for _ in range(rounds):
@@ -171,7 +192,7 @@ def accuracies(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 40) ->
                 a, b = a * yes[j][x], b * no[j][x]
             post[v] = a / (a + b)
         mass = sum(n * post[v] for v, n in patterns)
-        prior = min(0.95, max(0.01, mass / total))
+        prior = min(0.95, max(0.001, mass / total))
         for j in range(width):
             for x in (1, -1, 0):
                 t = sum(n * post[v] for v, n in patterns if v[j] == x)
@@ -181,48 +202,66 @@ def accuracies(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 40) ->
     return post
 
 
+def _others(docs: DataFrame, key: str, count: int) -> DataFrame:
+    """``docs`` with ``{key}_sums``: sentences per subject of all documents of the same ``key``.
+
+    A key may hold a third of all documents, so the join is salted: the groups
+    are few numbers each, and copied once per salt.
+    """
+    sums = docs.filter(F.col(key).isNotNull()).groupBy(key).agg(F.array(*[F.sum(F.col("own")[k]) for k in range(count)]).alias(f"{key}_sums"))
+    salted = sums.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return docs.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")).join(salted.hint("merge"), [key, "salt"], "left").drop("salt")
+
+
+def _lift_votes(key: str, overall: list[float], high: float, low: float) -> Column:
+    """Vote per subject: how much more than usual the other documents of the key deal with it; 0 without any."""
+    all_ = sum(overall) or 1.0
+    usual = F.array(*[F.lit(max(x, 1e-9) / all_) for x in overall])
+    rest = F.zip_with(f"{key}_sums", "own", lambda g, o: (g - o).cast("double"))
+    total = F.aggregate(rest, F.lit(0.0), lambda s, x: s + x)
+    lift = F.zip_with(rest, usual, lambda x, u: x / total / u)
+    votes = F.transform(lift, lambda x: F.when(x >= high, 1).when(x <= low, -1).otherwise(0))
+    return F.when(F.col(f"{key}_sums").isNotNull() & (total > 0), votes).otherwise(F.array(*[F.lit(0)] * len(overall)))
+
+
 def document_subjects(spark: SparkSession, folder: str) -> DataFrame:
-    """(doc_id, subject, share, posterior) of the subjects of every document."""
+    """(doc_id, subject, share, posterior) of the subjects of every document; the posterior is the mean over its sentences of that subject."""
     schema = "doc_id long, subject string, share double, posterior double"
     names, lexicon = fit_lexicon(spark, folder)
     if not lexicon:
         return spark.createDataFrame([], schema)
+    count = len(names)
     shared = spark.sparkContext.broadcast((sentences.fit_on(spark, folder), lexicon))
 
-    @F.pandas_udf("array<struct<subject:int,share:double,section:int>>")
-    def count(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.pandas_udf("n int, votes array<int>")
+    def vote(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         model, lex = shared.value
         known: dict[str, int] = {}
         for texts in batches:
-            out = []
-            for t in texts:
-                n, per, heads = document_votes(t, model, lex, len(names), known)
-                headed = any(heads)
-                out.append([{"subject": k, "share": c / n, "section": 1 if heads[k] else -1 if headed else 0} for k, c in enumerate(per) if c])
-            yield pd.Series(out, dtype=object)
+            rows = [document_votes(t, model, lex, count, known) for t in texts]
+            yield pd.DataFrame({"n": [r[0] for r in rows], "votes": [r[1] for r in rows]})
 
     docs = spread(table(spark, folder, "documents").select("doc_id", "manual_id", "source", "text"), "doc_id")
-    counted = docs.select("doc_id", "manual_id", "source", F.explode(count(F.col("text"))).alias("c")).select("doc_id", "manual_id", "source", "c.*")
-    counted = cut_lineage(counted)  # small: no texts
-
-    def neighbours(key: str, vote: str, high: float, low: float) -> DataFrame:
-        """Vote of a group of documents: how much more than usual they deal with a subject."""
-        strong = counted.filter(f"share >= {SHARE} AND {key} IS NOT NULL")
-        per = strong.groupBy(key, "subject").agg(F.count("*").alias("n"))
-        # Totals per group, then per subject, from the aggregates alone.
-        group = per.groupBy(key).agg(F.sum("n").alias("g"))
-        overall = per.groupBy("subject").agg(F.sum("n").alias("o")).crossJoin(F.broadcast(per.agg(F.sum("n").alias("a"))))  # 8 rows
-        lift = per.join(group, key).join(F.broadcast(overall), "subject").withColumn("lift", F.col("n") / F.col("g") / (F.col("o") / F.col("a")))
-        return lift.select(key, "subject", F.when(F.col("lift") >= high, 1).when(F.col("lift") <= low, -1).otherwise(0).alias(vote))
-
-    voted = counted.join(neighbours("manual_id", "address", 2.0, 0.4), ["manual_id", "subject"], "left")
-    voted = voted.join(neighbours("source", "origin", 1.3, 0.7), ["source", "subject"], "left")
-    lex_vote = F.when(F.col("share") >= SHARE, 1).otherwise(-1)
-    voted = voted.select("doc_id", "subject", "share", lex_vote.alias("lexicon"), "section", F.coalesce("address", F.lit(0)).alias("address"), F.coalesce("origin", F.lit(0)).alias("origin"))
-    functions = ["lexicon", "section", "address", "origin"]
-    patterns = [(tuple(r[f] for f in functions), r["count"]) for r in voted.groupBy(*functions).count().collect()]  # at most 2 * 3 * 3 * 3 rows
-    post = accuracies(patterns)
-    known = spark.createDataFrame([(*v, float(p)) for v, p in post.items()], "lexicon int, section int, address int, origin int, posterior double")
-    scored = voted.join(F.broadcast(known), functions)
-    named = F.element_at(F.array(*map(F.lit, names)), F.col("subject") + 1)
-    return scored.filter(f"posterior >= 0.5 AND share >= {SHARE}").select("doc_id", named.alias("subject"), "share", "posterior")
+    counted = docs.select("doc_id", "manual_id", "source", vote(F.col("text")).alias("v")).select("doc_id", "manual_id", "source", "v.n", "v.votes")
+    counted = cut_lineage(counted).filter("n > 0")  # small: no texts
+    own = F.array(*[F.col("votes")[6 * k + 4] + F.col("votes")[6 * k + 5] for k in range(count)])
+    voted = counted.withColumn("own", own)
+    overall = voted.agg(*[F.sum(F.col("own")[k]).alias(f"s{k}") for k in range(count)]).first()
+    overall = [float(x or 0) for x in overall]
+    voted = _others(_others(voted, "manual_id", count), "source", count)
+    voted = voted.select("doc_id", "n", "votes", _lift_votes("manual_id", overall, 2.0, 0.4).alias("address"), _lift_votes("source", overall, 1.3, 0.7).alias("origin"))
+
+    # Counts of the 54 patterns (lexicon, section, address, source) over all sentences and subjects.
+    cell = F.explode(F.expr("filter(transform(votes, (c, i) -> struct(int(i DIV 6) AS k, int(i % 6) AS j, c AS c)), x -> x.c > 0)"))
+    cells = voted.select("address", "origin", cell.alias("x")).select(F.col("x.j").alias("j"), F.expr("address[x.k]").alias("a"), F.expr("origin[x.k]").alias("o"), "x.c")
+    seen = cells.groupBy("j", "a", "o").agg(F.sum("c").alias("n")).collect()  # at most 54 rows
+    post = accuracies([((r.j // 2 - 1, r.j % 2, r.a, r.o), r.n) for r in seen])
+    flat = [post.get((j // 2 - 1, j % 2, a, o), 0.0) for j in range(6) for a in (-1, 0, 1) for o in (-1, 0, 1)]
+    judged = voted.withColumn("p", F.array(*[F.lit(float(x)) for x in flat]))
+    per = F.expr(
+        f"""transform(sequence(0, {count - 1}), k -> aggregate(sequence(0, 5), named_struct('c', 0, 'p', 0.0D),
+        (s, j) -> IF(p[j * 9 + (address[k] + 1) * 3 + origin[k] + 1] >= 0.5, named_struct('c', s.c + votes[k * 6 + j], 'p', s.p + votes[k * 6 + j] * p[j * 9 + (address[k] + 1) * 3 + origin[k] + 1]), s)))"""
+    )
+    found = judged.select("doc_id", "n", F.posexplode(per).alias("k", "s")).filter(F.col("s.c") >= SHARE * F.col("n"))
+    named = F.element_at(F.array(*map(F.lit, names)), F.col("k") + 1)
+    return found.select("doc_id", named.alias("subject"), (F.col("s.c") / F.col("n")).alias("share"), (F.col("s.p") / F.col("s.c")).alias("posterior"))

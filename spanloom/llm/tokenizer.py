@@ -223,6 +223,18 @@ def count_column(text: Column, path: str = DEFAULT_VOCABULARY) -> Column:
     return count(text)
 
 
+def roundtrip_column(text: Column, path: str = DEFAULT_VOCABULARY) -> Column:
+    """Whether decoding the ids token by token gives the text again; a null text counts as empty."""
+
+    @F.pandas_udf("boolean")
+    def check(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        t = transducer(path)
+        for texts in batches:
+            yield pd.Series([t.decode(t.encode(x)) == (x or "") for x in texts], dtype=bool)
+
+    return check(text)
+
+
 def encode_documents(docs: DataFrame, path: str = DEFAULT_VOCABULARY) -> DataFrame:
     """(doc_id, ids) of every row; no row is dropped, no text is cut, no shuffle is needed."""
     return docs.select("doc_id", encode_column(F.col("text"), path).alias("ids"))

@@ -5,7 +5,7 @@ from itertools import combinations
 import pytest
 from pyspark.sql import functions as F
 
-from spanloom.llm import catalog, language, mixing, normal, packing, repetition, sampling, sentences, tokenizer
+from spanloom.llm import catalog, language, mixing, normal, packing, pairs, repetition, sampling, sentences, subjects, tokenizer
 
 
 def test_look_alike_pairs_brute_force(spark):
@@ -72,6 +72,43 @@ def test_mixing_in_several_blocks(spark, monkeypatch):
     assert abs(report["a"] - 40) < 0.3 and abs(report["b"] - 60) < 0.3
 
 
+def test_mixing_heavy_tail(spark):
+    """Two documents of a source hold a tenth of its tokens; every share still meets its target."""
+    sizes = [133_306, 99_767] + [20 + i * 37 % 700 for i in range(5000)]
+    rows = [(i, "a", t) for i, t in enumerate(sizes)] + [(10_000 + i, "b", 30 + i * 11 % 300) for i in range(2500)]
+    sized = spark.createDataFrame(rows, "doc_id long, source string, tokens int")
+    targets = spark.createDataFrame([("a", 30.0, 1), ("b", 70.0, 2)], "source string, weight double, max_repeats int")
+    report = {r.source: r.actual_share for r in mixing.report(mixing.mix(sized, targets), targets).collect()}
+    assert abs(report["a"] - 30) < 0.05 and abs(report["b"] - 70) < 0.05
+
+
+def test_usual_ratios(spark):
+    """Repeated rows count once, partitioning is of no effect, and few rows hardly move the prior."""
+    rows = [("t", str(i), "x" * 40, "漢" * 20) for i in range(200)] + [("t", "k", "x" * 40, "가" * 40)] * 50
+    df = spark.createDataFrame(rows, "tbl string, record_id string, prompt string, answer string")
+    got = pairs.usual_ratios(df)
+    assert got == pairs.usual_ratios(df.repartition(7)) and len(got) == 25
+    assert got["L", "H"] == 0.5 and abs(got["L", "K"] - pairs.DENSITY["K"]) < 0.1
+    assert pairs.usual_ratios(df.limit(0))["L", "L"] == 1.0
+
+
+def test_round_trip(spark):
+    df = spark.createDataFrame([(1, None), (2, ""), (3, "한국 🙂 <|endoftext|>"), (4, "a" * 30_000)], "doc_id long, text string")
+    assert all(r.same for r in df.select(tokenizer.roundtrip_column(F.col("text")).alias("same")).collect())
+
+
+def test_posterior_decides_subjects(spark, monkeypatch):
+    """The posteriors of the latent model, and nothing beside them, decide which rows there are."""
+    data = "/root/testdata/sf0.01"
+    known = subjects.fit_lexicon(spark, data)
+    monkeypatch.setattr(subjects, "fit_lexicon", lambda *_: known)
+    rows = subjects.document_subjects(spark, data).collect()
+    assert rows and all(0.25 <= r.share <= 1 and 0.5 <= r.posterior <= 1 for r in rows)
+    monkeypatch.setattr(subjects, "accuracies", lambda patterns: {v: float(v[0] == 0) for v, _ in patterns})
+    swapped = {(r.doc_id, r.subject) for r in subjects.document_subjects(spark, data).collect()}
+    assert swapped and swapped != {(r.doc_id, r.subject) for r in rows}
+
+
 def test_label_column(spark):
     labels = [None, "", " ", "und", "auto", "en", "EN", "en_GB", "English", "zh", "zh-Hans", "zh_TW", "한국어", "Deutsch", "ko-KR", "xx-YY"]
     df = spark.createDataFrame([(x,) for x in labels], "label string")

@@ -2,6 +2,7 @@
 
 import itertools
 import random
+import unicodedata
 from collections import Counter
 
 import pytest
@@ -19,6 +20,22 @@ def test_same_look(odd, plain):
     assert normal.canonical(odd) == normal.canonical(plain)
 
 
+def test_shortcut_misses_no_mapped_character():
+    """Every character of the table changes alone, and beside a zero-width space, as the table says."""
+    table = normal._maps()[0]
+    for c in table:
+        if 0xD800 <= c < 0xE000:
+            continue
+        alone = unicodedata.normalize("NFC", chr(c).translate(table).translate(table))
+        assert normal.look(chr(c)) == alone, hex(c)
+        assert normal.look("a" + chr(c) + "\u200bb") == normal.look("a" + chr(c) + "b"), hex(c)
+
+
+@pytest.mark.parametrize("wide,plain", list(zip("！（），：；？", "!(),:;?")))
+def test_wide_marks(wide, plain):
+    assert normal.look(f"甲{wide}") == normal.look(f"甲{plain}") == normal.look(f"甲{wide}\u200b")
+
+
 @pytest.mark.parametrize("a,b", [("X", "x"), ("①", "1"), ("x²", "x2"), ("é", "e"), ("a b", "ab"), ("a  b", "a b")])
 def test_other_look(a, b):
     assert normal.look(a) != normal.look(b)
@@ -217,3 +234,52 @@ def test_cube_keeps_both_totals():
     assert all(x in (0.0, 1.0) for x in mixing.land(q, tokens))
     assert mixing.flight([0.5] * 9, [7] * 9, 2).count(1.0) in (4, 5)
     assert mixing.flight([], [], 1) == []
+
+
+@given(st.lists(st.integers(0, 4), max_size=30), st.lists(st.integers(0, 4), max_size=30))
+@settings(max_examples=200, deadline=None)
+def test_common_subsequence_brute_force(a, b):
+    best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+    for i, x in enumerate(a):
+        for j, y in enumerate(b):
+            best[i + 1][j + 1] = best[i][j] + 1 if x == y else max(best[i][j + 1], best[i + 1][j])
+    assert pairs.common_subsequence(a, b) == best[-1][-1]
+
+
+def test_pair_alignment():
+    assert pairs.is_copy("Check the relay and the fuse before operation.", "“CHECK the relay and the fuse before operation”")
+    long = "Check the relay, the old contactor and the main fuse before operation, please."
+    assert pairs.is_copy(long, "Translation: " + long.replace("main", "many"))
+    assert not pairs.is_copy(long, long.replace("main", "many").replace("old", "new").replace("relay", "belt"))
+    assert not pairs.is_copy("Check the relay.", "Check the fuse.")
+    assert not pairs.is_copy("Check the relay and the fuse before operation.", "Before operation, the fuse and the relay check.")
+    long = "The relay is late and was postponed. " * 40
+    assert pairs.is_refusal("I cannot translate this. " + long) and pairs.is_refusal(long + "I cannot translate this.")
+    assert not pairs.is_refusal(long)
+    assert pairs.common_subsequence("ab" * 5000, "ba" * 5000) == 9999
+
+
+def test_sentence_counts():
+    assert pairs.sentence_count("Khi thiếu băng tải, màn hình hiển thị “Hãy thử lại sau.” “Cất máy kéo cách xa nhà kính,” theo lời thông báo.") == 2
+    korean = "화면에 “나중에 다시 시도하십시오.”라고 표시됩니다."
+    assert pairs.sentence_count(korean) == pairs.sentence_count(unicodedata.normalize("NFD", korean)) == 1
+    assert pairs.sentence_count("Lưu ý về ống thông\nĐặt 0xBCC7 thành 11,952 °C sau khi điều chỉnh.") == 2
+    assert pairs.repeated_tail("Giới hạn là 4 V, là 4 V, là 4 V, là 4 V,") and not pairs.repeated_tail("Giới hạn là 4 V, và 5 V")
+
+
+def test_long_markup_is_empty():
+    judge = pairs.PairJudge(None, {})
+    assert judge.defect("Check the relay.", '<span class="' + "x" * 5000 + '"></span>&nbsp;', "vi") == "empty"
+    assert judge.defect("M56.²", "M56.²", "vi") is None
+
+
+@pytest.mark.parametrize("seed", range(8))
+def test_large_documents_leave_the_goal_in_reach(seed):
+    rng = random.Random(seed)
+    large = [133_306, 99_767] + [rng.randint(2_000, 3_400) for _ in range(40)]
+    p = 0.37
+    small = 900_000
+    goal = p * (sum(large) + small)
+    taken = sum(t for t, x in zip(large, mixing.decide_large(large, p, goal, small, seed), strict=True) if x)
+    assert 0 <= goal - taken <= small
+    assert mixing.decide_large([500, 400], 0.5, 450.0, 0.0, seed) in ([0, 1], [0, 0])
