@@ -29,12 +29,15 @@ def local_session(cores: int | str = 8, memory: str = "12g") -> SparkSession:
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` to the reliable checkpoint folder and read it back.
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``; only
-    where that is unset (local tests) a temporary folder is used. Unlike a
-    local checkpoint, the written files survive the loss of any executor.
+    The folder is the one the cluster names in ``spark.checkpoint.dir``. Where
+    that is unset, a local session uses a temporary folder; on a cluster, whose
+    machines share no such folder, that is an error. Unlike a local checkpoint,
+    the written files survive the loss of any executor.
     """
     sc = df.sparkSession.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         named = sc.getConf().get("spark.checkpoint.dir", None)
+        if not named and not (sc.master or "").startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="spanloom-"))
     return df.checkpoint(eager=True)
