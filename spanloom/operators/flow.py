@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-SAFE_CHARS, SAFE_WORDS, SAFE_CLOSED_CHARS = 24, 4, 12
+from spanloom.functions import patterns as P
+from spanloom.functions import spans
+from spanloom.functions.patterns import jvm
+from spanloom.operators import integrity, rules
+
+LONGEST_CONTEXT = 300  # characters
 
 
 def segment_dedup(segments: DataFrame) -> DataFrame:
@@ -39,34 +46,156 @@ def lookup_precedence(segments: DataFrame, occurrences: DataFrame, cache: DataFr
     return out.select("segment_id", source.alias("found_in"))
 
 
-def safe_to_share(text):
-    """Texts long or closed enough to share one translation."""
-    words = F.size(F.split(F.trim(text), r"\s+"))
-    closed = text.rlike("[.!?。！？]$")
-    return F.coalesce((F.length(text) >= SAFE_CHARS) | (words >= SAFE_WORDS) | ((F.length(text) >= SAFE_CLOSED_CHARS) & closed), F.lit(False))
+def loaded_segments(segments: DataFrame) -> DataFrame:
+    """Segments as a loader takes them: one per id; a row without a source, or an id with two sources, is an error.
 
+    A missing id is the hash of the source.
+    """
+    key = F.coalesce("segment_id", F.substring(F.sha2("src", 256), 1, 16))
+    rows = segments.withColumn("segment_id", key)
+    same = F.struct("src", "logical_unit_id", "occurrence_id", "source_fragment_ids")
+    per = rows.groupBy("segment_id").agg(F.min("src").alias("src"), F.countDistinct(same).alias("versions"), F.count_if(F.col("src").isNull() | (F.col("src") == "")).alias("without"))
+    fail = lambda c, m: F.when(c, F.raise_error(F.lit(m)).cast("string"))
+    checked = F.coalesce(fail(F.col("without") > 0, "a source record needs a text"), fail(F.col("versions") > 1, "an id stands for several sources"), F.col("src"))
+    return per.select("segment_id", checked.alias("src"))
 
-def job_fanout(segments: DataFrame) -> DataFrame:
-    """Jobs (shared by equal safe texts, else one per segment) and how many segments each serves."""
+
+def job_keys(segments: DataFrame, service: str = "google") -> DataFrame:
+    """(segment_id, src, lang_out, job, identity): segments of one text share a job where that is safe, else each has its own.
+
+    The identity of a job is the hash of its text, or of text and place.
+    """
     seg = segments.select("segment_id", "src", "lang_out").dropDuplicates(["segment_id"]).filter("src IS NOT NULL")
-    key = F.when(safe_to_share(F.col("src")), F.sha2(F.concat_ws("\x01", "src", "lang_out"), 256)).otherwise(F.col("segment_id"))
-    return seg.groupBy(key.alias("job")).agg(F.count("*").alias("served"), F.min("segment_id").alias("first_segment"))
+    shared = rules.safe_to_share(F.col("src"))
+    if service == "handoff":
+        shared = shared & ~rules.context_sensitive(F.col("src"))
+    place = F.concat("src", F.lit("\x00index="), "segment_id")
+    job = F.when(shared, F.sha2(F.concat_ws("\x01", "src", "lang_out"), 256)).otherwise(F.col("segment_id"))
+    return seg.select("segment_id", "src", "lang_out", job.alias("job"), F.substring(F.sha2(F.when(shared, F.col("src")).otherwise(place), 256), 1, 16).alias("identity"))
+
+
+def job_fanout(segments: DataFrame) -> DataFrame:
+    """Jobs and how many segments each serves."""
+    return job_keys(segments).groupBy("job").agg(F.count("*").alias("served"), F.min("segment_id").alias("first_segment"))
+
+
+def job_outcomes(segments: DataFrame, cache: DataFrame) -> DataFrame:
+    """(segment_id, job, chars): every job is looked up once, by its first segment's text, and the outcome goes back to all segments of the job.
+
+    The outcome is null where the cache has none. Jobs are far fewer than
+    segments only if texts repeat; both joins are on the job's key.
+    """
+    keys = job_keys(segments)
+    jobs = keys.groupBy("job").agg(F.min_by(F.struct("src", "lang_out"), "segment_id").alias("r")).select("job", "r.*")
+    known = cache.filter("translation IS NOT NULL").groupBy(F.col("original_text").alias("src"), F.get_json_object("translate_engine_params", "$.lang_out").alias("lang_out"))
+    known = known.agg(F.max_by("translation", F.struct("written_at", "id")).alias("translation"))
+    done = jobs.join(known, ["src", "lang_out"], "left").select("job", F.length("translation").alias("chars"))
+    return keys.select("segment_id", "job").join(done, "job").select("segment_id", "job", "chars")
+
+
+def cascade(segments: DataFrame, cache: DataFrame) -> DataFrame:
+    """(segment_id, found_in): the first of the provider's cache with a valid translation, the hand-off's cache, else the provider.
+
+    A cached translation of the provider with signs of corruption is passed on
+    ('escalated') unless the hand-off has one.
+    """
+    seg = segments.select("segment_id", "src", "lang_out").dropDuplicates(["segment_id"])
+    engine = lambda e: cache.filter((F.col("translate_engine") == e) & F.col("translation").isNotNull()).groupBy(F.col("original_text").alias("src"), F.get_json_object("translate_engine_params", "$.lang_out").alias("lang_out")).agg(F.max_by("translation", F.struct("written_at", "id")).alias(e))
+    both = seg.join(engine("google"), ["src", "lang_out"], "left").join(engine("handoff"), ["src", "lang_out"], "left")
+    codes = integrity.integrity_codes(F.col("src"), F.col("google"), F.lit(None).cast("string"), F.col("lang_out"), F.lit(True))
+    bad = F.col("google").isNotNull() & (F.size(codes) > 0)
+    where = F.when(F.col("google").isNotNull() & ~bad, "google").when(F.col("handoff").isNotNull(), "handoff").when(bad, "escalated").otherwise("provider")
+    return both.select("segment_id", where.alias("found_in"))
+
+
+def assess(sources: DataFrame, supplied: DataFrame, kept: Sequence[str] = spans.KEPT_NAMES, glossary: dict[str, str] | None = None) -> DataFrame:
+    """(segment_id, verdict) of every source, and of supplied translations that fit none.
+
+    ``sources`` has segment_id, src; ``supplied`` segment_id, src, dst (a missing id is
+    the hash of src). Errors first: 'unknown_id', 'source_mismatch' and 'duplicate'; then
+    'missing' without a translation, the first check that fails, or 'accepted'.
+    """
+    s = sources.select("segment_id", F.col("src").alias("own")).dropDuplicates(["segment_id"])
+    given = supplied.select(F.coalesce("segment_id", F.substring(F.sha2("src", 256), 1, 16)).alias("segment_id"), "src", "dst")
+    per = given.groupBy("segment_id").agg(F.count("*").alias("n"), F.min("src").alias("src"), F.min("dst").alias("dst"))
+    both = s.join(per, "segment_id", "full_outer")
+    failed = integrity.first_failure(F.col("own"), F.col("dst"), F.lit("vi"), kept, glossary)
+    verdict = (
+        F.when(F.col("own").isNull(), "unknown_id").when(F.col("n") > 1, "duplicate").when(F.col("src") != F.col("own"), "source_mismatch")
+        .when(F.coalesce(F.col("dst"), F.lit("")) == "", "missing").otherwise(F.coalesce(failed, F.lit("accepted")))
+    )
+    return both.select("segment_id", verdict.alias("verdict"))
+
+
+def segment_table(supplied: DataFrame) -> DataFrame:
+    """(segment_id, src, dst) of the usable rows of a translation table: with source and target, formula markers in tag form, and the same tags on both sides."""
+    tags = lambda c: F.regexp_replace(c, jvm(r"(?i)\{\s*v(\d+)\s*\}"), "<b$1></b$1>")
+    rows = supplied.filter("src IS NOT NULL AND dst IS NOT NULL AND dst <> ''").select("segment_id", "src", tags(F.col("dst")).alias("dst"))
+    s, d = tags(F.col("src")), F.col("dst")
+    pairs = (integrity.style_pairs(s) == integrity.style_pairs(d)) & (integrity.formula_tags(s) == integrity.formula_tags(d))
+    return rows.filter(F.coalesce(pairs, F.lit(False)))
 
 
 def two_strike(attempts: DataFrame) -> DataFrame:
-    """Identities trusted after two failures without a success between, and since when.
+    """(identity, trusted_at, reason): identities trusted after two failures without a success between, since when, and the first one's reason.
+
+    ``attempts`` has identity, seq, outcome ('failure', 'success', others neutral) and, if
+    known, reason; a failure of blank reason counts as neutral.
+    """
+    rows = attempts if "reason" in attempts.columns else attempts.withColumn("reason", F.lit("failure"))
+    counted = rows.filter("outcome = 'success' OR (outcome = 'failure' AND trim(reason) <> '')")
+    w = Window.partitionBy("identity").orderBy("seq")
+    seen = counted.withColumn("before", F.lag(F.struct("outcome", "reason")).over(w))
+    struck = seen.filter("outcome = 'failure' AND before.outcome = 'failure'")
+    return struck.groupBy("identity").agg(F.min("seq").alias("trusted_at"), F.min_by("before.reason", "seq").alias("reason"))
 
-    ``attempts`` has identity, seq, outcome ('failure', 'success', others neutral).
+
+def skipped(attempts: DataFrame) -> DataFrame:
+    """(identity, seq, reason): later attempts of trusted identities, which are not made."""
+    return attempts.select("identity", "seq").join(two_strike(attempts), "identity").filter("seq > trusted_at").select("identity", "seq", "reason")
+
+
+def retry_state(attempts: DataFrame) -> DataFrame:
+    """(identity, seq, attempt, budget, wait, stop): attempts since the last success, and whether the error's budget is spent.
+
+    ``attempts`` has identity, seq, outcome and error (its class). Waits double from
+    one second to a minute.
     """
     w = Window.partitionBy("identity").orderBy("seq")
-    seen = attempts.filter("outcome IN ('failure', 'success')").withColumn("before", F.lag("outcome").over(w))
-    return seen.filter("outcome = 'failure' AND before = 'failure'").groupBy("identity").agg(F.min("seq").alias("trusted_at"))
+    rounds = F.count_if(F.col("outcome") == "success").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    failures = attempts.withColumn("round", F.coalesce(rounds, F.lit(0))).filter("outcome = 'failure'")
+    attempt = F.row_number().over(Window.partitionBy("identity", "round").orderBy("seq"))
+    kind = rules.retry_class(F.col("error"))
+    budget = F.when(kind == "pre_provider", P.BUDGETS["pre_provider"]).when(kind == "content", P.BUDGETS["content"]).otherwise(P.BUDGETS["transport"])
+    rows = failures.select("identity", "seq", attempt.alias("attempt"), budget.alias("budget"))
+    wait = F.least(F.lit(60.0), F.pow(F.lit(2.0), F.least(F.col("attempt") - 1, F.lit(6))))
+    return rows.select("identity", "seq", "attempt", "budget", wait.alias("wait"), (F.col("attempt") >= F.col("budget")).alias("stop"))
 
 
-def adjacent_context(segments: DataFrame, longest: int = 300) -> DataFrame:
-    """The nearest short neighbour of each segment in its manual's queue: the previous one, else the next."""
-    once = segments.select("segment_id", "manual_id", "src", "queued_at").dropDuplicates(["segment_id"])
-    w = Window.partitionBy("manual_id").orderBy("queued_at", "segment_id")
-    near = once.select("segment_id", F.lag("src").over(w).alias("p"), F.lag("segment_id").over(w).alias("pid"), F.lead("src").over(w).alias("n"), F.lead("segment_id").over(w).alias("nid"))
-    fits = lambda c: F.length(c) <= longest
-    return near.select("segment_id", F.when(fits("p"), F.col("pid")).when(fits("n"), F.col("nid")).alias("context_id"))
+def negative_cache(segments: DataFrame, engine: str = "google") -> DataFrame:
+    """(segment_id, eligible): whether a failure of a segment may be remembered for its text: shared, of the provider, without context of its own."""
+    once = segments.select("segment_id", "src", "context").dropDuplicates(["segment_id"])
+    ok = rules.safe_to_share(F.col("src")) & F.lit(engine == "google") & F.col("context").isNull() & ~rules.context_sensitive(F.col("src"))
+    return once.select("segment_id", F.coalesce(ok, F.lit(False)).alias("eligible"))
+
+
+def adjacent_context(segments: DataFrame, longest: int = LONGEST_CONTEXT) -> DataFrame:
+    """The nearest short neighbour of each segment in its manual's queue that is in another text and of the same wanted language: the previous one, else the next.
+
+    A manual may hold a third of all rows, so neighbours are sought within its
+    days; the first and last rows of a day, a small table, learn theirs from the
+    neighbouring days.
+    """
+    short = F.when(F.length("src") <= longest, F.struct("segment_id", "src", "lang_out"))
+    once = segments.select("segment_id", "manual_id", "src", "lang_out", "queued_at").dropDuplicates(["segment_id"])
+    rows = once.withColumns({"day": F.date_trunc("day", "queued_at"), "me": F.coalesce(short, F.struct("segment_id", F.lit(None).cast("string").alias("src"), "lang_out")), "at": F.struct("queued_at", "segment_id")})
+    inside = Window.partitionBy("manual_id", "day").orderBy("at")
+    near = rows.withColumns({"p": F.lag("me").over(inside), "n": F.lead("me").over(inside)})
+    days = rows.groupBy("manual_id", "day").agg(F.min_by("me", "at").alias("first"), F.max_by("me", "at").alias("last"))
+    along = Window.partitionBy("manual_id").orderBy("day")
+    edges = days.select("manual_id", "day", F.lag("last").over(along).alias("ep"), F.lead("first").over(along).alias("en"))
+    l, e = near.alias("l"), edges.alias("e")
+    both = l.join(e, [F.col("l.manual_id").eqNullSafe(F.col("e.manual_id")), F.col("l.day").eqNullSafe(F.col("e.day"))], "left")
+    fits = lambda c: c["src"].isNotNull() & (c["src"] != F.col("l.src")) & c["lang_out"].eqNullSafe(F.col("l.lang_out"))
+    p, n = F.coalesce("l.p", "e.ep"), F.coalesce("l.n", "e.en")
+    return both.select("l.segment_id", F.when(fits(p), p["segment_id"]).when(fits(n), n["segment_id"]).alias("context_id"))

@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from spanloom.functions.tokens import PATTERNS
+from spanloom.functions import patterns as P
+from spanloom.functions import spans as S
 from spanloom.operators.geometry import PAGE, boxes
 
 #: A tag with its attributes, and the name of one.
@@ -50,44 +47,25 @@ def formula_markers(texts: DataFrame) -> DataFrame:
     return judged.dropDuplicates(["tbl", "field", "record_id"])
 
 
-_PATTERNS = {n: re.compile(p) for n, p in PATTERNS.items()}
-# A character that every token of the category has: texts without it need no search.
-_NEEDS = {"tags": "<", "urls": "://", "windows_paths": ":\\", "posix_paths": "/", "endpoints": "P/", "file_names": ".", "ipv4": ".", "polarity": "O"}
-
-
-def select_spans(text: str | None) -> list[tuple[int, int, str]]:
-    """(start, end, category) of the tokens of all categories, leftmost-longest and without overlap; ends are exclusive."""
-    if not text:
-        return []
-    found = []
-    for name, p in _PATTERNS.items():
-        if _NEEDS.get(name, "") in text:
-            found += [(m.start(), -m.end(), name) for m in p.finditer(text)]
-    found.sort()
-    out, cursor = [], 0
-    for start, end, name in found:
-        if start >= cursor:
-            out.append((start, -end, name))
-            cursor = -end
-    return out
+#: Categories whose tokens stand in the text as they are, so that they have a place.
+PLACED = {
+    "placeholders": P.PLACEHOLDER, "tags": P.TAG, "urls": P.URL, "windows_paths": P.WINDOWS_PATH, "posix_paths": P.POSIX_PATH, "file_names": P.FILE_NAME, "document_labels": P.DOCUMENT_LABEL,
+    "ipv4": P.IPV4, "endpoints": P.ENDPOINT, "identifiers": P.IDENTIFIER, "standards": P.STANDARD, "versions": P.VERSION, "document_ids": P.DOCUMENT_ID, "numbers": P.NUMBER, "ranges": P.RANGE,
+    "units": P.UNIT, "quantities": P.QUANTITY, "single_letter_quantities": P.SINGLE_LETTER_QUANTITY, "polarity": P.POLARITY,
+}
 
 
 def token_spans(texts: DataFrame) -> DataFrame:
-    """(tbl, record_id, start_at, end_at, category): every selected span of every text; ids are reduced before the Python step."""
-
-    @F.pandas_udf("array<struct<start_at:int,end_at:int,category:string>>")
-    def spans(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for part in batches:
-            yield pd.Series([[{"start_at": a, "end_at": b, "category": c} for a, b, c in select_spans(t)] for t in part], dtype=object)
-
+    """(tbl, record_id, start_at, end_at, category): spans of the tokens of all placed categories, leftmost-longest, of every text."""
     once = texts.filter("text IS NOT NULL").dropDuplicates(["tbl", "record_id"])
-    return once.withColumn("s", F.explode(spans(F.col("text")))).select("tbl", "record_id", "s.*")
+    found = S.select(F.concat(*[S.find(F.col("text"), p, n) for n, p in PLACED.items()]))
+    return once.select("tbl", "record_id", F.explode(found).alias("s")).select("tbl", "record_id", F.col("s.start").alias("start_at"), F.col("s.end").alias("end_at"), F.col("s.kind").alias("category"))
 
 
 # Kinds of pages. White space, line ends and digits are those of Unicode, spelled out for Java and RE2 alike.
-_S = "\t-\r\x1c-\x20\x85\xa0  -     　"
+_S = P.SPACE
 BLANK, SOLID, DIGIT = f"[{_S}]", f"[^{_S}]", r"\p{Nd}"
-LINE_END = "\r\n|[\n-\r\x1c-\x1e\x85  ]"
+LINE_END = P.LINE_END
 EDGES = f"^{BLANK}+|{BLANK}+$"
 _RULE = "[\x08�─-╿]"
 #: Flag of a line -> pattern, and up to which line of the page it counts (0: any).

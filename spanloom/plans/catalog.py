@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanloom.functions.scripts import SCRIPTS, profile
-from spanloom.functions.tokens import PATTERNS, bag_minus, tokens
+from spanloom.functions.patterns import SPACE
+from spanloom.functions.scripts import HAN, HANGUL
+from spanloom.functions.spans import APPROVED
 from spanloom.operators import flow, geometry, layout, ledger, metrics, rules, texts, units
+from spanloom.plans import page_queries, rule_queries, token_queries
+from spanloom.plans.common import ALL_TEXTS, TEXTS, Query, all_texts, lit
+from spanloom.plans.page_queries import BOXES as _BOXES
 from spanloom.sources.tables import table, union_records
 
-Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
 _SQL: dict[str, str] = {}
 SMOKE = "/root/testdata/sf0.001"
@@ -24,141 +25,26 @@ def _add(name: str, query: Query, sql: str | None = None) -> None:
         _SQL[name] = sql
 
 
-def _lit(s: str) -> str:
-    return "'" + s.replace("'", "''") + "'"
-
-
 def entry(spark: SparkSession) -> DataFrame:
     """Flagship: numbers and network addresses per language of the documents."""
-    return token_counts_by_language(spark, SMOKE)
+    return token_queries.token_counts_by_language(spark, SMOKE)
 
 
 def queries() -> dict[str, Query]:
-    return dict(_QUERIES)
+    return {**token_queries.QUERIES, **rule_queries.QUERIES, **page_queries.QUERIES, **_QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
-
-
-# Token extraction ---------------------------------------------------------------------------------------------
-
-
-def token_counts_by_language(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents").select("lang", F.size(tokens("numbers", F.col("text"))).alias("n"), F.size(tokens("ipv4", F.col("text"))).alias("a"))
-    return docs.groupBy("lang").agg(F.count("*").alias("documents"), F.sum("n").alias("numbers"), F.sum("a").alias("addresses"))
-
-
-_add(
-    "token_counts_by_language",
-    token_counts_by_language,
-    f"""SELECT lang, count(*) AS documents, sum(len(regexp_extract_all(coalesce(text, ''), {_lit(PATTERNS["numbers"])})))::BIGINT AS numbers,
-    sum(len(regexp_extract_all(coalesce(text, ''), {_lit(PATTERNS["ipv4"])})))::BIGINT AS addresses FROM documents GROUP BY lang""",
-)
-
-
-def _token_query(name: str) -> Query:
-    def query(spark: SparkSession, d: str) -> DataFrame:
-        rows = table(spark, d, "logical_units").select("logical_unit_id", tokens(name, F.col("text")).alias("t")).filter("size(t) > 0")
-        return rows.select("logical_unit_id", F.size("t").alias("n"), F.array_join("t", "|").alias("tokens"))
-
-    return query
-
-
-for _name, _p in PATTERNS.items():
-    _add(
-        f"tok_{_name}",
-        _token_query(_name),
-        f"SELECT logical_unit_id, len(t)::INT AS n, array_to_string(t, '|') AS tokens FROM (SELECT logical_unit_id, regexp_extract_all(coalesce(text, ''), {_lit(_p)}) AS t FROM logical_units) WHERE len(t) > 0",
-    )
-
-
-def bag_diff(spark: SparkSession, d: str) -> DataFrame:
-    """Numbers that a translation lost or gained, with multiplicity."""
-    once = table(spark, d, "occurrences").filter("status = 'TRANSLATED' AND source_text IS NOT NULL AND target_text IS NOT NULL").select("occurrence_id", "source_text", "target_text").dropDuplicates(["occurrence_id"])
-    s, t = tokens("numbers", F.col("source_text")), tokens("numbers", F.col("target_text"))
-    rows = once.select("occurrence_id", s.alias("s"), t.alias("t")).select("occurrence_id", bag_minus(F.col("s"), F.col("t")).alias("m"), bag_minus(F.col("t"), F.col("s")).alias("a"))
-    return rows.filter("size(m) + size(a) > 0").select("occurrence_id", F.array_join("m", "|").alias("missing"), F.array_join("a", "|").alias("added"))
-
-
-_NUM = _lit(PATTERNS["numbers"])
-_add(
-    "bag_diff",
-    bag_diff,
-    f"""WITH o AS (SELECT DISTINCT occurrence_id, source_text, target_text FROM occurrences WHERE status = 'TRANSLATED' AND source_text IS NOT NULL AND target_text IS NOT NULL),
-    x AS (SELECT occurrence_id, unnest(regexp_extract_all(source_text, {_NUM})) AS t, 1 AS s, 0 AS g FROM o UNION ALL SELECT occurrence_id, unnest(regexp_extract_all(target_text, {_NUM})), 0, 1 FROM o),
-    c AS (SELECT occurrence_id, t, sum(s) - sum(g) AS d FROM x GROUP BY occurrence_id, t HAVING sum(s) <> sum(g)),
-    e AS (SELECT occurrence_id, t, d, unnest(range(abs(d)::BIGINT)) AS k FROM c)
-    SELECT occurrence_id, coalesce(string_agg(t, '|' ORDER BY t) FILTER (WHERE d > 0), '') AS missing, coalesce(string_agg(t, '|' ORDER BY t) FILTER (WHERE d < 0), '') AS added FROM e GROUP BY occurrence_id""",
-)
+    return {**token_queries.SQL, **rule_queries.SQL, **page_queries.SQL, **_SQL}
 
-# Scripts and rules --------------------------------------------------------------------------------------------
 
-
-def script_profile(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "logical_units").groupBy(profile(F.col("text")).alias("scripts")).agg(F.count("*").alias("units"))
-
-
-_PROFILE = "concat_ws(',', " + ", ".join(f"CASE WHEN regexp_matches(text, {_lit(c)}) THEN '{s}' END" for s, c in SCRIPTS.items()) + ")"
-_add("script_profile", script_profile, f"SELECT {_PROFILE} AS scripts, count(*) AS units FROM logical_units GROUP BY 1")
-
-
-def translatable_filter(spark: SparkSession, d: str) -> DataFrame:
-    """Table cells with words in them, beside codes and quantities."""
-    once = table(spark, d, "fragments").filter("structural_role = 'table_cell' AND text IS NOT NULL").select("fragment_id", "text").dropDuplicates(["fragment_id"])
-    return once.select("fragment_id", rules.translatable(F.col("text")).alias("translatable"))
-
-
-_add("translatable_filter", translatable_filter, f"SELECT DISTINCT fragment_id, NOT regexp_matches(text, {_lit(rules.CODE_ONLY)}) AS translatable FROM fragments WHERE structural_role = 'table_cell' AND text IS NOT NULL")
-
-
-def route_decision(spark: SparkSession, d: str) -> DataFrame:
-    return rules.route(table(spark, d, "logical_units").filter("text IS NOT NULL"), "text", "logical_unit_id")
-
-
-_SIZE = lambda n, c: f"len(regexp_extract_all({c}, {_lit(PATTERNS[n])}))"
-_add(
-    "route_decision",
-    route_decision,
-    f"""WITH f AS (SELECT logical_unit_id, length(text) AS chars, regexp_matches(text, {_lit(SCRIPTS["latin"])}) AND (regexp_matches(text, {_lit(SCRIPTS["hangul"])}) OR regexp_matches(text, {_lit(SCRIPTS["han"])}) OR regexp_matches(text, {_lit(SCRIPTS["kana"])})) AS mixed,
-    {_SIZE("identifiers", "text")} + {_SIZE("ipv4", "text")} AS protected, {_SIZE("quantities", "text")} AS quantities, {_SIZE("placeholders", "text")} + {_SIZE("tags", "text")} > 0 AS structural,
-    regexp_matches(text, 'If |Nếu |如果|Wenn |ถ้า |경우|보다 크면|超えたら') AS conditional, regexp_matches(text, {_lit(rules.CODE_ONLY)}) AS preserve FROM logical_units WHERE text IS NOT NULL),
-    r AS (SELECT logical_unit_id, CASE WHEN preserve THEN 'preserve' WHEN mixed AND protected >= 2 THEN 'mixed_protected' WHEN structural THEN 'structural' WHEN conditional AND quantities >= 1 THEN 'condition_value'
-    WHEN chars >= 600 AND (mixed OR protected >= 2) THEN 'long' ELSE 'plain' END AS reason FROM f)
-    SELECT logical_unit_id, CASE WHEN reason = 'plain' THEN 'direct' WHEN reason = 'preserve' THEN 'none' ELSE 'handoff' END AS route, reason FROM r""",
-)
-
-
-def routing_ratios(spark: SparkSession, d: str) -> DataFrame:
-    per = route_decision(spark, d).groupBy("route").agg(F.count("*").alias("units"))
-    total = per.agg(F.sum("units").alias("all"))
-    return per.crossJoin(F.broadcast(total)).select("route", "units", F.round(F.col("units") / F.col("all"), 4).alias("ratio"))  # one row
-
-
-_add("routing_ratios", routing_ratios, f"SELECT route, count(*) AS units, round(count(*) / sum(count(*)) OVER (), 4) AS ratio FROM ({_SQL['route_decision']}) GROUP BY route")
-
-
-def integrity_codes(spark: SparkSession, d: str) -> DataFrame:
-    """Failures of translations into Vietnamese."""
-    o = table(spark, d, "occurrences").filter("status = 'TRANSLATED' AND lang_out = 'vi'")
-    return rules.integrity_codes(o, "occurrence_id", "source_text", "target_text")
-
-
-_add(
-    "integrity_codes",
-    integrity_codes,
-    f"""WITH o AS (SELECT DISTINCT occurrence_id, source_text, coalesce(source_text, '') AS s, coalesce(target_text, '') AS t FROM occurrences WHERE status = 'TRANSLATED' AND lang_out = 'vi'),
-    c AS (SELECT occurrence_id, concat_ws(',', CASE WHEN regexp_matches(t, '^[ \\t\\n\\r]*$') THEN 'missing' END, CASE WHEN list_sort(regexp_extract_all(s, {_NUM})) <> list_sort(regexp_extract_all(t, {_NUM})) THEN 'numbers' END,
-    CASE WHEN regexp_matches(t, {_lit(SCRIPTS["hangul"])}) AND source_text IS NOT NULL THEN 'hangul_leak' END, CASE WHEN regexp_matches(t, {_lit(SCRIPTS["han"])}) THEN 'han_leak' END,
-    CASE WHEN s = t AND NOT regexp_matches(s, {_lit(rules.CODE_ONLY)}) THEN 'unchanged' END, CASE WHEN length(s) > 20 AND length(t) > 3 * length(s) THEN 'length' END,
-    CASE WHEN regexp_matches(t, {_lit(SCRIPTS["cyrillic"])}) AND NOT regexp_matches(s, {_lit(SCRIPTS["cyrillic"])}) THEN 'script' END) AS codes FROM o) SELECT occurrence_id, codes FROM c WHERE codes <> ''""",
-)
+# Audit --------------------------------------------------------------------------------------------------------
 
 
 def script_leak_audit(spark: SparkSession, d: str) -> DataFrame:
     """Han and Hangul characters of Vietnamese targets per page, beyond those that preserved sources permit."""
     o = table(spark, d, "occurrences").filter("lang_out = 'vi'").select("occurrence_id", "manual_id", "page", "status", "source_text", "target_text").dropDuplicates(["occurrence_id"])
-    kind = F.array(F.struct(F.lit("hangul").alias("script"), F.lit(SCRIPTS["hangul"]).alias("p")), F.struct(F.lit("han").alias("script"), F.lit(SCRIPTS["han"]).alias("p")))
+    kind = F.array(F.struct(F.lit("hangul").alias("script"), F.lit(HANGUL).alias("p")), F.struct(F.lit("han").alias("script"), F.lit(HAN).alias("p")))
     chars = lambda c, k: F.regexp_extract_all(F.coalesce(F.col(c), F.lit("")), F.col(k), F.lit(0))
     rows = o.withColumn("k", F.explode(kind)).select("manual_id", "page", "k.script", "status", "source_text", "target_text", F.col("k.p").alias("p"))
     actual = rows.select("manual_id", "page", "script", F.explode(chars("target_text", "p")).alias("c")).groupBy("manual_id", "page", "script", "c").agg(F.count("*").alias("n"))
@@ -167,87 +53,13 @@ def script_leak_audit(spark: SparkSession, d: str) -> DataFrame:
     return left.groupBy("manual_id", "page", "script").agg(F.sum("x").alias("leaks")).filter("leaks > 0")
 
 
-_KINDS = f"(VALUES ('hangul', {_lit(SCRIPTS['hangul'])}), ('han', {_lit(SCRIPTS['han'])})) AS k(script, p)"
-_add(
-    "script_leak_audit",
-    script_leak_audit,
-    f"""WITH o AS (SELECT DISTINCT occurrence_id, manual_id, page, status, coalesce(source_text, '') AS s, coalesce(target_text, '') AS t FROM occurrences WHERE lang_out = 'vi'),
+_KINDS = f"(VALUES ('hangul', {lit(HANGUL)}), ('han', {lit(HAN)})) AS k(script, p)"
+_LEAKS = f"""WITH o AS (SELECT DISTINCT occurrence_id, manual_id, page, status, coalesce(source_text, '') AS s, coalesce(target_text, '') AS t FROM occurrences WHERE lang_out = 'vi'),
     chars AS (SELECT o.*, unnest(string_split(t, '')) AS c FROM o), actual AS (SELECT manual_id, page, script, c, count(*) AS n FROM chars, {_KINDS} WHERE c <> '' AND regexp_matches(c, p) GROUP BY ALL),
     src AS (SELECT o.*, unnest(string_split(s, '')) AS c FROM o WHERE status IN ('ALLOWED_PRESERVE', 'UNRESOLVED')), allowed AS (SELECT manual_id, page, script, c, count(*) AS m FROM src, {_KINDS} WHERE c <> '' AND regexp_matches(c, p) GROUP BY ALL)
-    SELECT manual_id, page, script, sum(greatest(0, n - coalesce(m, 0)))::BIGINT AS leaks FROM actual LEFT JOIN allowed USING (manual_id, page, script, c) GROUP BY ALL HAVING sum(greatest(0, n - coalesce(m, 0))) > 0""",
-)
-
-
-def error_classify(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").groupBy(rules.error_class(F.col("text")).alias("class")).agg(F.count("*").alias("documents"))
-
-
-_CASE = "CASE " + " ".join(f"WHEN {' OR '.join(f'contains(t, {_lit(m)})' for m in marks)} THEN '{n}'" for n, marks in rules.ERROR_MARKERS) + " ELSE 'other' END"
-_add("error_classify", error_classify, f"SELECT {_CASE} AS class, count(*) AS documents FROM (SELECT lower(coalesce(text, '')) AS t FROM documents) GROUP BY 1")
-
-_VERSION_ROWS = [("0.10.0", "0.9.0"), ("0.2", "0.2.0"), ("0.2.1", "0.2"), ("v0.2.0-rc1", "0.1.9"), ("1.0", "1.0.1")]
-
-
-def version_compare(spark: SparkSession, d: str) -> DataFrame:
-    """Whether a candidate version is newer; missing parts are zero."""
-    rows = spark.createDataFrame(_VERSION_ROWS, "candidate string, current string")
-    return rows.select("candidate", "current", (rules.version_parts(F.col("candidate")) > rules.version_parts(F.col("current"))).alias("newer"))
-
-
-_PARTS = lambda c: f"list_concat(list_transform(string_split(regexp_extract({c}, '^v?([0-9]+([.][0-9]+)*)', 1), '.'), lambda x: x::INT), [0, 0, 0, 0])[1:4]"
-_add("version_compare", version_compare, f"SELECT candidate, current, {_PARTS('candidate')} > {_PARTS('current')} AS newer FROM (VALUES {', '.join(str(r) for r in _VERSION_ROWS)}) AS v(candidate, current)")
-
-_TAG_ROWS = ["Keep <b0></b0>", "<s1>NOT</s1> now", "<a><b></a></b>", "<x/> alone", "open <s2>", "</s3>", "plain"]
-
-
-def tag_balance(spark: SparkSession, d: str) -> DataFrame:
-    rows = spark.createDataFrame([(t,) for t in _TAG_ROWS], "text string")
-    return rows.select("text", rules.tag_balance(F.col("text")).alias("balanced"))
-
-
-_add("tag_balance", tag_balance, "SELECT * FROM (VALUES " + ", ".join(f"({_lit(t)}, {b})" for t, b in zip(_TAG_ROWS, ("true", "true", "false", "true", "false", "false", "true"), strict=True)) + ") AS v(text, balanced)")
-
-
-def placeholder_roundtrip(spark: SparkSession, d: str) -> DataFrame:
-    """Braced placeholders written as empty tag pairs and back."""
-    rows = spark.createDataFrame([("Set {v0} to {v1}.",), ("none",), ("{v2}{v2}",)], "text string")
-    masked = F.regexp_replace("text", r"\{v(\d+)\}", "<b$1></b$1>")
-    return rows.select("text", masked.alias("masked"), (F.regexp_replace(masked, r"<b(\d+)></b\d+>", "{v$1}") == F.col("text")).alias("same"))
-
-
-_add("placeholder_roundtrip", placeholder_roundtrip, r"""SELECT text, regexp_replace(text, '\{v(\d+)\}', '<b\1></b\1>', 'g') AS masked, regexp_replace(regexp_replace(text, '\{v(\d+)\}', '<b\1></b\1>', 'g'), '<b(\d+)></b\d+>', '{v\1}', 'g') = text AS same FROM (VALUES ('Set {v0} to {v1}.'), ('none'), ('{v2}{v2}')) AS v(text)""")
-
-
-def repeat_runs(spark: SparkSession, d: str) -> DataFrame:
-    """Longest run of one word in a row per target; splits on blanks, then gaps and islands inside the array."""
-    o = table(spark, d, "occurrences").filter("target_text IS NOT NULL").select("occurrence_id", "target_text").dropDuplicates(["occurrence_id"])
-    words = F.split("target_text", " ")
-    step = lambda s, w: F.when(F.equal_null(s["w"], w), F.struct(w.alias("w"), (s["n"] + 1).alias("n"), F.greatest(s["m"], s["n"] + 1).alias("m"))).otherwise(F.struct(w.alias("w"), F.lit(1).alias("n"), F.greatest(s["m"], F.lit(1)).alias("m")))
-    start = F.struct(F.lit(None).cast("string").alias("w"), F.lit(0).alias("n"), F.lit(0).alias("m"))
-    return o.select("occurrence_id", F.aggregate(words, start, step)["m"].alias("longest")).filter("longest >= 4")
-
-
-_add(
-    "repeat_runs",
-    repeat_runs,
-    """WITH o AS (SELECT DISTINCT occurrence_id, target_text FROM occurrences WHERE target_text IS NOT NULL), w AS (SELECT occurrence_id, unnest(string_split(target_text, ' ')) AS w, generate_subscripts(string_split(target_text, ' '), 1) AS i FROM o),
-    g AS (SELECT occurrence_id, w, i - row_number() OVER (PARTITION BY occurrence_id, w ORDER BY i) AS k FROM w), r AS (SELECT occurrence_id, count(*) AS n FROM g GROUP BY occurrence_id, w, k) SELECT occurrence_id, max(n)::INT AS longest FROM r GROUP BY 1 HAVING max(n) >= 4""",
-)
-
-
-def metadata_values(spark: SparkSession, d: str) -> DataFrame:
-    """Structural references of a document (files, labels, versions), by category."""
-    names = ["file_names", "document_labels", "versions", "standards"]
-    docs = table(spark, d, "documents").select("doc_id", "text").filter("text IS NOT NULL")
-    per = F.array(*[F.struct(F.lit(n).alias("category"), tokens(n, F.col("text")).alias("v")) for n in names])
-    return docs.withColumn("c", F.explode(per)).select("doc_id", "c.category", F.explode("c.v").alias("value")).groupBy("category", "value").agg(F.countDistinct("doc_id").alias("documents"))
-
-
-_add(
-    "metadata_values",
-    metadata_values,
-    "SELECT category, value, count(DISTINCT doc_id) AS documents FROM (" + " UNION ALL ".join(f"SELECT doc_id, '{n}' AS category, unnest(regexp_extract_all(text, {_lit(PATTERNS[n])})) AS value FROM documents WHERE text IS NOT NULL" for n in ("file_names", "document_labels", "versions", "standards")) + ") GROUP BY ALL",
-)
+    SELECT manual_id, page, script, sum(greatest(0, n - coalesce(m, 0)))::BIGINT AS leaks FROM actual LEFT JOIN allowed USING (manual_id, page, script, c) GROUP BY ALL HAVING sum(greatest(0, n - coalesce(m, 0))) > 0"""
+_add("script_leak_audit", script_leak_audit, _LEAKS)
+_RECORDED = f"""SELECT *, CASE WHEN demoted THEN 'UNRESOLVED' ELSE status END AS s FROM (SELECT DISTINCT ON (occurrence_id) *, coalesce(status = 'ALLOWED_PRESERVE' AND NOT (coalesce(preserve_reason_is_approved, false) AND coalesce(preserve_reason IN ({', '.join(lit(r) for r in APPROVED)}), false)), false) AS demoted FROM occurrences)"""
 
 # Ledger -------------------------------------------------------------------------------------------------------
 
@@ -260,36 +72,52 @@ _add(
 )
 _add(
     "delivery_status",
-    lambda s, d: ledger.delivery(table(s, d, "occurrences")),
-    """WITH o AS (SELECT DISTINCT ON (occurrence_id) occurrence_id, manual_id, validation_failures, CASE WHEN status = 'ALLOWED_PRESERVE' AND NOT coalesce(preserve_reason_is_approved, false) THEN 'UNRESOLVED' ELSE status END AS s FROM occurrences),
-    p AS (SELECT manual_id, count(*) AS n, count(*) FILTER (WHERE s = 'TRANSLATED') AS translated, count(*) FILTER (WHERE s = 'ALLOWED_PRESERVE') AS preserved, count(*) FILTER (WHERE s = 'UNRESOLVED') AS unresolved,
-    count(*) FILTER (WHERE s IS NULL OR s NOT IN ('TRANSLATED', 'ALLOWED_PRESERVE', 'UNRESOLVED')) AS unknown, count(*) FILTER (WHERE len(coalesce(validation_failures, [])) > 0) AS failed FROM o GROUP BY manual_id)
-    SELECT *, round((translated + preserved) / n, 4) AS completion, CASE WHEN unknown > 0 OR (failed > 0 AND unresolved = 0) THEN 'FAIL' WHEN unresolved > 0 THEN 'PARTIAL' ELSE 'SUCCESS' END AS delivery FROM p""",
+    lambda s, d: ledger.delivery(table(s, d, "occurrences"), table(s, d, "fragments"), script_leak_audit(s, d)),
+    f"""WITH r AS ({_SQL["ledger_reconcile"]}), k AS ({_LEAKS}), o AS ({_RECORDED}), p AS (SELECT manual_id, count(*) AS n, count(*) FILTER (WHERE s = 'TRANSLATED') AS translated, count(*) FILTER (WHERE s = 'ALLOWED_PRESERVE') AS preserved, count(*) FILTER (WHERE s = 'UNRESOLVED') AS unresolved,
+    count(*) FILTER (WHERE s IS NULL OR s NOT IN ('TRANSLATED', 'ALLOWED_PRESERVE', 'UNRESOLVED')) AS unknown, count(*) FILTER (WHERE demoted OR len(coalesce(validation_failures, [])) > 0) AS failed FROM o GROUP BY manual_id), l AS (SELECT manual_id, sum(leaks) AS leaked FROM k GROUP BY 1)
+    SELECT p.*, round((translated + preserved + unresolved) / n, 4) AS coverage, round((translated + preserved) / n, 4) AS completion, CASE WHEN coalesce(r.unassigned > 0 OR r.duplicates > 0 OR r.unknown > 0, false) OR p.unknown > 0 OR coalesce(leaked, 0) > 0 OR (failed > 0 AND unresolved = 0) THEN 'FAIL'
+    WHEN unresolved > 0 THEN 'PARTIAL' ELSE 'SUCCESS' END AS delivery FROM p LEFT JOIN r USING (manual_id) LEFT JOIN l USING (manual_id)""",
 )
+
+
+def ledger_records(spark: SparkSession, d: str) -> DataFrame:
+    """Occurrences that the ledger takes otherwise than they stand: kept without an approved reason."""
+    r = ledger.recorded(table(spark, d, "occurrences")).filter("demoted")
+    return r.select("occurrence_id", "status", "unresolved_reason", F.array_join("validation_failures", ",").alias("failures"), F.col("target_text").eqNullSafe(F.col("source_text")).alias("reset"))
+
+
+_add("ledger_records", ledger_records, f"SELECT occurrence_id, 'UNRESOLVED' AS status, 'unapproved_preserve' AS unresolved_reason, array_to_string(CASE WHEN list_contains(coalesce(validation_failures, []), 'unapproved_preserve') THEN validation_failures ELSE coalesce(validation_failures, []) || ['unapproved_preserve'] END, ',') AS failures, true AS reset FROM ({_RECORDED}) WHERE demoted")
+_add("queue_summary", lambda s, d: table(s, d, "occurrences").dropDuplicates(["occurrence_id"]).groupBy(F.coalesce("status", F.lit("unknown")).alias("status")).agg(F.count("*").alias("occurrences")), "SELECT coalesce(status, 'unknown') AS status, count(DISTINCT occurrence_id) AS occurrences FROM occurrences GROUP BY 1")
 _add("failure_counts", lambda s, d: ledger.failure_counts(table(s, d, "occurrences")), "SELECT failure, count(DISTINCT occurrence_id) AS occurrences FROM (SELECT occurrence_id, unnest(validation_failures) AS failure FROM occurrences) GROUP BY failure")
 
 # Units --------------------------------------------------------------------------------------------------------
 
 _CUR = ", ".join(f"{v} AS c_{k}" for k, v in units._FIELDS.items()) + ", " + ", ".join(f"bbox.{x} AS c_{x}" for x in ("x0", "y0", "x1", "y1"))
 _LAGS = ", ".join(f"lag(c_{n}) OVER w AS p_{n}" for n in [*units._FIELDS, "x0", "y0", "x1", "y1", "chars", "ends"])
+_SPACES = f"[{SPACE}]"
 _DECISIONS = f"""WITH f AS (SELECT DISTINCT ON (fragment_id) manual_id, reading_order AS ord, coalesce(text, '') AS text, {_CUR} FROM fragments),
- c AS (SELECT *, length(trim(text)) AS c_chars, regexp_matches(trim(text), {_lit(units.ENDS)}) AS c_ends, regexp_matches(trim(text), {_lit(units.STARTS)}) AS c_starts FROM f),
- p AS (SELECT *, {_LAGS} FROM c WINDOW w AS (PARTITION BY manual_id, c_page ORDER BY ord, c_y0, c_x0, c_id)),
+ c AS (SELECT *, length(trim(regexp_replace(text, {lit(units.TAGS)}, '', 'g'))) AS c_chars, regexp_matches(trim(text), {lit(units.ENDS)}) AS c_ends, regexp_matches(text, {lit(units.STARTS)}) AS c_starts FROM f),
+ p AS (SELECT *, false AS barred, {_LAGS} FROM c WINDOW w AS (PARTITION BY manual_id, c_page ORDER BY ord, c_y0, c_x0, c_id)),
  j AS (SELECT *, {units.DECISION} AS decision FROM p),
- u AS (SELECT manual_id, c_page AS page, c_id AS fragment_id, ord, text, decision, sum(CASE WHEN decision = 'first' OR decision LIKE 'rejected%' THEN 1 ELSE 0 END) OVER (PARTITION BY manual_id, c_page ORDER BY ord, c_y0, c_x0, c_id ROWS UNBOUNDED PRECEDING) AS unit FROM j)"""
+ u AS (SELECT manual_id, c_page AS page, c_id AS fragment_id, ord, CASE WHEN c_style IN (1, 2, 3) THEN '<s' || c_style || '>' || text || '</s' || c_style || '>' ELSE text END AS text, c_x0, c_y0, c_x1, c_y1, decision, CASE WHEN decision IN ('same_line_continuation', 'inline_emphasis') THEN CASE WHEN c_x0 - p_x1 > 0.15 * greatest(1.0, p_y1 - p_y0) THEN 'S' ELSE 'N' END ELSE 'W' END AS joint,
+ sum(CASE WHEN decision = 'first' OR decision LIKE 'rejected%' THEN 1 ELSE 0 END) OVER (PARTITION BY manual_id, c_page ORDER BY ord, c_y0, c_x0, c_id ROWS UNBOUNDED PRECEDING) AS unit FROM j)"""
+_HEAD, _TAIL = f"regexp_replace(substr(x, 2), '^{_SPACES}+', '')", f"regexp_replace(s, '{_SPACES}+$', '')"
 _add(
     "logical_units",
     lambda s, d: units.logical_units(table(s, d, "fragments")),
     _DECISIONS
-    + """, g AS (SELECT manual_id, page, unit, list(text ORDER BY ord, fragment_id) AS t, min_by(fragment_id, (ord, fragment_id)) AS first_fragment, max_by(fragment_id, (ord, fragment_id)) AS last_fragment, count(*)::INT AS fragments FROM u GROUP BY ALL)
- SELECT manual_id, page, first_fragment, last_fragment, fragments, length(list_reduce(list_prepend('', t), lambda s, x: CASE WHEN s = '' OR s LIKE '%-' THEN s || x ELSE s || ' ' || x END))::INT AS chars FROM g""",
+    + f""", g AS (SELECT manual_id, page, unit, list(joint || text ORDER BY ord, fragment_id) AS t, min_by(fragment_id, (ord, fragment_id)) AS a, max_by(fragment_id, (ord, fragment_id)) AS z, count(*)::INT AS fragments,
+ coalesce(string_agg(decision, ',' ORDER BY ord, fragment_id) FILTER (WHERE decision <> 'first' AND decision NOT LIKE 'rejected%'), '') AS reasons, min(c_x0) AS x0, min(c_y0) AS y0, max(c_x1) AS x1, max(c_y1) AS y1 FROM u GROUP BY ALL)
+ SELECT manual_id, page, 'p' || (page + 1) || ':' || a || '..' || z AS unit_id, fragments, reasons, x0, y0, x1, y1, list_reduce(list_prepend('', t), lambda s, x: CASE WHEN s = '' THEN substr(x, 2) WHEN length(x) = 1 THEN s
+ WHEN x LIKE 'W%' THEN CASE WHEN s LIKE '%-' THEN s || {_HEAD} ELSE {_TAIL} || ' ' || {_HEAD} END
+ WHEN x LIKE 'N%' OR regexp_matches(s, '{_SPACES}$') OR regexp_matches(substr(x, 2), '^{_SPACES}') THEN s || substr(x, 2) ELSE s || ' ' || substr(x, 2) END) AS text FROM g""",
 )
 _add("reconstruction_metrics", lambda s, d: units.reconstruction_metrics(table(s, d, "fragments")), _DECISIONS + " SELECT decision, count(*) AS fragments FROM u GROUP BY decision")
 _add(
     "conservation",
     lambda s, d: units.conservation(table(s, d, "fragments"), table(s, d, "logical_units")),
-    """WITH h AS (SELECT DISTINCT manual_id, fragment_id FROM fragments), x AS (SELECT manual_id, unnest(source_fragment_ids) AS fragment_id FROM logical_units), u AS (SELECT manual_id, fragment_id, count(*) AS times FROM x GROUP BY ALL)
-    SELECT manual_id, count(*) AS candidates, count(times) AS assigned, count(*) FILTER (WHERE times IS NULL) AS unassigned, coalesce(sum(times - 1), 0)::BIGINT AS duplicates FROM h LEFT JOIN u USING (manual_id, fragment_id) GROUP BY manual_id""",
+    """WITH h AS (SELECT DISTINCT manual_id, fragment_id, 1 AS c FROM fragments), x AS (SELECT manual_id, unnest(source_fragment_ids) AS fragment_id FROM logical_units), u AS (SELECT manual_id, fragment_id, count(*) AS times FROM x GROUP BY ALL)
+    SELECT manual_id, count(c) AS candidates, count(times) AS assigned, count(*) FILTER (WHERE times IS NULL) AS unassigned, coalesce(sum(times - 1), 0)::BIGINT AS duplicates, count(*) FILTER (WHERE c IS NULL) AS unknown FROM h FULL JOIN u USING (manual_id, fragment_id) GROUP BY manual_id""",
 )
 _add(
     "unit_length_stats",
@@ -299,21 +127,21 @@ _add(
 _add(
     "reconstruction_health",
     lambda s, d: metrics.health(table(s, d, "logical_units")),
-    """WITH p AS (SELECT manual_id, sum(len(source_fragment_ids))::BIGINT AS fragments, count(*) AS units, count(*) FILTER (WHERE len(source_fragment_ids) = 1) AS singles FROM logical_units GROUP BY manual_id),
-    r AS (SELECT *, round(singles / units, 4) AS singleton_rate, round(1 - units / fragments, 4) AS merge_rate FROM p)
-    SELECT manual_id, fragments, units, singleton_rate, merge_rate, CASE WHEN fragments >= 100 AND (merge_rate < 0.2 OR singleton_rate > 0.75) THEN 'MANUAL_REVIEW_REQUIRED' ELSE 'OK' END AS health FROM r""",
+    """WITH p AS (SELECT manual_id, sum(len(source_fragment_ids))::BIGINT AS fragments, count(*) AS units, count(*) FILTER (WHERE len(source_fragment_ids) = 1) AS singles FROM logical_units GROUP BY manual_id), q AS (SELECT *, greatest(0, fragments - 1) AS cand, fragments - units AS acc FROM p),
+    r AS (SELECT *, coalesce(round(cand / nullif(fragments, 0), 4), 0) AS candidate_rate, coalesce(round(acc / nullif(cand, 0), 4), 0) AS acceptance_rate, coalesce(round(singles / nullif(units, 0), 4), 0) AS singleton_rate FROM q)
+    SELECT manual_id, fragments, units, candidate_rate, acceptance_rate, singleton_rate, CASE WHEN (cand >= 100 OR cand >= 0.2 * fragments) AND (acceptance_rate < 0.25 OR singleton_rate > 0.75) THEN 'MANUAL_REVIEW_REQUIRED' ELSE 'PASS' END AS health FROM r""",
 )
 _add(
     "batch_percentiles",
     lambda s, d: metrics.batch_percentiles(table(s, d, "segments")),
-    """WITH o AS (SELECT DISTINCT segment_id, lang_out, length(src) AS n FROM segments WHERE src IS NOT NULL) SELECT lang_out, count(*) AS segments, round(quantile_cont(n, 0.5), 4) AS p50, round(quantile_cont(n, 0.9), 4) AS p90, round(quantile_cont(n, 0.99), 4) AS p99, max(n)::INT AS longest FROM o GROUP BY lang_out""",
+    """WITH o AS (SELECT DISTINCT segment_id, lang_out, length(src) AS n FROM segments WHERE src IS NOT NULL) SELECT lang_out, count(*) AS segments, round(avg(n), 4) AS mean, round(quantile_cont(n, 0.5), 4) AS p50, round(quantile_cont(n, 0.9), 4) AS p90, round(quantile_cont(n, 0.99), 4) AS p99, max(n)::INT AS longest, round(sum(n) / (count(*) * 12000), 6) AS used FROM o GROUP BY lang_out""",
 )
 
 _STAGES = [("a", None, 10.0), ("b", "a", 4.0), ("c", "a", 3.5), ("d", "b", 1.25), ("e", None, 2.0)]
 _add(
     "exclusive_time",
     lambda s, d: metrics.exclusive_time(s.createDataFrame(_STAGES, "id string, parent string, seconds double")),
-    "WITH s(id, parent, seconds) AS (VALUES " + ", ".join(f"('{a}', {_lit(b) if b else 'NULL'}, {c}::DOUBLE)" for a, b, c in _STAGES) + ") SELECT s.id, round(s.seconds - coalesce((SELECT sum(c.seconds) FROM s c WHERE c.parent = s.id), 0), 4) AS exclusive FROM s",
+    "WITH s(id, parent, seconds) AS (VALUES " + ", ".join(f"('{a}', {lit(b) if b else 'NULL'}, {c}::DOUBLE)" for a, b, c in _STAGES) + ") SELECT s.id, round(s.seconds - coalesce((SELECT sum(c.seconds) FROM s c WHERE c.parent = s.id), 0), 4) AS exclusive FROM s",
 )
 
 # Flow ---------------------------------------------------------------------------------------------------------
@@ -336,31 +164,54 @@ _add(
     c AS (SELECT DISTINCT original_text AS src, translate_engine_params ->> '$.lang_out' AS lang_out FROM translation_cache WHERE translation IS NOT NULL)
     SELECT segment_id, CASE WHEN o.occurrence_id IS NOT NULL AND o.source_text IS NOT DISTINCT FROM g.src THEN 'occurrence' WHEN c.src IS NOT NULL THEN 'cache' ELSE 'miss' END AS found_in FROM g LEFT JOIN o USING (occurrence_id) LEFT JOIN c ON c.src = g.src AND c.lang_out = g.lang_out""",
 )
+_SAFE = rule_queries._safe(rule_queries._SEGMENT.replace("(text", "(src"))
+_JOBS = f"""j AS (SELECT segment_id, src, lang_out, CASE WHEN {_SAFE} THEN sha256(concat_ws(chr(1), src, lang_out)) ELSE segment_id END AS job FROM (SELECT DISTINCT ON (segment_id) segment_id, src, lang_out FROM segments WHERE src IS NOT NULL))"""
+_add("job_fanout", lambda s, d: flow.job_fanout(table(s, d, "segments")), f"WITH {_JOBS} SELECT job, count(*) AS served, min(segment_id) AS first_segment FROM j GROUP BY job")
+_add(
+    "job_identity",
+    lambda s, d: flow.job_keys(table(s, d, "segments")).select("segment_id", "identity"),
+    f"WITH {_JOBS} SELECT segment_id, substr(CASE WHEN job = segment_id THEN sha256(src || chr(0) || 'index=' || segment_id) ELSE sha256(src) END, 1, 16) AS identity FROM j",
+)
 _add(
-    "job_fanout",
-    lambda s, d: flow.job_fanout(table(s, d, "segments")),
-    r"""WITH g AS (SELECT DISTINCT ON (segment_id) segment_id, src, lang_out FROM segments WHERE src IS NOT NULL),
-    j AS (SELECT segment_id, CASE WHEN length(src) >= 24 OR len(regexp_split_to_array(trim(src), '\s+')) >= 4 OR (length(src) >= 12 AND regexp_matches(src, '[.!?。！？]$')) THEN sha256(concat_ws(chr(1), src, lang_out)) ELSE segment_id END AS job FROM g) SELECT job, count(*) AS served, min(segment_id) AS first_segment FROM j GROUP BY job""",
+    "job_outcomes",
+    lambda s, d: flow.job_outcomes(table(s, d, "segments"), table(s, d, "translation_cache")),
+    f"""WITH {_JOBS}, f AS (SELECT job, arg_min(src, segment_id) AS src, arg_min(lang_out, segment_id) AS lang_out FROM j GROUP BY job), k AS (SELECT original_text AS src, translate_engine_params ->> '$.lang_out' AS lang_out, arg_max(translation, (written_at, id)) AS t FROM translation_cache WHERE translation IS NOT NULL GROUP BY ALL)
+    SELECT j.segment_id, j.job, length(k.t)::INT AS chars FROM j JOIN f USING (job) LEFT JOIN k ON k.src = f.src AND k.lang_out = f.lang_out""",
 )
+_add("cascade", lambda s, d: flow.cascade(table(s, d, "segments"), table(s, d, "translation_cache")))
+_add("loaded_segments", lambda s, d: flow.loaded_segments(table(s, d, "segments").filter("src IS NOT NULL AND src <> ''").dropDuplicates(["segment_id"])).select("segment_id", F.length("src").alias("chars")), "SELECT DISTINCT segment_id, length(src)::INT AS chars FROM segments WHERE src <> ''")
+_add("negative_cache", lambda s, d: flow.negative_cache(table(s, d, "segments")))
 
 
-def two_strike(spark: SparkSession, d: str) -> DataFrame:
-    """Users trusted after two failures in a row, from the event log."""
-    e = table(spark, d, "events").select(F.col("user_id").alias("identity"), F.col("event_id").alias("seq"), F.when(F.col("event_type") == "error", "failure").when(F.col("event_type") == "purchase", "success").otherwise("other").alias("outcome"))
-    return flow.two_strike(e)
+def handoff_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Usable rows of the hand-off's cache, whose keys hold an id and a text as JSON: with a target, and the same tags on both sides."""
+    c = table(spark, d, "translation_cache").filter("translate_engine = 'handoff' AND original_text LIKE '[%'")
+    parts = F.from_json("original_text", "array<string>")
+    return flow.segment_table(c.select(parts[0].alias("segment_id"), parts[1].alias("src"), F.col("translation").alias("dst"))).select("segment_id", F.length("dst").alias("chars")).distinct()
 
 
-_add(
-    "two_strike",
-    two_strike,
-    """WITH e AS (SELECT user_id AS identity, event_id AS seq, event_type, lag(event_type) OVER (PARTITION BY user_id ORDER BY event_id) AS before FROM events WHERE event_type IN ('error', 'purchase'))
-    SELECT identity, min(seq) AS trusted_at FROM e WHERE event_type = 'error' AND before = 'error' GROUP BY identity""",
-)
+_add("segment_table", handoff_rows)
+
+
+def _attempts(spark: SparkSession, d: str) -> DataFrame:
+    """The event log as attempts: errors fail with a reason, purchases succeed, others are neutral."""
+    outcome = F.when(F.col("event_type") == "error", "failure").when(F.col("event_type") == "purchase", "success").otherwise("other")
+    kinds = F.array(*map(F.lit, ["TechnicalInvariantError", "Timeout", "SegmentTooLongError"]))
+    return table(spark, d, "events").select(F.col("user_id").alias("identity"), F.col("event_id").alias("seq"), outcome.alias("outcome"), F.coalesce(F.get_json_object("props", "$.k"), F.lit("")).alias("reason"), kinds[(F.col("event_id") % 3).cast("int")].alias("error"))
+
+
+_EVENTS = "e AS (SELECT user_id AS identity, event_id AS seq, event_type, coalesce(props ->> '$.k', '') AS reason FROM events), b AS (SELECT *, lag(event_type) OVER w AS before, lag(reason) OVER w AS was FROM e WHERE event_type = 'purchase' OR (event_type = 'error' AND trim(reason) <> '') WINDOW w AS (PARTITION BY identity ORDER BY seq)), t AS (SELECT identity, min(seq) AS trusted_at, arg_min(was, seq) AS reason FROM b WHERE event_type = 'error' AND before = 'error' GROUP BY identity)"
+_add("two_strike", lambda s, d: flow.two_strike(_attempts(s, d)), f"WITH {_EVENTS} SELECT * FROM t")
+_add("skip_on_trusted", lambda s, d: flow.skipped(_attempts(s, d)).groupBy("identity", "reason").agg(F.count("*").alias("skipped")), f"WITH {_EVENTS} SELECT t.identity, t.reason, count(*) AS skipped FROM t JOIN e ON e.identity = t.identity AND e.seq > trusted_at GROUP BY ALL")
+_RETRY = """r AS (SELECT user_id AS identity, event_id AS seq, event_type, coalesce(sum(CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS round FROM events),
+    a AS (SELECT identity, seq, row_number() OVER (PARTITION BY identity, round ORDER BY seq)::INT AS attempt, CASE seq % 3 WHEN 2 THEN 1 ELSE 8 END AS budget FROM r WHERE event_type = 'error')"""
+_add("retry_state", lambda s, d: flow.retry_state(_attempts(s, d)), f"WITH {_RETRY} SELECT identity, seq, attempt, budget, least(60.0, power(2.0, least(attempt - 1, 6)))::DOUBLE AS wait, attempt >= budget AS stop FROM a")
+_add("retry_sleeps", lambda s, d: metrics.retry_sleeps(flow.retry_state(_attempts(s, d)).filter("NOT stop")), f"WITH {_RETRY}, w AS (SELECT identity, least(60.0, power(2.0, least(attempt - 1, 6)))::DOUBLE AS w FROM a WHERE attempt < budget) SELECT identity, count(*) AS sleeps, round(sum(w), 4) AS total, round(avg(w), 4) AS mean, max(w) AS longest FROM w GROUP BY identity")
 _add(
     "adjacent_context",
     lambda s, d: flow.adjacent_context(table(s, d, "segments")),
-    """WITH g AS (SELECT DISTINCT ON (segment_id) segment_id, manual_id, src, queued_at FROM segments), n AS (SELECT segment_id, lag(src) OVER w AS p, lag(segment_id) OVER w AS pid, lead(src) OVER w AS n, lead(segment_id) OVER w AS nid FROM g WINDOW w AS (PARTITION BY manual_id ORDER BY queued_at, segment_id))
-    SELECT segment_id, CASE WHEN length(p) <= 300 THEN pid WHEN length(n) <= 300 THEN nid END AS context_id FROM n""",
+    """WITH g AS (SELECT DISTINCT ON (segment_id) segment_id, manual_id, src, lang_out, queued_at FROM segments), n AS (SELECT segment_id, src, lang_out, lag(src) OVER w AS p, lag(segment_id) OVER w AS pid, lag(lang_out) OVER w AS pl, lead(src) OVER w AS n, lead(segment_id) OVER w AS nid, lead(lang_out) OVER w AS nl FROM g WINDOW w AS (PARTITION BY manual_id ORDER BY queued_at, segment_id))
+    SELECT segment_id, CASE WHEN length(p) <= 300 AND p <> src AND pl IS NOT DISTINCT FROM lang_out THEN pid WHEN length(n) <= 300 AND n <> src AND nl IS NOT DISTINCT FROM lang_out THEN nid END AS context_id FROM n""",
 )
 
 
@@ -371,47 +222,8 @@ def backoff_schedule(spark: SparkSession, d: str) -> DataFrame:
 
 _add("backoff_schedule", backoff_schedule, "SELECT i AS attempt, least(60.0, power(2.0, i - 1))::DOUBLE AS wait FROM range(1, 8) AS r(i)")
 
-# Geometry -----------------------------------------------------------------------------------------------------
-
-_BOXES = "b AS (SELECT DISTINCT ON (fragment_id) fragment_id, manual_id, page, bbox.x0 AS x0, bbox.y0 AS y0, bbox.x1 AS x1, bbox.y1 AS y1, style, reading_order FROM fragments)"
-_W, _H = "(least(l.x1, r.x1) - greatest(l.x0, r.x0))", "(least(l.y1, r.y1) - greatest(l.y0, r.y0))"
-_SMALL = "least((l.x1 - l.x0) * (l.y1 - l.y0), (r.x1 - r.x0) * (r.y1 - r.y0))"
-_add(
-    "overlap_pairs",
-    lambda s, d: geometry.overlap_pairs(table(s, d, "fragments")),
-    f"WITH {_BOXES} SELECT l.fragment_id AS a, r.fragment_id AS b, round({_W} * {_H} / {_SMALL}, 4) AS ratio FROM b l JOIN b r ON l.manual_id = r.manual_id AND l.page = r.page AND l.fragment_id < r.fragment_id AND {_W} > 0 AND {_H} > 0 AND {_W} * {_H} / {_SMALL} >= 0.1",
-)
-_add("bbox_union", lambda s, d: geometry.bbox_union(table(s, d, "fragments")), f"WITH {_BOXES} SELECT manual_id, page, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1, count(*) AS fragments FROM b GROUP BY manual_id, page")
-_add(
-    "x_clusters",
-    lambda s, d: geometry.x_clusters(table(s, d, "fragments")),
-    f"""WITH {_BOXES}, m AS (SELECT *, max(x1) OVER (PARTITION BY manual_id, page, style ORDER BY x0, y0, fragment_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM b),
-    c AS (SELECT *, sum(CASE WHEN reach IS NULL OR x0 > reach + 6 THEN 1 ELSE 0 END) OVER (PARTITION BY manual_id, page, style ORDER BY x0, y0, fragment_id ROWS UNBOUNDED PRECEDING)::BIGINT AS cluster FROM m)
-    SELECT manual_id, page, style, cluster, min(x0) AS x0, max(x1) AS x1, count(*) AS fragments FROM c GROUP BY manual_id, page, style, cluster""",
-)
-_add(
-    "height_below",
-    lambda s, d: geometry.height_below(table(s, d, "fragments")),
-    f"""WITH {_BOXES}, n AS (SELECT *, lead(x0) OVER w AS nx0, lead(x1) OVER w AS nx1, lead(y0) OVER w AS ny0 FROM b WINDOW w AS (PARTITION BY manual_id, page ORDER BY y0, x0, fragment_id))
-    SELECT fragment_id, CASE WHEN nx0 < x1 AND nx1 > x0 THEN round(ny0 - y1, 4) END AS height FROM n""",
-)
-_add(
-    "neighbour_iou",
-    lambda s, d: geometry.neighbour_iou(table(s, d, "fragments")),
-    f"""WITH {_BOXES}, n AS (SELECT *, lead(x0) OVER w AS nx0, lead(x1) OVER w AS nx1, lead(y0) OVER w AS ny0, lead(y1) OVER w AS ny1 FROM b WINDOW w AS (PARTITION BY manual_id, page ORDER BY reading_order, fragment_id)),
-    i AS (SELECT fragment_id, greatest(0.0, least(x1, nx1) - greatest(x0, nx0)) * greatest(0.0, least(y1, ny1) - greatest(y0, ny0)) AS i, (x1 - x0) * (y1 - y0) + (nx1 - nx0) * (ny1 - ny0) AS t FROM n WHERE nx0 IS NOT NULL) SELECT fragment_id, round(i / (t - i), 4) AS iou FROM i""",
-)
-
 # Layout and ordering ------------------------------------------------------------------------------------------
 
-_add(
-    "layout_warnings",
-    lambda s, d: layout.warnings(table(s, d, "fragments")),
-    f"""WITH b AS (SELECT DISTINCT ON (fragment_id) fragment_id, manual_id, page, text, font_size, round(bbox.x0, 0) AS x0, round(bbox.y0, 0) AS y0 FROM fragments WHERE text IS NOT NULL),
-    t AS (SELECT manual_id, page, 'duplicate_local_render' AS kind, x0, y0 FROM b GROUP BY manual_id, page, text, x0, y0 HAVING count(*) > 1),
-    m AS (SELECT manual_id, page, median(font_size) AS m FROM b WHERE font_size IS NOT NULL GROUP BY ALL), s AS (SELECT manual_id, page, 'suspicious_micro_font' AS kind, x0, y0 FROM b JOIN m USING (manual_id, page) WHERE font_size < {layout.MICRO} * m)
-    SELECT manual_id, page, kind, x0, y0, count(*) AS n FROM (SELECT * FROM t UNION ALL SELECT * FROM s) GROUP BY ALL""",
-)
 _add(
     "geometry_kind",
     lambda s, d: layout.geometry_kinds(table(s, d, "fragments")),
@@ -426,8 +238,6 @@ _add(
     c AS (SELECT fragment_id, r.region_id AS parent, (rx1 - rx0) * (ry1 - ry0) AS a FROM b JOIN r USING (manual_id, page) WHERE x0 >= rx0 AND x1 <= rx1 AND y0 >= ry0 AND y1 <= ry1)
     SELECT fragment_id, parent, round(a, 2) AS area FROM (SELECT *, row_number() OVER (PARTITION BY fragment_id ORDER BY a, parent) AS k FROM c) WHERE k = 1""",
 )
-_add("right_limits", lambda s, d: layout.right_limits(table(s, d, "fragments")), f"WITH {_BOXES} SELECT l.fragment_id, min(r.x0) AS \"limit\" FROM b l JOIN b r ON l.manual_id = r.manual_id AND l.page = r.page AND l.fragment_id <> r.fragment_id AND r.x0 >= l.x1 - 3 AND {_H} > 0 GROUP BY 1")
-_add("line_offsets", lambda s, d: layout.line_offsets(table(s, d, "fragments")), f"WITH {_BOXES} SELECT fragment_id, round(coalesce(sum(y1 - y0) OVER (PARTITION BY manual_id, page ORDER BY reading_order, fragment_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0), 4) AS \"offset\" FROM b")
 _add(
     "excess_rows",
     lambda s, d: layout.excess_rows(table(s, d, "fragments"), table(s, d, "logical_units")),
@@ -437,7 +247,8 @@ _add(
 _add(
     "greedy_batches",
     lambda s, d: layout.greedy_batches(table(s, d, "segments")),
-    """WITH RECURSIVE o AS (SELECT DISTINCT ON (segment_id) segment_id, manual_id, queued_at, coalesce(length(src), 0) AS n FROM segments), x AS (SELECT *, row_number() OVER (PARTITION BY manual_id ORDER BY queued_at, segment_id) AS i FROM o WHERE n <= 12000),
+    """WITH RECURSIVE q AS (SELECT DISTINCT ON (segment_id) segment_id, manual_id, queued_at, src, coalesce(length(src), 0) AS n, coalesce(length(context.text), 0) AS c FROM segments), o AS (SELECT segment_id, manual_id, queued_at, n + CASE WHEN n + c <= 12000 AND regexp_matches(src, '[가-힣]') THEN c ELSE 0 END AS n FROM q),
+    x AS (SELECT *, row_number() OVER (PARTITION BY manual_id ORDER BY queued_at, segment_id) AS i FROM o WHERE n <= 12000),
     f AS (SELECT segment_id, manual_id, i, n, 0::BIGINT AS batch, 1 AS items, n AS chars FROM x WHERE i = 1 UNION ALL
     SELECT x.segment_id, x.manual_id, x.i, x.n, CASE WHEN f.items >= 30 OR f.chars + x.n > 12000 THEN f.batch + 1 ELSE f.batch END, CASE WHEN f.items >= 30 OR f.chars + x.n > 12000 THEN 1 ELSE f.items + 1 END, CASE WHEN f.items >= 30 OR f.chars + x.n > 12000 THEN x.n ELSE f.chars + x.n END FROM f JOIN x ON x.manual_id = f.manual_id AND x.i = f.i + 1)
     SELECT segment_id, batch FROM f UNION ALL SELECT segment_id, -1 FROM o WHERE n > 12000""",
@@ -461,117 +272,6 @@ _add(
     SELECT manual_id, page, coalesce(abs(x0 - ux0) <= 0.01 AND abs(y0 - uy0) <= 0.01 AND abs(x1 - ux1) <= 0.01 AND abs(y1 - uy1) <= 0.01, false) AS same FROM a FULL JOIN u USING (manual_id, page)""",
 )
 
-# Texts --------------------------------------------------------------------------------------------------------
-
-_GLOSSARY = [("relay", "rơ le"), ("fuse", "cầu chì"), ("contract", "hợp đồng"), ("patient", "bệnh nhân"), ("backup", "bản sao lưu"), ("tractor", "máy kéo"), ("referee", "trọng tài"), ("invoice", "hóa đơn")]
-
-
-def terminology_missing(spark: SparkSession, d: str) -> DataFrame:
-    """Translations from English that lack the agreed word for a term of the source; the glossary is a literal."""
-    o = table(spark, d, "occurrences").filter("status = 'TRANSLATED' AND lang_in = 'en' AND lang_out = 'vi' AND target_text IS NOT NULL").select("occurrence_id", "source_text", "target_text").dropDuplicates(["occurrence_id"])
-    terms = F.array(*[F.struct(F.lit(a).alias("term"), F.lit(f"(^|[^a-z0-9_]){a}([^a-z0-9_]|$)").alias("p"), F.lit(b).alias("want")) for a, b in _GLOSSARY])
-    rows = o.withColumn("g", F.explode(terms)).filter(F.expr("lower(source_text) RLIKE g.p") & ~F.contains(F.lower("target_text"), F.col("g.want")))
-    return rows.select("occurrence_id", "g.term")
-
-
-_add(
-    "terminology_missing",
-    terminology_missing,
-    "WITH o AS (SELECT DISTINCT occurrence_id, source_text, target_text FROM occurrences WHERE status = 'TRANSLATED' AND lang_in = 'en' AND lang_out = 'vi' AND target_text IS NOT NULL), g(term, want) AS (VALUES "
-    + ", ".join(f"({_lit(a)}, {_lit(b)})" for a, b in _GLOSSARY)
-    + ") SELECT occurrence_id, term FROM o, g WHERE regexp_matches(lower(source_text), '(^|[^a-z0-9_])' || term || '([^a-z0-9_]|$)') AND NOT contains(lower(target_text), want)",
-)
-
-
-def sentence_runs(spark: SparkSession, d: str) -> DataFrame:
-    """Sentences of four words or more that stand twice in a row, per target."""
-    o = table(spark, d, "occurrences").filter("target_text IS NOT NULL").select("occurrence_id", "target_text").dropDuplicates(["occurrence_id"])
-    s = F.transform(F.split("target_text", r"[.!?]+[ \n]+"), lambda x: F.lower(F.regexp_replace(x, r"[.!?]+$", "")))
-    pairs = F.transform(F.slice(s, 2, 1_000_000), lambda x, i: (x == F.element_at(s, i + 1)) & (F.size(F.split(x, " ")) >= 4))
-    return o.select("occurrence_id", F.when(F.size(s) > 1, F.size(F.filter(pairs, lambda b: b))).otherwise(0).alias("repeats")).filter("repeats > 0")
-
-
-_add(
-    "sentence_runs",
-    sentence_runs,
-    r"""WITH o AS (SELECT DISTINCT occurrence_id, target_text FROM occurrences WHERE target_text IS NOT NULL), s AS (SELECT occurrence_id, unnest(regexp_split_to_array(target_text, '[.!?]+[ \n]+')) AS s, generate_subscripts(regexp_split_to_array(target_text, '[.!?]+[ \n]+'), 1) AS i FROM o),
-    n AS (SELECT occurrence_id, lower(regexp_replace(s, '[.!?]+$', '')) AS s, i FROM s), l AS (SELECT *, lag(s) OVER (PARTITION BY occurrence_id ORDER BY i) AS p FROM n) SELECT occurrence_id, count(*)::INT AS repeats FROM l WHERE s = p AND len(string_split(s, ' ')) >= 4 GROUP BY occurrence_id""",
-)
-
-_MARKERS = ["confidential", "internal use", "do not change", "never touch"]
-
-
-def marker_scan(spark: SparkSession, d: str) -> DataFrame:
-    """Markers that a document holds, in the declared order."""
-    docs = table(spark, d, "documents").select("doc_id", F.lower("text").alias("t"))
-    found = F.array_compact(F.array(*[F.when(F.contains("t", F.lit(m)), F.lit(m)) for m in _MARKERS]))
-    return docs.select("doc_id", F.array_join(found, ",").alias("markers")).filter("markers <> ''")
-
-
-_add("marker_scan", marker_scan, "SELECT doc_id, m AS markers FROM (SELECT doc_id, concat_ws(',', " + ", ".join(f"CASE WHEN contains(lower(text), {_lit(m)}) THEN {_lit(m)} END" for m in _MARKERS) + ") AS m FROM documents) WHERE m <> ''")
-
-
-def cjk_residual(spark: SparkSession, d: str) -> DataFrame:
-    """East Asian script left in Vietnamese targets, by class."""
-    o = table(spark, d, "occurrences").filter("lang_out = 'vi' AND target_text IS NOT NULL").select("occurrence_id", "target_text").dropDuplicates(["occurrence_id"])
-    t = F.col("target_text")
-    n = sum(F.when(t.rlike(SCRIPTS[s]), 1).otherwise(0) for s in ("hangul", "han", "kana"))
-    kind = F.when(n > 1, "mixed").when(t.rlike(SCRIPTS["hangul"]), "hangul").when(t.rlike(SCRIPTS["han"]), "han").when(t.rlike(SCRIPTS["kana"]), "kana").otherwise("none")
-    return o.groupBy(kind.alias("class")).agg(F.count("*").alias("occurrences"))
-
-
-_HAS = lambda s: f"regexp_matches(target_text, {_lit(SCRIPTS[s])})"
-_add(
-    "cjk_residual",
-    cjk_residual,
-    f"""SELECT CASE WHEN {_HAS("hangul")}::INT + {_HAS("han")}::INT + {_HAS("kana")}::INT > 1 THEN 'mixed' WHEN {_HAS("hangul")} THEN 'hangul' WHEN {_HAS("han")} THEN 'han' WHEN {_HAS("kana")} THEN 'kana' ELSE 'none' END AS class, count(*) AS occurrences
-    FROM (SELECT DISTINCT occurrence_id, target_text FROM occurrences WHERE lang_out = 'vi' AND target_text IS NOT NULL) GROUP BY 1""",
-)
-
-
-def safe_dedup_key(spark: SparkSession, d: str) -> DataFrame:
-    """Segments whose translation may be shared with equal texts."""
-    once = table(spark, d, "segments").select("segment_id", "src").dropDuplicates(["segment_id"])
-    return once.select("segment_id", flow.safe_to_share(F.col("src")).alias("safe"))
-
-
-_add("safe_dedup_key", safe_dedup_key, r"SELECT DISTINCT segment_id, coalesce(length(src) >= 24 OR len(regexp_split_to_array(trim(src), '\s+')) >= 4 OR (length(src) >= 12 AND regexp_matches(src, '[.!?。！？]$')), false) AS safe FROM segments")
-
-
-def length_explosion(spark: SparkSession, d: str) -> DataFrame:
-    o = table(spark, d, "occurrences").select("occurrence_id", F.length("source_text").alias("s"), F.length("target_text").alias("t")).dropDuplicates(["occurrence_id"])
-    return o.filter("s > 20 AND t > 3 * s").select("occurrence_id", F.round(F.col("t") / F.col("s"), 3).alias("ratio"))
-
-
-_add("length_explosion", length_explosion, "SELECT DISTINCT occurrence_id, round(length(target_text) / length(source_text), 3) AS ratio FROM occurrences WHERE length(source_text) > 20 AND length(target_text) > 3 * length(source_text)")
-
-
-def validation_reason(spark: SparkSession, d: str) -> DataFrame:
-    """First failure of each pair, counted."""
-    return integrity_codes(spark, d).groupBy(F.split("codes", ",")[0].alias("reason")).agg(F.count("*").alias("occurrences"))
-
-
-_add("validation_reason", validation_reason, f"SELECT split_part(codes, ',', 1) AS reason, count(*) AS occurrences FROM ({_SQL['integrity_codes']}) GROUP BY 1")
-
-_DIGEST = [("numbers and codes", ["technical_invariant"]), ("left as it was", ["unchanged_prose", "unapproved_preserve"]), ("broken text", ["repeated_token_corruption", "unexpected_script", "length_explosion"])]
-
-
-def failure_digest(spark: SparkSession, d: str) -> DataFrame:
-    """Recorded failures folded into what a reader is told."""
-    f = table(spark, d, "occurrences").select("occurrence_id", F.explode("validation_failures").alias("f")).distinct()
-    said = None
-    for name, codes in _DIGEST:
-        said = F.when(F.col("f").isin(codes), name) if said is None else said.when(F.col("f").isin(codes), name)
-    return f.groupBy(said.otherwise("engine").alias("category")).agg(F.count("*").alias("failures"))
-
-
-_add(
-    "failure_digest",
-    failure_digest,
-    "SELECT CASE " + " ".join(f"WHEN f IN ({', '.join(map(_lit, codes))}) THEN {_lit(n)}" for n, codes in _DIGEST) + " ELSE 'engine' END AS category, count(*) AS failures FROM (SELECT DISTINCT occurrence_id, f FROM (SELECT occurrence_id, unnest(validation_failures) AS f FROM occurrences)) GROUP BY 1",
-)
-
-
 def span_ids(spark: SparkSession, d: str) -> DataFrame:
     """Bit-exact identity of a source span: hash of page, index and text, separated by NUL."""
     f = table(spark, d, "fragments").filter("text IS NOT NULL").select("fragment_id", "page", "reading_order", "text").dropDuplicates(["fragment_id"])
@@ -582,133 +282,63 @@ def span_ids(spark: SparkSession, d: str) -> DataFrame:
 _add("span_ids", span_ids, "SELECT DISTINCT fragment_id, 'span-' || substr(sha256('page=' || page || chr(0) || 'index=' || reading_order || chr(0) || text), 1, 20) AS span_id FROM fragments WHERE text IS NOT NULL")
 
 
-def math_filter(spark: SparkSession, d: str) -> DataFrame:
-    """Table cells that are figures, operators and units alone."""
-    f = table(spark, d, "fragments").filter("structural_role = 'table_cell' AND text IS NOT NULL").select("fragment_id", "text").dropDuplicates(["fragment_id"])
-    return f.select("fragment_id", F.col("text").rlike(_MATH).alias("math"))
-
-
-_MATH = r"^[0-9.,+*/=<>%()~ °²³±×-]*[0-9][0-9.,+*/=<>%()~ °²³±×-]*(?:mm²|mm|MPa|kW|kΩ|kg|mA|ms|µm|°C|Hz|V)?$"
-_add("math_filter", math_filter, f"SELECT DISTINCT fragment_id, regexp_matches(text, {_lit(_MATH)}) AS math FROM fragments WHERE structural_role = 'table_cell' AND text IS NOT NULL")
-
-
-def number_abbreviation(spark: SparkSession, d: str) -> DataFrame:
-    """Documents in which "no." before a figure is spelled with a capital."""
-    docs = table(spark, d, "documents").filter("text IS NOT NULL")
-    return docs.select("doc_id", F.md5(F.regexp_replace("text", r"(^|[ (])no\.( ?[0-9])", "$1No.$2")).alias("digest"))
-
-
-_add("norm_number_abbrev", number_abbreviation, r"SELECT doc_id, md5(regexp_replace(text, '(^|[ (])no\.( ?[0-9])', '\1No.\2', 'g')) AS digest FROM documents WHERE text IS NOT NULL")
-
-_SPANS = [("a", 0, 5), ("a", 3, 9), ("a", 5, 7), ("a", 5, 9), ("a", 12, 13), ("b", 2, 4), ("b", 2, 8), ("b", 8, 9)]
-
-
-def span_select(spark: SparkSession, d: str) -> DataFrame:
-    """Leftmost-longest spans that do not overlap: an ordered fold over the sorted spans of a text."""
-    rows = spark.createDataFrame(_SPANS, "k string, s int, e int").groupBy("k").agg(F.array_sort(F.collect_list(F.struct(F.col("s"), (-F.col("e")).alias("n")))).alias("x"))
-    start = F.array().cast("array<struct<s:int,n:int>>")
-    kept = F.aggregate("x", start, lambda acc, v: F.when((F.size(acc) == 0) | (v["s"] >= -F.element_at(acc, -1)["n"]), F.concat(acc, F.array(v))).otherwise(acc))
-    return rows.select("k", F.explode(kept).alias("v")).select("k", "v.s", (-F.col("v.n")).alias("e"))
-
-
-_add("span_select", span_select, "SELECT * FROM (VALUES ('a', 0, 5), ('a', 5, 9), ('a', 12, 13), ('b', 2, 8), ('b', 8, 9)) AS v(k, s, e)")
-
-_PAGES = {
-    "toc": "Contents\nSafety ........ 1\nSetup ........ 4\nUse ........ 9\nCare ........ 12",
-    "index": "\n".join(f"term{i}, {i}" for i in range(24)),
-    "references": "References\n[1] A. Author, Title, 2001.\n[2] B. Author, Title, 2002.",
-    "prose": "Check the relay.\nThe fuse must be replaced.",
-}
-
-
-def page_class(spark: SparkSession, d: str) -> DataFrame:
-    """Kind of a page by flags of its lines: contents, index, references, or none."""
-    pages = spark.createDataFrame(list(_PAGES.items()), "page string, text string")
-    lines = pages.select("page", F.posexplode(F.split("text", "\n")).alias("i", "raw")).select("page", "i", F.trim("raw").alias("l")).filter("l <> ''")
-    flag = lambda p: F.sum(F.when(F.col("l").rlike(p), 1).otherwise(0))
-    per = lines.groupBy("page").agg(F.count("*").alias("n"), flag(r"[.]{4,} *[0-9]+$").alias("leader"), flag(r", [0-9]+$").alias("entry"), flag(r"^\[[0-9]+\] ").alias("cited"), F.min_by(F.lower("l"), "i").alias("first"))
-    kind = F.when(3 * F.col("leader") + F.when(F.col("first").isin("contents", "table of contents"), 5).otherwise(0) >= 8, "TOC").when(((F.col("n") >= 20) & (F.col("entry") > 0.4 * F.col("n"))) | (F.col("first") == "index"), "INDEX")
-    return per.select("page", kind.when((F.col("first") == "references") | (F.col("cited") >= 5), "REFERENCES").alias("kind"))
-
+def version_compare(spark: SparkSession, d: str) -> DataFrame:
+    """Whether versions in the documents' file names, and some others, are newer than given ones; missing parts are zero."""
+    text = F.col("text")
+    found = table(spark, d, "documents").select(F.explode(F.regexp_extract_all(text, F.lit(r"[.](v[0-9]+(?:[.][0-9]+)*)[.]ini"), F.lit(1))).alias("candidate")).distinct()
+    given = spark.createDataFrame([(v,) for v in _VERSIONS], "candidate string")
+    current = spark.createDataFrame([(v,) for v in _VERSIONS], "current string")
+    rows = found.unionByName(given).distinct().crossJoin(F.broadcast(current))  # a few literals
+    return rows.select("candidate", "current", (rules.version_parts(F.col("candidate")) > rules.version_parts(F.col("current"))).alias("newer"))
 
-_add(
-    "page_class",
-    page_class,
-    "WITH p(page, text) AS (VALUES "
-    + ", ".join(f"({_lit(k)}, {_lit(v)})" for k, v in _PAGES.items())
-    + r"""), l AS (SELECT page, trim(unnest(string_split(text, chr(10)))) AS l, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM p),
-    g AS (SELECT page, count(*) AS n, count(*) FILTER (WHERE regexp_matches(l, '[.]{4,} *[0-9]+$')) AS leader, count(*) FILTER (WHERE regexp_matches(l, ', [0-9]+$')) AS entry, count(*) FILTER (WHERE regexp_matches(l, '^\[[0-9]+\] ')) AS cited, min_by(lower(l), i) AS first FROM l WHERE l <> '' GROUP BY page)
-    SELECT page, CASE WHEN 3 * leader + CASE WHEN first IN ('contents', 'table of contents') THEN 5 ELSE 0 END >= 8 THEN 'TOC' WHEN (n >= 20 AND entry > 0.4 * n) OR first = 'index' THEN 'INDEX' WHEN first = 'references' OR cited >= 5 THEN 'REFERENCES' END AS kind FROM g""",
-)
 
-# Literal texts that hold every token category, as the tables hold few of them.
-_TOKEN_TEXTS = [
-    "Set {{x}} and {v0} to %s, ${y}.", "Keep <b0></b0> and <x/>", "See https://example.org/a?b=1. Then go on.", "Open C:\\temp\\cfg.ini now", "In /etc/app/cfg.ini or cfg17.v2.ini.", "Page No. 3, Sec. 4.2, Fig. 12",
-    "at 192.0.2.27, TCP/502 and UDP/69", "D100, AL.52, 0x2005, KM-757", "ISO 10218-1 and IEC 60204", "Rev.B, v1.2.3", "0.5, 1,234.50 and 10~20 or 3 – 4", "2350mm, 0.5 MPa, 12 kΩ", "Servo ON then OFF", "MOV D100 D200", "",
-]
+_VERSIONS = ["0.10.0", "0.9.0", "0.2", "0.2.0", "0.2.1", "v0.2.0-rc1", "2", "1.0.0.0.1", "1"]
+_PARTS = lambda c: f"list_transform(string_split(regexp_replace(regexp_extract({c}, '^[vV]?([0-9]+([.][0-9]+)*)', 1), '([.]0+)+$', ''), '.'), lambda x: x::BIGINT)"
+_add("version_compare", version_compare, f"""WITH c AS (SELECT unnest(regexp_extract_all(text, '[.](v[0-9]+(?:[.][0-9]+)*)[.]ini', 1)) AS candidate FROM documents UNION SELECT * FROM (VALUES {', '.join(f"({lit(v)})" for v in _VERSIONS)})), r AS (SELECT * FROM (VALUES {', '.join(f"({lit(v)})" for v in _VERSIONS)}) AS v(current))
+    SELECT candidate, current, {_PARTS('candidate')} > {_PARTS('current')} AS newer FROM c, r""")
 
 
-def token_fixture(spark: SparkSession, d: str) -> DataFrame:
-    """Every extractor on literal texts."""
-    rows = spark.createDataFrame([(t,) for t in _TOKEN_TEXTS], "text string")
-    per = F.array(*[F.struct(F.lit(n).alias("category"), tokens(n, F.col("text")).alias("t")) for n in PATTERNS])
-    return rows.withColumn("c", F.explode(per)).select("c.category", "text", F.array_join("c.t", "|").alias("tokens")).filter("tokens <> ''")
+def canonical_params(spark: SparkSession, d: str) -> DataFrame:
+    """Engine parameters as JSON with sorted keys and no spaces, which is how a cache keys them, and how often each occurs."""
+    entries = F.array_sort(F.map_entries(F.from_json("translate_engine_params", "map<string,string>")))
+    dumped = F.concat(F.lit("{"), F.array_join(F.transform(entries, lambda e: F.concat(F.lit('"'), e["key"], F.lit('":"'), e["value"], F.lit('"'))), ","), F.lit("}"))
+    return table(spark, d, "translation_cache").groupBy(dumped.alias("params")).agg(F.count("*").alias("entries")).withColumn("fingerprint", F.sha2("params", 256))
 
 
-_add(
-    "token_fixture",
-    token_fixture,
-    "WITH x(text) AS (VALUES " + ", ".join(f"({_lit(t)})" for t in _TOKEN_TEXTS) + ") SELECT category, text, t AS tokens FROM ("
-    + " UNION ALL ".join(f"SELECT {_lit(n)} AS category, text, array_to_string(regexp_extract_all(text, {_lit(p)}), '|') AS t FROM x" for n, p in PATTERNS.items())
-    + ") WHERE t <> ''",
-)
+_add("canonical_params", canonical_params, """WITH k AS (SELECT id, translate_engine_params AS p, unnest(list_sort(json_keys(translate_engine_params))) AS k FROM translation_cache), d AS (SELECT id, '{' || string_agg('"' || k || '":"' || (p ->> ('$.' || k)) || '"', ',' ORDER BY k) || '}' AS params FROM k GROUP BY id)
+    SELECT params, count(*) AS entries, sha256(params) AS fingerprint FROM d GROUP BY params""")
 
 # Whole tables of texts -----------------------------------------------------------------------------------------
-# tag_balance, placeholder_roundtrip, span_select, page_class and token_fixture above are cases on literals; these judge the tables.
-
-_TEXTS = [("documents", "doc_id", ("text",)), ("logical_units", "logical_unit_id", ("text",)), ("segments", "segment_id", ("src",)), ("fragments", "fragment_id", ("text",)), ("occurrences", "occurrence_id", ("source_text", "target_text")), ("translation_cache", "id", ("original_text", "translation"))]
-_ALL_TEXTS = " UNION ALL ".join(f"SELECT '{t}' AS tbl, '{c}' AS field, {k}::VARCHAR AS record_id, {c} AS text FROM {t}" for t, k, columns in _TEXTS for c in columns)
-
-
-def _all_texts(spark: SparkSession, d: str) -> DataFrame:
-    """(tbl, field, record_id, text) of every text column; a table with two is read once."""
-    out = None
-    for name, key, columns in _TEXTS:
-        each = F.explode(F.array(*[F.struct(F.lit(c).alias("field"), F.col(c).alias("text")) for c in columns])).alias("f")
-        one = table(spark, d, name).select(F.lit(name).alias("tbl"), F.col(key).cast("string").alias("record_id"), each).select("tbl", "f.field", "record_id", "f.text")
-        out = one if out is None else out.unionAll(one)
-    return out
-
 
 _add(
     "tag_nesting",
-    lambda s, d: texts.tag_nesting(_all_texts(s, d)),
-    f"""WITH x AS (SELECT tbl, field, record_id, regexp_extract_all(text, {_lit(texts.TAG)}) AS t FROM ({_ALL_TEXTS}) WHERE regexp_matches(text, {_lit(texts.TAG)})),
-    n AS (SELECT *, list_transform(t, lambda x: CASE WHEN x LIKE '%/>' THEN '' WHEN x LIKE '</%' THEN '/' ELSE '+' END || CASE WHEN x LIKE '%/>' THEN '' ELSE lower(regexp_extract(x, {_lit(texts.TAG_NAME)}, 1)) END) AS steps FROM x)
+    lambda s, d: texts.tag_nesting(all_texts(s, d)),
+    f"""WITH x AS (SELECT tbl, field, record_id, regexp_extract_all(text, {lit(texts.TAG)}) AS t FROM ({ALL_TEXTS}) WHERE regexp_matches(text, {lit(texts.TAG)})),
+    n AS (SELECT *, list_transform(t, lambda x: CASE WHEN x LIKE '%/>' THEN '' WHEN x LIKE '</%' THEN '/' ELSE '+' END || CASE WHEN x LIKE '%/>' THEN '' ELSE lower(regexp_extract(x, {lit(texts.TAG_NAME)}, 1)) END) AS steps FROM x)
     SELECT DISTINCT tbl, field, record_id, len(t)::INT AS tags, list_reduce(list_prepend('', steps), lambda s, x: CASE WHEN x = '' THEN s WHEN x LIKE '+%' THEN s || '<' || substr(x, 2) WHEN ends_with(s, '<' || substr(x, 2)) THEN left(s, length(s) - length(x)) ELSE s || '<!' END) = '' AS balanced FROM n""",
 )
 _add(
     "formula_markers",
-    lambda s, d: texts.formula_markers(_all_texts(s, d)),
-    rf"""WITH x AS (SELECT tbl, field, record_id, text, regexp_extract_all(text, {_lit(texts.MARKER)}) AS m FROM ({_ALL_TEXTS}) WHERE regexp_matches(text, {_lit(texts.MARKER)}) OR regexp_matches(text, {_lit(texts.MASKED)})),
+    lambda s, d: texts.formula_markers(all_texts(s, d)),
+    rf"""WITH x AS (SELECT tbl, field, record_id, text, regexp_extract_all(text, {lit(texts.MARKER)}) AS m FROM ({ALL_TEXTS}) WHERE regexp_matches(text, {lit(texts.MARKER)}) OR regexp_matches(text, {lit(texts.MASKED)})),
     k AS (SELECT *, list_transform(m, lambda x: regexp_replace(regexp_replace(x, '[^0-9]', '', 'g'), '^0+([0-9])', '')) AS k FROM x)
-    SELECT DISTINCT tbl, field, record_id, array_to_string(list_transform(k, lambda x: '<b' || x || '></b' || x || '>'), '') AS masked, m = list_transform(k, lambda x: '{{v' || x || '}}') AND NOT regexp_matches(text, {_lit(texts.MASKED)}) AS same FROM k""",
+    SELECT DISTINCT tbl, field, record_id, array_to_string(list_transform(k, lambda x: '<b' || x || '></b' || x || '>'), '') AS masked, m = list_transform(k, lambda x: '{{v' || x || '}}') AND NOT regexp_matches(text, {lit(texts.MASKED)}) AS same FROM k""",
 )
 
 
 def token_spans(spark: SparkSession, d: str) -> DataFrame:
     """Spans of the tokens of all categories in every source text, leftmost-longest; no SQL, tested against brute force."""
-    return texts.token_spans(union_records([(table(spark, d, t), t, k, c[0]) for t, k, c in _TEXTS[:4]]))
+    return texts.token_spans(union_records([(table(spark, d, t), t, k, c[0]) for t, k, c in TEXTS[:4]]))
 
 
 _add("token_spans", token_spans)
 
-_LINE_FLAGS = ", ".join(f"regexp_matches(l, {_lit(p)})" + (f" AND k <= {most}" if most else "") + f" AS {n}" for n, (p, most) in texts.FLAGS.items())
+_LINE_FLAGS = ", ".join(f"regexp_matches(l, {lit(p)})" + (f" AND k <= {most}" if most else "") + f" AS {n}" for n, (p, most) in texts.FLAGS.items())
 _add(
     "page_kinds",
     lambda s, d: texts.page_kinds(table(s, d, "fragments")),
-    f"""WITH b AS (SELECT DISTINCT ON (fragment_id) fragment_id, manual_id, page, reading_order, bbox.y0 AS y0, bbox.x0 AS x0, regexp_split_to_array(coalesce(text, ''), {_lit(texts.LINE_END)}) AS t FROM fragments),
-    r AS (SELECT *, unnest(t) AS raw, generate_subscripts(t, 1) AS i FROM b), c AS (SELECT *, nullif(regexp_replace(raw, {_lit(texts.EDGES)}, '', 'g'), '') AS l FROM r),
+    f"""WITH b AS (SELECT DISTINCT ON (fragment_id) fragment_id, manual_id, page, reading_order, bbox.y0 AS y0, bbox.x0 AS x0, regexp_split_to_array(coalesce(text, ''), {lit(texts.LINE_END)}) AS t FROM fragments),
+    r AS (SELECT *, unnest(t) AS raw, generate_subscripts(t, 1) AS i FROM b), c AS (SELECT *, nullif(regexp_replace(raw, {lit(texts.EDGES)}, '', 'g'), '') AS l FROM r),
     p AS (SELECT manual_id, page, l, row_number() OVER w AS k, lead(l) OVER w AS after FROM c WINDOW w AS (PARTITION BY manual_id, page, l IS NULL ORDER BY reading_order, y0, x0, fragment_id, i)),
     f AS (SELECT *, {_LINE_FLAGS} FROM p), g AS (SELECT manual_id, page, count(l) AS n, {", ".join(f"count(*) FILTER (WHERE {c}) AS {n}" for n, c in texts.COUNTS.items())} FROM f GROUP BY manual_id, page)
     SELECT manual_id, page, n AS lines, {texts.KIND} AS kind FROM g""",

@@ -6,55 +6,12 @@ import os
 import duckdb
 import pandas as pd
 import pytest
-from pyspark.sql import functions as F
 
-from spanloom.functions.tokens import PATTERNS, bag_minus, tokens
-from spanloom.operators import flow, geometry, ledger, metrics, rules, texts, units
+from spanloom.operators import flow, ledger, texts, units
 from spanloom.plans import catalog
 from spanloom.sources import interchange
 
 
-def one(spark, column, **values):
-    row = spark.createDataFrame([tuple(values.values())], list(values)) if values else spark.range(1)
-    return row.select(column.alias("x")).first().x
-
-
-@pytest.mark.parametrize(
-    "name,text,found",
-    [
-        ("placeholders", "Set {{x}} and {v0} to %s", ["{{x}}", "{v0}", "%s"]),
-        ("tags", "Keep <b0></b0> and <x/>", ["<b0>", "</b0>", "<x/>"]),
-        ("urls", "See https://example.org/a?b=1.", ["https://example.org/a?b=1"]),
-        ("windows_paths", r"Open C:\temp\cfg.ini now", [r"C:\temp\cfg.ini"]),
-        ("posix_paths", "In /etc/app/cfg.ini", ["/etc/app/cfg.ini"]),
-        ("file_names", "file cfg17.v2.ini.", ["cfg17.v2.ini"]),
-        ("ipv4", "at 192.0.2.27 or 300.1.1.1", ["192.0.2.27"]),
-        ("endpoints", "TCP/502 and UDP/69", ["TCP/502", "UDP/69"]),
-        ("standards", "ISO 10218-1", ["ISO 10218-1"]),
-        ("versions", "Rev.B and v1.2.3", ["Rev.B", "v1.2.3"]),
-        ("numbers", "0.5 and 1,234.50", ["0.5", "1,234.50"]),
-        ("quantities", "2350mm, 0.5 MPa", ["2350mm", "0.5 MPa"]),
-        ("ranges", "10~20 and 3 – 4", ["10~20", "3 – 4"]),
-        ("opcodes", "MOV D100 D200", ["MOV D100 D200"]),
-    ],
-)
-def test_tokens(spark, name, text, found):
-    got = one(spark, tokens(name, F.col("t")), t=text)
-    assert got[: len(found)] == found
-
-
-def test_tokens_of_null(spark):
-    df = spark.createDataFrame([(None,)], "t string")
-    for name in PATTERNS:
-        assert df.select(tokens(name, F.col("t")).alias("x")).first().x == []
-
-
-def test_bag_minus(spark):
-    a, b = F.array(*map(F.lit, "bbac")), F.array(*map(F.lit, "abd"))
-    assert one(spark, bag_minus(a, b)) == ["b", "c"]
-    assert one(spark, bag_minus(b, a)) == ["d"]
-
-
 def _fragment(i, text, box, page=0, order=None, role="body", cell=None, column=None, paragraph="paragraph-1", region="body-1", callout=None, style=0, size=10.0):
     return ("m", f"frag-{i}", text, page, box, i if order is None else order, region, cell, column, paragraph, callout, None, role, style, size)
 
@@ -79,13 +36,6 @@ def test_unit_decisions(spark, case):
     assert [r.decision for r in got] == want
 
 
-def test_units_of_repeated_rows_and_none(spark):
-    df = spark.createDataFrame(CASES["wrapped"][0] * 2, SCHEMA)
-    row = units.logical_units(df).collect()
-    assert len(row) == 1 and row[0].fragments == 2 and row[0].chars == len("Normal prose wrapped across multiple physical lines")
-    assert units.logical_units(df.limit(0)).count() == 0
-
-
 def test_ledger(spark):
     frags = spark.createDataFrame([("m", "frag-1"), ("m", "frag-2"), ("m", "frag-3")], "manual_id string, fragment_id string")
     occ = spark.createDataFrame([("o1", "m", ["span-1"]), ("o2", "m", ["span-1", "span-9"]), ("o2", "m", ["span-1", "span-9"]), ("o3", "m", None)], "occurrence_id string, manual_id string, source_span_ids array<string>")
@@ -93,14 +43,6 @@ def test_ledger(spark):
     assert (r.eligible, r.assigned, r.unassigned, r.unknown, r.duplicates) == (3, 2, 2, 1, 1)
 
 
-@pytest.mark.parametrize("outcomes,trusted", [("FS", None), ("FF", 1), ("FSF", None), ("FTF", 2), ("FFSF", 1), ("", None)])
-def test_two_strike(spark, outcomes, trusted):
-    names = {"F": "failure", "S": "success", "T": "transport"}
-    df = spark.createDataFrame([("i", n, names[o]) for n, o in enumerate(outcomes)], "identity string, seq long, outcome string")
-    rows = flow.two_strike(df).collect()
-    assert [r.trusted_at for r in rows] == ([] if trusted is None else [trusted])
-
-
 def test_two_strike_stream_equals_batch(spark, tmp_path):
     from spanloom.streaming.strikes import two_strike_stream
 
@@ -112,38 +54,7 @@ def test_two_strike_stream_equals_batch(spark, tmp_path):
     stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
     q = two_strike_stream(stream).writeStream.format("memory").queryName("strikes").outputMode("append").trigger(availableNow=True).start()
     q.awaitTermination()
-    assert sorted(spark.table("strikes").collect()) == sorted(flow.two_strike(df).collect())
-
-
-@pytest.mark.parametrize("text,ok", [("D100", False), ("0x2005", False), ("250 mm", False), ("192.168.1.10", False), ("Pressure", True), ("안전사양", True), ("Set D100 to 250.", True), ("", False)])
-def test_translatable(spark, text, ok):
-    assert one(spark, rules.translatable(F.col("t")), t=text) is ok
-
-
-def test_routes(spark):
-    df = spark.createDataFrame([("a", "D100"), ("b", "Press the button."), ("c", "Keep {x}"), ("d", "If D1 exceeds 5 V, stop."), ("e", None)], "k string, text string")
-    got = {r.k: (r.route, r.reason) for r in rules.route(df, "text", "k").collect()}
-    assert got["a"] == ("none", "preserve") and got["b"] == ("direct", "plain") and got["c"] == ("handoff", "structural") and got["d"] == ("handoff", "condition_value") and got["e"][0] == "none"
-
-
-def test_overlap_brute_force(spark, data):
-    frags = spark.read.parquet(f"{data}/fragments.parquet")
-    got = {(r.a, r.b) for r in geometry.overlap_pairs(frags, 0.05).collect()}
-    pdf = geometry.boxes(frags).toPandas()
-    want = set()
-    for _, g in pdf.groupby(["manual_id", "page"]):
-        rows = list(g.itertuples())
-        for x in rows:
-            for y in rows:
-                w, h = min(x.x1, y.x1) - max(x.x0, y.x0), min(x.y1, y.y1) - max(x.y0, y.y0)
-                if x.fragment_id < y.fragment_id and w > 0 and h > 0 and w * h / min((x.x1 - x.x0) * (x.y1 - x.y0), (y.x1 - y.x0) * (y.y1 - y.y0)) >= 0.05:
-                    want.add((x.fragment_id, y.fragment_id))
-    assert got == want
-
-
-def test_exclusive_time(spark):
-    df = spark.createDataFrame([("a", None, 5.0), ("b", "a", 2.0)], "id string, parent string, seconds double")
-    assert {r.id: r.exclusive for r in metrics.exclusive_time(df).collect()} == {"a": 3.0, "b": 2.0}
+    assert sorted(spark.table("strikes").collect()) == sorted(flow.two_strike(df).select("identity", "trusted_at").collect())
 
 
 def test_interchange(spark, tmp_path):
@@ -162,6 +73,11 @@ def test_interchange(spark, tmp_path):
     (tmp_path / "a.pdf").write_bytes(b"%PDF-1.7 x")
     (tmp_path / "b.pdf").write_bytes(b"nothing")
     assert {os.path.basename(r.path): r.ok for r in interchange.binary_guard(spark, str(tmp_path)).collect()} == {"a.pdf": True, "b.pdf": False}
+    (tmp_path / "C.PDF").write_bytes(b"\xff\xfe %PDF-1.4")
+    assert {os.path.basename(r.path) for r in interchange.binary_guard(spark, str(tmp_path)).filter("ok").collect()} == {"a.pdf", "C.PDF"}
+    src.write_text('{"segment_id": "1", "src": "a"}\n\nno record\n')
+    with pytest.raises(Exception, match="not a record: no record"):
+        interchange.read_segments(spark, str(src)).collect()
     misses = spark.createDataFrame([("1",), ("2",), ("2",)], "segment_id string")
     assert [r.segment_id for r in interchange.enqueue_misses(misses, misses.filter("segment_id = '1'")).collect()] == ["2"]
 
@@ -208,24 +124,6 @@ def test_formula_markers_of_a_table(spark):
     assert got == dict(enumerate(cases.values()))
 
 
-def test_token_spans_brute_force(spark, data):
-    import re
-
-    got = {}
-    for r in catalog.queries()["token_spans"](spark, data).filter("tbl = 'documents'").collect():
-        got.setdefault(int(r.record_id), []).append((r.start_at, r.end_at))
-    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{data}/documents.parquet").collect() if r.text}
-    for key, text in docs.items():
-        spans = {m.span() for p in PATTERNS.values() for m in re.finditer(p, text)}
-        want, cursor = [], 0
-        while left := [x for x in spans if x[0] >= cursor]:
-            first = min(x[0] for x in left)
-            want.append(max(x for x in left if x[0] == first))
-            cursor = want[-1][1]
-        assert sorted(got.get(key, [])) == want
-    assert texts.select_spans("at 192.0.2.27, ISO 10218-1") == [(3, 13, "ipv4"), (15, 26, "standards")] and texts.select_spans(None) == []
-
-
 PAGES = {
     "TOC": ["Contents", "Safety ........ 1", "Setup ........ 4"],
     "INDEX": [f"term{i}, {i} ff." for i in range(24)],
@@ -242,20 +140,26 @@ def test_page_kinds_of_fragments(spark):
     assert got == {p: (len(lines), kind) for p, (kind, lines) in enumerate(PAGES.items())} | {9: (2, "INDEX"), 8: (0, None)}
 
 
-def test_height_below_side_by_side(spark):
-    boxes = {"cell": (10.0, 10.0, 100.0, 20.0), "right cell": (110.0, 10.0, 600.0, 20.0), "under both": (10.0, 32.0, 600.0, 42.0), "right only": (110.0, 50.0, 600.0, 60.0), "left, last": (10.0, 70.0, 100.0, 80.0), "touching": (100.0, 90.0, 110.0, 95.0)}
-    df = spark.createDataFrame([_fragment(n, n, b, order=0) for n, b in boxes.items()] * 2, SCHEMA)
-    got = {r.fragment_id[5:]: r.height for r in geometry.height_below(df).collect()}
-    assert got == {"cell": 12.0, "right cell": 12.0, "under both": 8.0, "right only": None, "left, last": None, "touching": None}
-
 
-def test_height_below_brute_force(spark):
-    import random
 
-    rng = random.Random(7)
-    boxes = [(i % 3, x, y, x + rng.randint(5, 300), y + rng.randint(5, 30)) for i in range(150) for x, y in [(rng.randint(0, 500), rng.randint(0, 700))]]
-    df = spark.createDataFrame([_fragment(i, "", tuple(map(float, b[1:])), page=b[0]) for i, b in enumerate(boxes)], SCHEMA)
-    got = {int(r.fragment_id[5:]): r.height for r in geometry.height_below(df).collect()}
-    for i, (page, x0, _, x1, y1) in enumerate(boxes):
-        under = [b[2] - y1 for j, b in enumerate(boxes) if j != i and b[0] == page and b[1] < x1 and b[3] > x0 and b[2] >= y1 - 0.5]
-        assert got[i] == (max(0.0, min(under)) if under else None)
+def test_queue_glossary_and_publishing(spark, tmp_path):
+    misses = spark.createDataFrame([("1",), ("2",), ("2",)], "segment_id string")
+    queue = str(tmp_path / "queue")
+    assert interchange.append_misses(misses, queue) == 2 and interchange.append_misses(misses, queue) == 0
+    (tmp_path / "g.json").write_text('{"relay": "rơ le", "fuse": "cầu chì"}')
+    assert {(r.term, r.target) for r in interchange.read_glossary(spark, str(tmp_path / "g.json")).collect()} == {("relay", "rơ le"), ("fuse", "cầu chì")}
+    (tmp_path / "g.json").write_text('{"relay": " "}')
+    with pytest.raises(Exception, match="must not be empty"):
+        interchange.read_glossary(spark, str(tmp_path / "g.json")).collect()
+    assert interchange.publish(misses, str(tmp_path / "out"), str(tmp_path / "staged")) == 3
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 3 and not (tmp_path / "staged").exists()
+    with pytest.raises(FileExistsError):
+        interchange.publish(misses, str(tmp_path / "out"), str(tmp_path / "staged"))
+
+
+def test_injected_provider(spark):
+    rows = [("1", "ab"), ("2", "ab"), ("3", None), ("4", "x" * 6000), ("5", " ")]
+    df = spark.createDataFrame(rows, "segment_id string, src string")
+    got = {r.segment_id: (r.dst, r.error) for r in interchange.call_provider(df, lambda texts: [f"&lt;{t}&gt;\x07" for t in texts]).collect()}
+    none = (None, "UnresolvedSegmentError")
+    assert got == {"1": ("<ab>", None), "2": ("<ab>", None), "3": none, "4": (None, "SegmentTooLongError"), "5": none}
