@@ -8,6 +8,7 @@ exclusive.
 
 from __future__ import annotations
 
+import functools
 import re
 from collections.abc import Sequence
 
@@ -65,8 +66,10 @@ def select(spans: Column) -> Column:
 
 def names(text: Column, kept: Sequence[str] = KEPT_NAMES, kind: str = "name") -> Column:
     """Spans of kept names that are no parts of longer words."""
-    each = [find(text, rf"(?<![A-Za-z0-9_]){re.escape(n)}(?![A-Za-z0-9_])".replace(r"\ ", " "), kind) for n in dict.fromkeys(kept) if n]
-    return select(F.concat(*each)) if each else no_spans()
+    wanted = [n for n in dict.fromkeys(kept) if n]
+    each = [find(text, rf"(?<![A-Za-z0-9_]){re.escape(n)}(?![A-Za-z0-9_])".replace(r"\ ", " "), kind) for n in wanted]
+    there = functools.reduce(lambda a, b: a | b, [F.contains(text, F.lit(n)) for n in wanted], F.lit(False))
+    return F.when(there, select(F.concat(*each))).otherwise(no_spans()) if each else no_spans()
 
 
 def ui_labels(text: Column, kind: str = "ui", terms: Sequence[str] = ()) -> Column:
@@ -78,8 +81,10 @@ def ui_labels(text: Column, kind: str = "ui", terms: Sequence[str] = ()) -> Colu
 
 
 def _kept_spans(text: Column, kept: Sequence[str], glossary: dict[str, str], label: dict[str, str]) -> list[Column]:
-    out = [names(text, [n for n in kept if n not in glossary], label["name"]), find(text, P.WINDOWS_PATH, label["path"]), find(text, P.DOCUMENT_LABEL, label["label"]), ui_labels(text, label["ui"], list(glossary))]
-    return out
+    # What every span of a kind holds is looked for first, as most texts have none.
+    if_there = lambda mark, found: F.when(F.contains(text, F.lit(mark)), found).otherwise(no_spans())
+    paths, labels = if_there("\\", find(text, P.WINDOWS_PATH, label["path"])), if_there("Page", find(text, P.DOCUMENT_LABEL, label["label"]))
+    return [names(text, [n for n in kept if n not in glossary], label["name"]), paths, labels, ui_labels(text, label["ui"], list(glossary))]
 
 
 def approved(text: Column, kept: Sequence[str] = KEPT_NAMES, glossary: dict[str, str] | None = None) -> Column:
@@ -159,5 +164,5 @@ def _restored(translated: Column, masks: Column) -> Column:
 def only_names(text: Column, kept: Sequence[str] = KEPT_NAMES, glossary: dict[str, str] | None = None) -> Column:
     """Whether a text is nothing but kept names, punctuation and space."""
     rest = lambda t, found: F.regexp_replace(F.aggregate(found, t, lambda x, s: F.replace(x, s["literal"], F.lit(""))), jvm(P.STYLE_TAG), "")
-    only = let(lambda t, found: (F.size(found) > 0) & rest(t, found).rlike(rf"^[{P.SPACE}\p{{P}}]*$"), text, names(text, [n for n in kept if n not in (glossary or {})]))
+    only = let(lambda t, found: F.when(F.size(found) > 0, rest(t, found).rlike(rf"^[{P.SPACE}\p{{P}}]*$")).otherwise(False), text, names(text, [n for n in kept if n not in (glossary or {})]))
     return F.coalesce(only, F.lit(False))

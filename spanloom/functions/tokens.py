@@ -18,7 +18,7 @@ from spanloom.functions.patterns import jvm
 
 def let(f: Callable[..., Column], *values: Column) -> Column:
     """``f`` of the values, each evaluated once: as arguments of a lambda they are no longer expressions to repeat."""
-    bound = F.array(F.struct(*[v.alias(f"v{i}") for i, v in enumerate(values)]))
+    bound = F.array(F.named_struct(*[x for i, v in enumerate(values) for x in (F.lit(f"v{i}"), v)]))
     return F.get(F.transform(bound, lambda x: f(*[x[f"v{i}"] for i in range(len(values))])), F.lit(0))
 
 

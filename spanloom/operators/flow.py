@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -11,6 +11,7 @@ from spanloom.functions import patterns as P
 from spanloom.functions import spans
 from spanloom.functions.patterns import jvm
 from spanloom.operators import integrity, rules
+from spanloom.session import cut_lineage
 
 LONGEST_CONTEXT = 300  # characters
 
@@ -199,3 +200,37 @@ def adjacent_context(segments: DataFrame, longest: int = LONGEST_CONTEXT) -> Dat
     fits = lambda c: c["src"].isNotNull() & (c["src"] != F.col("l.src")) & c["lang_out"].eqNullSafe(F.col("l.lang_out"))
     p, n = F.coalesce("l.p", "e.ep"), F.coalesce("l.n", "e.en")
     return both.select("l.segment_id", F.when(fits(p), p["segment_id"]).when(fits(n), n["segment_id"]).alias("context_id"))
+
+
+def retry_rounds(sources: DataFrame, translate: Callable[[DataFrame], DataFrame], rounds: int = 3, kept: Sequence[str] = spans.KEPT_NAMES, glossary: dict[str, str] | None = None) -> DataFrame:
+    """(segment_id, verdict, round): sources translated and assessed, the failed ones again, at most ``rounds`` times.
+
+    ``translate`` takes segment_id, src and gives segment_id, src, dst. Each round is
+    written once, so that a provider is never asked twice for it.
+    """
+    left, done = sources.select("segment_id", "src").dropDuplicates(["segment_id"]), None
+    for n in range(1, rounds + 1):
+        verdicts = assess(left, cut_lineage(translate(left)), kept, glossary)
+        judged = cut_lineage(verdicts.filter("verdict <> 'unknown_id'").withColumn("round", F.lit(n)))
+        settled = judged if n == rounds else judged.filter("verdict = 'accepted'")
+        done = settled if done is None else done.unionByName(settled)
+        left = left.join(judged.filter("verdict <> 'accepted'").select("segment_id"), "segment_id", "left_semi")
+    return done
+
+
+def accounts(jobs: DataFrame) -> DataFrame:
+    """One row: segments, those with and without an outcome, and whether these make up all; ``jobs`` as of ``job_outcomes``."""
+    per = jobs.agg(F.count("*").alias("segments"), F.count("chars").alias("translated"), F.count_if(F.col("chars").isNull()).alias("missing"))
+    return per.withColumn("complete", F.col("segments") == F.col("translated") + F.col("missing"))
+
+
+def batch_stats(segments: DataFrame, batches: DataFrame, capacity: int = 12_000) -> DataFrame:
+    """One row: batches, units and characters per batch (mean, median, p90, longest) and use of the capacity; ``batches`` as of ``greedy_batches``."""
+    n = segments.dropDuplicates(["segment_id"]).select("segment_id", "manual_id", F.coalesce(F.length("src"), F.lit(0)).alias("n"))
+    per = batches.filter("batch >= 0").join(n, "segment_id").groupBy("manual_id", "batch").agg(F.count("*").alias("units"), F.sum("n").alias("chars"))
+    # The histogram is small however many batches there are.
+    h = per.groupBy("units", "chars").agg(F.count("*").alias("k"))
+    q = lambda c, p, name: F.round(F.expr(f"percentile({c}, {p}, k)"), 4).alias(name)
+    total = F.sum("k")
+    mean = lambda c: F.round(F.sum(F.col(c) * F.col("k")) / total, 4)
+    return h.agg(total.alias("batches"), mean("units").alias("units_mean"), q("units", 0.5, "units_median"), mean("chars").alias("chars_mean"), q("chars", 0.5, "chars_median"), q("chars", 0.9, "chars_p90"), F.max("chars").alias("chars_longest"), F.round(F.sum(F.col("chars") * F.col("k")) / (total * capacity), 6).alias("used"))

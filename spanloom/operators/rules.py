@@ -11,7 +11,7 @@ from spanloom.functions import patterns as P
 from spanloom.functions import spans as S
 from spanloom.functions.patterns import jvm
 from spanloom.functions.scripts import has_syllables
-from spanloom.functions.tokens import holds, is_code_line, matches, without, without_tags
+from spanloom.functions.tokens import holds, is_code_line, let, matches, without, without_tags
 
 
 def _full(text: Column, pattern: str) -> Column:
@@ -29,12 +29,19 @@ def _plain(text: Column) -> Column:
 
 def needs_translation(text: Column, kept: Sequence[str] = S.KEPT_NAMES, glossary: dict[str, str] | None = None) -> Column:
     """Whether words are left beside kept names, formula markers, standalone terms, lines of code, and codes; false for null."""
-    visible = _strip(without(_plain(text), P.FORMULA_ONLY))
+    return let(lambda t, v: _needs_translation(t, v, kept, glossary), text, _strip(without(_plain(text), P.FORMULA_ONLY)))
+
+
+#: A letter that no code or unit has, or a word in small letters too long for one: text that holds it is not codes alone.
+_WORDED = r"[\p{L}&&[^A-Za-zµμΩſK]]|(?<![A-Za-z0-9_])(?!(?i:servo)(?![A-Za-z]))[A-Za-z]*[a-z]{2}[A-Za-z]*(?<=[A-Za-z]{4})(?![A-Za-z0-9_])"
+
+
+def _needs_translation(text: Column, visible: Column, kept: Sequence[str], glossary: dict[str, str] | None) -> Column:
     lines = F.filter(F.split(visible, P.LINE_END, -1), lambda line: _strip(line) != "")
-    code = (F.size(lines) > 0) & F.forall(lines, is_code_line)
+    code = visible.rlike("MOV|DTO_M|DFROM_M|SET|RST|TON|NWAIT") & (F.size(lines) > 0) & F.forall(lines, is_code_line)
     rest = without(without(visible, P.TECHNICAL_ONLY), P.BETWEEN_CODES)
-    no = S.only_names(text, kept, glossary) | (visible == "") | _full(visible, P.STANDALONE_TERM) | code
-    return F.when(no, False).otherwise(rest.rlike(r"\p{L}"))
+    no = (visible == "") | _full(visible, P.STANDALONE_TERM) | S.only_names(text, kept, glossary) | code
+    return F.when(no, False).when(visible.rlike(_WORDED), True).otherwise(rest.rlike(r"\p{L}"))
 
 
 def preserve_reason(text: Column, explicit: Column, kept: Sequence[str] = S.KEPT_NAMES, glossary: dict[str, str] | None = None) -> Column:

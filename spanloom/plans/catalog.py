@@ -178,6 +178,7 @@ _add(
     f"""WITH {_JOBS}, f AS (SELECT job, arg_min(src, segment_id) AS src, arg_min(lang_out, segment_id) AS lang_out FROM j GROUP BY job), k AS (SELECT original_text AS src, translate_engine_params ->> '$.lang_out' AS lang_out, arg_max(translation, (written_at, id)) AS t FROM translation_cache WHERE translation IS NOT NULL GROUP BY ALL)
     SELECT j.segment_id, j.job, length(k.t)::INT AS chars FROM j JOIN f USING (job) LEFT JOIN k ON k.src = f.src AND k.lang_out = f.lang_out""",
 )
+_add("segment_accounts", lambda s, d: flow.accounts(flow.job_outcomes(table(s, d, "segments"), table(s, d, "translation_cache"))), f"SELECT count(*) AS segments, count(chars) AS translated, count(*) - count(chars) AS missing, true AS complete FROM ({_SQL['job_outcomes']})")
 _add("cascade", lambda s, d: flow.cascade(table(s, d, "segments"), table(s, d, "translation_cache")))
 _add("loaded_segments", lambda s, d: flow.loaded_segments(table(s, d, "segments").filter("src IS NOT NULL AND src <> ''").dropDuplicates(["segment_id"])).select("segment_id", F.length("src").alias("chars")), "SELECT DISTINCT segment_id, length(src)::INT AS chars FROM segments WHERE src <> ''")
 _add("negative_cache", lambda s, d: flow.negative_cache(table(s, d, "segments")))
@@ -254,6 +255,18 @@ _add(
     SELECT segment_id, batch FROM f UNION ALL SELECT segment_id, -1 FROM o WHERE n > 12000""",
 )
 
+_add(
+    "batch_stats",
+    lambda s, d: flow.batch_stats(table(s, d, "segments"), layout.greedy_batches(table(s, d, "segments"))),
+    f"""WITH g AS ({_SQL["greedy_batches"]}), n AS (SELECT DISTINCT ON (segment_id) segment_id, manual_id, coalesce(length(src), 0) AS n FROM segments), p AS (SELECT manual_id, batch, count(*) AS units, sum(n) AS chars FROM g JOIN n USING (segment_id) WHERE batch >= 0 GROUP BY ALL)
+    SELECT count(*) AS batches, round(avg(units), 4) AS units_mean, round(quantile_cont(units, 0.5), 4) AS units_median, round(avg(chars), 4) AS chars_mean, round(quantile_cont(chars, 0.5), 4) AS chars_median, round(quantile_cont(chars, 0.9), 4) AS chars_p90, max(chars)::BIGINT AS chars_longest, round(sum(chars) / (count(*) * 12000), 6) AS used FROM p""",
+)
+_add(
+    "provider_counters",
+    lambda s, d: table(s, d, "translation_cache").groupBy("translate_engine").agg(F.count("*").alias("units"), F.sum(F.length("original_text")).alias("chars"), F.count_if(F.col("translation").isNull() | ~F.col("translation").rlike(f"[^{SPACE}]")).alias("unanswered")),
+    "SELECT translate_engine, count(*) AS units, sum(length(original_text))::BIGINT AS chars, count(*) FILTER (WHERE translation IS NULL OR NOT regexp_matches(translation, " + lit(f"[^{SPACE}]") + ")) AS unanswered FROM translation_cache GROUP BY 1",
+)
+
 
 def geometry_match(spark: SparkSession, d: str) -> DataFrame:
     """Pages whose fragments and units cover the same box within a hundredth."""

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from spanloom.functions import patterns as P
 from spanloom.functions.patterns import SPACE
 from spanloom.functions.tokens import matches
-from spanloom.operators import geometry, layout, metrics
+from spanloom.operators import blocks, fitting, geometry, layout, metrics, words
 from spanloom.plans.common import Query
 from spanloom.sources.tables import table
 
@@ -202,3 +202,63 @@ _add(
     SELECT fragment_id, rx1 > rx0 AND x1 < rx0 + (rx1 - rx0) * 0.75 AS ends, round(CASE WHEN rx1 <= rx0 THEN 0 ELSE greatest(0, rx1 - greatest(x0, rx0)) + (lines - 1) * (rx1 - rx0) END, 4) AS budget,
     round(CASE WHEN x1 - 2 > x0 + 2 AND y1 - 1 > y0 + 1 THEN x0 + 2 END, 4) AS "left", round(CASE WHEN x1 - 2 > x0 + 2 AND y1 - 1 > y0 + 1 THEN 800 - y1 + 1 END, 4) AS low FROM b JOIN r USING (manual_id, page, region_id)""",
 )
+
+
+def formula_regions(spark: SparkSession, d: str) -> DataFrame:
+    """Equations among the fragments, and tokens stacked to fractions."""
+    return words.formula_regions(table(spark, d, "fragments"))
+
+
+def structural_lines(spark: SparkSession, d: str) -> DataFrame:
+    """The prose of every page's lines as a table of contents would have it, numbers and leaders left out."""
+    f = table(spark, d, "fragments")
+    pages = f.select("manual_id", "page").distinct().withColumn("kind", F.lit("TOC"))
+    return words.structural_lines(words.words_of(f), pages).select("manual_id", "page", "block", "line", "text", F.round("render_x1", 4).alias("render_x1"))
+
+
+def page_paragraphs(spark: SparkSession, d: str) -> DataFrame:
+    """Paragraphs of every page by columns and full lines; a fold over the page, without SQL."""
+    return blocks.page_paragraphs(table(spark, d, "fragments")).select("manual_id", "page", "text", "x", "y", "lines", F.round("pitch", 4).alias("pitch"))
+
+
+def font_fit(spark: SparkSession, d: str) -> DataFrame:
+    """The size at which each translation fits the box of its rebuilt unit."""
+    return fitting.font_fit(table(spark, d, "fragments"), table(spark, d, "logical_units"), table(spark, d, "occurrences"))
+
+
+for _f in (formula_regions, structural_lines, page_paragraphs, font_fit):
+    QUERIES[_f.__name__] = _f
+_add(
+    "layout_class",
+    lambda s, d: words.layout_class(table(s, d, "fragments")),
+    f"""WITH {BOXES}, r AS (SELECT manual_id, page, region_id AS region, {_box} FROM b WHERE region_id IS NOT NULL GROUP BY ALL)
+    SELECT l.fragment_id, max(region) AS region FROM b l JOIN r ON {_PAGE} AND (l.x0 + l.x1) / 2 BETWEEN r.x0 AND r.x1 AND (l.y0 + l.y1) / 2 BETWEEN r.y0 AND r.y1 GROUP BY 1""",
+)
+_add(
+    "free_space",
+    lambda s, d: fitting.free_space(table(s, d, "fragments")),
+    f"""WITH {BOXES}, p AS (SELECT *, min(x0) OVER w AS px0, min(y0) OVER w AS py0, max(x1) OVER w AS px1, max(y1) OVER w AS py1 FROM b WINDOW w AS (PARTITION BY manual_id, page)),
+    s AS (SELECT l.fragment_id, max(CASE WHEN r.x1 <= l.x0 THEN (r.x1 + l.x0) / 2 END) AS le, min(CASE WHEN r.x0 >= l.x1 THEN (l.x1 + r.x0) / 2 END) AS ri FROM b l JOIN b r ON {_PAGE} AND l.fragment_id <> r.fragment_id AND least(l.y1, r.y1) - greatest(l.y0, r.y0) > 0.5 GROUP BY 1),
+    v AS (SELECT p.*, greatest(px0, coalesce(le, px0)) AS wl, least(px1, coalesce(ri, px1)) AS wr FROM p LEFT JOIN s USING (fragment_id)),
+    u AS (SELECT l.fragment_id, max(CASE WHEN r.y1 <= l.y0 THEN (r.y1 + l.y0) / 2 END) AS t, min(CASE WHEN r.y0 >= l.y1 THEN (l.y1 + r.y0) / 2 END) AS d FROM v l JOIN b r ON {_PAGE} AND l.fragment_id <> r.fragment_id AND least(l.wr, r.x1) - greatest(l.wl, r.x0) > 1 GROUP BY 1)
+    SELECT fragment_id, round(least(wl, x0), 4) AS x0, round(least(greatest(py0, coalesce(t, py0)), y0), 4) AS y0, round(greatest(wr, x1), 4) AS x1, round(greatest(least(py1, coalesce(d, py1)), y1), 4) AS y1 FROM v LEFT JOIN u USING (fragment_id)""",
+)
+_add("page_ordinal", lambda s, d: table(s, d, "fragments").dropDuplicates(["fragment_id"]).select("fragment_id", (F.row_number().over(Window.partitionBy("manual_id", "page").orderBy("reading_order", "fragment_id")) - 1).alias("ordinal")), f"WITH {BOXES} SELECT fragment_id, (row_number() OVER (PARTITION BY manual_id, page ORDER BY reading_order, fragment_id) - 1)::INT AS ordinal FROM b")
+
+
+def line_pitch(spark: SparkSession, d: str) -> DataFrame:
+    """The upper median of the positive distances between the lines of a region, else one and a quarter of the height."""
+    b = table(spark, d, "fragments").dropDuplicates(["fragment_id"]).filter("region_id IS NOT NULL").select("fragment_id", "manual_id", "page", "region_id", "bbox.y0", "bbox.y1")
+    w = Window.partitionBy("manual_id", "page", "region_id").orderBy("y0", "fragment_id")
+    g = b.withColumn("g", F.col("y0") - F.lag("y0").over(w))
+    per = g.groupBy("manual_id", "page", "region_id").agg(F.array_sort(F.collect_list(F.when(F.col("g") > 0, F.col("g")))).alias("g"), F.max(F.col("y1") - F.col("y0")).alias("h"))
+    middle = F.element_at("g", (F.floor(F.size("g") / 2) + 1).cast("int"))
+    return per.select("manual_id", "page", "region_id", F.round(F.when(F.size("g") > 0, middle).otherwise(F.col("h") * 1.25), 4).alias("pitch"))
+
+
+_add(
+    "line_pitch",
+    line_pitch,
+    f"""WITH {BOXES}, g AS (SELECT *, y0 - lag(y0) OVER (PARTITION BY manual_id, page, region_id ORDER BY y0, fragment_id) AS g FROM b WHERE region_id IS NOT NULL), l AS (SELECT manual_id, page, region_id, list(g ORDER BY g) FILTER (WHERE g > 0) AS g, max(y1 - y0) AS h FROM g GROUP BY ALL)
+    SELECT manual_id, page, region_id, round(CASE WHEN len(g) > 0 THEN g[len(g) // 2 + 1] ELSE h * 1.25 END, 4) AS pitch FROM l""",
+)
