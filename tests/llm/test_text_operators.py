@@ -207,6 +207,14 @@ def test_plan_keeps_items_and_capacity(sizes):
     assert used <= max(1, 2 * sum(sizes) // 100 + 1) or not sizes
 
 
+def test_other_bounds_give_other_containers():
+    """The buckets shape the batches: each forms its own first."""
+    rng = random.Random(9)
+    h = {rng.randint(5, 100): rng.randint(1, 40) for _ in range(40)}
+    plans = {str(packing.plan_group(h, 100, bounds)) for bounds in (packing.bucket_bounds(h), [max(h)], sorted(h)[::3], [20, 50])}
+    assert len(plans) > 1
+
+
 def test_bounds_of_many_sizes_are_exact():
     rng = random.Random(9)
     h = {s: rng.randint(1, 9) for s in rng.sample(range(5000), 1500)} | {2001: 1_000_000, 2004: 1}
