@@ -186,12 +186,16 @@ def line_offsets(fragments: DataFrame, line_height: float = 1.1, budget: float |
     return b.select("fragment_id", F.round(F.coalesce(F.sum("step").over(before), F.lit(0.0)), 4).alias("offset"))
 
 
-def excess_rows(fragments: DataFrame, units: DataFrame) -> DataFrame:
-    """Copies of a text on a page beyond as many as the rebuilt units hold."""
-    once = boxes(fragments).filter("text IS NOT NULL")
-    allowed = units.groupBy("manual_id", "page", "text").agg(F.count("*").alias("n"))
-    order = Window.partitionBy(*PAGE, "text").orderBy("reading_order", "fragment_id")
-    return once.withColumn("k", F.row_number().over(order)).join(allowed, [*PAGE, "text"]).filter("k > n").select("fragment_id", (F.col("k") - F.col("n")).alias("excess"))
+def excess_rows(targets: DataFrame, sources: DataFrame, key: str, order: str) -> DataFrame:
+    """(key, excess): copies of a text on a page beyond as many as the sources have, in order; the first so many are excused.
+
+    Both have the page keys and ``text``; repeated rows of ``targets`` (by ``key``) count once. Texts that
+    the sources lack are none of this operator's business.
+    """
+    once = targets.filter("text IS NOT NULL").dropDuplicates([key])
+    allowed = sources.groupBy(*PAGE, "text").agg(F.count("*").alias("n"))
+    w = Window.partitionBy(*PAGE, "text").orderBy(order, key)
+    return once.withColumn("k", F.row_number().over(w)).join(allowed, [*PAGE, "text"]).filter("k > n").select(key, (F.col("k") - F.col("n")).alias("excess"))
 
 
 def greedy_batches(segments: DataFrame, most_items: int = 30, most_chars: int = 12_000) -> DataFrame:

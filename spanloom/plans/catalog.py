@@ -239,11 +239,20 @@ _add(
     c AS (SELECT fragment_id, r.region_id AS parent, (rx1 - rx0) * (ry1 - ry0) AS a FROM b JOIN r USING (manual_id, page) WHERE x0 >= rx0 AND x1 <= rx1 AND y0 >= ry0 AND y1 <= ry1)
     SELECT fragment_id, parent, round(a, 2) AS area FROM (SELECT *, row_number() OVER (PARTITION BY fragment_id ORDER BY a, parent) AS k FROM c) WHERE k = 1""",
 )
+
+
+def excess_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Occurrences of a text on a page beyond as many as its fragments are."""
+    o = table(spark, d, "occurrences").select("occurrence_id", "manual_id", "page", F.col("source_text").alias("text"), "recorded_at")
+    f = table(spark, d, "fragments").dropDuplicates(["fragment_id"]).select("manual_id", "page", "text")
+    return layout.excess_rows(o, f, "occurrence_id", "recorded_at")
+
+
 _add(
     "excess_rows",
-    lambda s, d: layout.excess_rows(table(s, d, "fragments"), table(s, d, "logical_units")),
-    """WITH b AS (SELECT DISTINCT ON (fragment_id) fragment_id, manual_id, page, text, reading_order FROM fragments WHERE text IS NOT NULL), a AS (SELECT manual_id, page, text, count(*) AS n FROM logical_units GROUP BY ALL),
-    k AS (SELECT *, row_number() OVER (PARTITION BY manual_id, page, text ORDER BY reading_order, fragment_id) AS k FROM b) SELECT fragment_id, k - n AS excess FROM k JOIN a USING (manual_id, page, text) WHERE k > n""",
+    excess_rows,
+    """WITH o AS (SELECT DISTINCT ON (occurrence_id) occurrence_id, manual_id, page, source_text AS text, recorded_at FROM occurrences WHERE source_text IS NOT NULL), a AS (SELECT manual_id, page, text, count(*) AS n FROM (SELECT DISTINCT ON (fragment_id) * FROM fragments) WHERE text IS NOT NULL GROUP BY ALL),
+    k AS (SELECT *, row_number() OVER (PARTITION BY manual_id, page, text ORDER BY recorded_at, occurrence_id) AS k FROM o) SELECT occurrence_id, k - n AS excess FROM k JOIN a USING (manual_id, page, text) WHERE k > n""",
 )
 _add(
     "greedy_batches",

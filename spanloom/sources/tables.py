@@ -23,15 +23,6 @@ def spread(df: DataFrame, *keys: str, waves: int = 2) -> DataFrame:
     return df if have >= want else df.repartition(want, *keys)
 
 
-def one_per_id(df: DataFrame, key: str) -> DataFrame:
-    """Drop repeated rows of the same ``key``.
-
-    The tables' repeated rows are full copies apart from the load time, so any
-    of them serves. The aggregate combines before its shuffle.
-    """
-    return df.dropDuplicates([key])
-
-
 def union_records(parts: list[tuple[DataFrame, str, str, str]]) -> DataFrame:
     """Stack ``(df, tbl, id column, text column)`` as (tbl, record_id, text)."""
     out = None

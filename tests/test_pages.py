@@ -192,3 +192,10 @@ def test_stages(spark):
     df = spark.createDataFrame([("a", None, 5.0), ("b", "a", 2.0)], "id string, parent string, seconds double")
     assert {r.id: r.exclusive for r in metrics.exclusive_time(df).collect()} == {"a": 3.0, "b": 2.0}
     assert {r.id: r.share for r in metrics.stage_shares(df, 10.0).collect()} == {"a": 0.3, "b": 0.2}
+
+
+def test_excess_rows(spark):
+    targets = spark.createDataFrame([("a", "m", 0, "x", 1), ("b", "m", 0, "x", 2), ("c", "m", 0, "x", 3), ("c", "m", 0, "x", 3), ("d", "m", 0, None, 4), ("e", "m", 0, "y", 5)], "k string, manual_id string, page int, text string, o int")
+    sources = spark.createDataFrame([("m", 0, "x"), ("m", 0, None)], "manual_id string, page int, text string")
+    assert {(r.k, r.excess) for r in layout.excess_rows(targets, sources, "k", "o").collect()} == {("b", 1), ("c", 2)}
+    assert layout.excess_rows(targets, sources.limit(0), "k", "o").count() == 0
