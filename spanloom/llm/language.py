@@ -188,6 +188,7 @@ class LanguageModel:
     def __init__(self, idf: np.ndarray, centroids: np.ndarray, owner: np.ndarray, limits: np.ndarray):
         self.idf, self.centroids, self.owner, self.limits = idf, centroids, owner, limits
         self._seen: dict[str, tuple[int, float, np.ndarray | None]] = {}
+        self._bare: dict[str, str] = {}  # pieces as they stand, without what belongs to no language
 
     def __getstate__(self):
         return self.idf, self.centroids.astype(np.float16), self.owner, self.limits
@@ -233,10 +234,16 @@ class LanguageModel:
     def stretches(self, texts: list[str | None]) -> list[list[tuple[int, int, str, float]]]:
         """(start, end, language, confidence) of each text; neighbours of one language joined."""
         spots, plain = [], []
+        known = self._bare
+        if len(known) > REMEMBERED:
+            known.clear()
         for n, t in enumerate(texts):
             if t:
                 for a, e in pieces(t):
-                    b = bare(t[a:e])
+                    piece = t[a:e]
+                    b = known.get(piece)
+                    if b is None:
+                        b = known[piece] = bare(piece)
                     if b:
                         spots.append((n, a, e))
                         plain.append(b)
