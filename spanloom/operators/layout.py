@@ -192,10 +192,11 @@ def excess_rows(targets: DataFrame, sources: DataFrame, key: str, order: str) ->
     Both have the page keys and ``text``; repeated rows of ``targets`` (by ``key``) count once. Texts that
     the sources lack are none of this operator's business.
     """
-    once = targets.filter("text IS NOT NULL").dropDuplicates([key])
-    allowed = sources.groupBy(*PAGE, "text").agg(F.count("*").alias("n"))
+    once = targets.filter("text IS NOT NULL").select(key, *PAGE, "text", order).dropDuplicates([key])
+    allowed = sources.groupBy(*PAGE, "text").agg(F.count("*").alias("_allowed"))
     w = Window.partitionBy(*PAGE, "text").orderBy(order, key)
-    return once.withColumn("k", F.row_number().over(w)).join(allowed, [*PAGE, "text"]).filter("k > n").select(key, (F.col("k") - F.col("n")).alias("excess"))
+    ranked = once.withColumn("_rank", F.row_number().over(w)).join(allowed, [*PAGE, "text"])
+    return ranked.filter("_rank > _allowed").select(key, (F.col("_rank") - F.col("_allowed")).alias("excess"))
 
 
 def greedy_batches(segments: DataFrame, most_items: int = 30, most_chars: int = 12_000) -> DataFrame:
