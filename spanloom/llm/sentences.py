@@ -1,13 +1,13 @@
 """Sentence boundaries across languages and scripts (problem 3).
 
 Every character of a text is tagged as *boundary* (a sentence ends here) or
-*inside* by a linear-chain model with Viterbi decoding. Only characters at
-which a sentence can end (terminal marks with their closing marks, line
-breaks, and in Thai, which has no terminal marks, spaces) have a free tag; the
-chain runs over those, all others being inside. Marks within a pair of quotes
-or brackets are inside, too. Where a stretch of a line without marks is longer
-than sentences of its script are, every space in it has a free tag as well, and
-every character of a script without spaces.
+*inside* by a linear-chain model with Viterbi decoding. Characters at which a
+sentence can end have a free tag, whatever the length of the text around them:
+terminal marks with their closing marks, line breaks, every white space, and in
+scripts without spaces every character, unless what follows cannot begin a
+sentence (a comma, a closing mark, a small letter of Japanese). The chain runs
+over those, all others being inside. What stands within a pair of quotes or
+brackets is inside, too. Thai sets a space between sentences.
 
 The model is an averaged structured perceptron. It is trained here on texts
 composed of known sentences of the corpus: sentences are joined with spaces,
@@ -27,13 +27,15 @@ from __future__ import annotations
 import random
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import pairwise
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanloom.llm.normal import look, per_distinct
+from spanloom.llm.normal import look
 from spanloom.llm.sampling import distinct_sample
 from spanloom.sources.tables import table
 
@@ -42,8 +44,9 @@ SAMPLE_HEADINGS = 800
 SAMPLE_CHARS = 1500  # texts that are longer are not fitted on
 COMPOSED = 12_000  # composed training texts
 EPOCHS = 6
+CAPITALS = 0.1  # share of the composed headings in capitals
 STRIPPED = 0.1  # share of the composed texts whose sentences stand in one line without final marks
-LONGER = 0.99  # quantile of the lengths of known sentences beyond which a stretch without marks is divided
+UNMARKED = 0.03  # share of the other sentences within a line that stand without their final marks
 
 TERMINAL = ".!?。！？”」"
 CLOSERS = r"(?:[”’\"'»）)」』\]】]|“(?!\w))*"  # the last closes German quotations, and opens others
@@ -58,7 +61,6 @@ _MARK = re.compile(r"[ \t]*(?:[•●▪■◦‣·*–—-]|[①-⑳]|[(（]?(?
 _THAI = re.compile("[ก-๛]")
 _DIGIT = re.compile("[1-9]")
 _VIETNAMESE, _GERMAN = re.compile("[ăđơưạ-ỹ]"), re.compile("[äöüß„]")
-_SPACE, _SPACE_OR_HAN = re.compile(" +"), re.compile(" +|(?<=[ぁ-ヿ一-鿿])(?=[ぁ-ヿ一-鿿])|(?<=[ぁ-ヿ一-鿿])(?=[A-Za-z0-9])|(?<=[A-Za-z0-9²°Ω])(?=[ぁ-ヿ一-鿿])")
 
 # Abbreviations after which a sentence goes on, and those that may end one.
 ABBREVIATIONS = {
@@ -100,15 +102,6 @@ def script(text: str) -> str:
     return "v" if _VIETNAMESE.search(text) else "d" if _GERMAN.search(text) else "L"
 
 
-def open_places(text: str, a: int, b: int, limits: dict[str, int]) -> Iterator[tuple[int, int]]:
-    """Places within a stretch without marks that is longer than sentences of its script are: spaces, or the ends of characters."""
-    if b - a <= min(limits.values(), default=b) or b - a <= limits.get(kind := script(text[a:b]), b):
-        return
-    for m in (_SPACE_OR_HAN if kind in "HJ" else _SPACE).finditer(text, a, b):
-        if a < m.start() and m.end() < b:
-            yield m.span()
-
-
 def candidates(text: str) -> Iterator[tuple[int, int]]:
     """(start, end) of each terminal mark with its closing marks, line break, and space next to Thai, that can end a sentence."""
     size = len(text)
@@ -131,12 +124,12 @@ def candidates(text: str) -> Iterator[tuple[int, int]]:
 
 
 class Place:
-    """A place where a sentence can end, with the keys of what the model sees of it."""
+    """A marked place where a sentence can end, with the keys of what the model sees of it, and the number of stretches before it."""
 
-    __slots__ = ("end", "next", "keys")
+    __slots__ = ("end", "next", "keys", "before")
 
-    def __init__(self, end: int, nxt: int, keys: list[tuple]):
-        self.end, self.next, self.keys = end, nxt, keys
+    def __init__(self, end: int, nxt: int, keys: list[tuple], before: int):
+        self.end, self.next, self.keys, self.before = end, nxt, keys, before
 
 
 def features(key: tuple) -> list[str]:
@@ -156,34 +149,41 @@ def features(key: tuple) -> list[str]:
     return [what + kind + x, what + x, what]
 
 
-def _all_candidates(text: str, limits: dict[str, int]) -> Iterator[tuple[int, int, bool]]:
-    """(start, end, soft) of the candidates, with the soft ones of stretches without marks between them."""
-    done, least = 0, min(limits.values(), default=len(text))
-    for a, e in candidates(text):
-        if a - done > least:
-            yield from ((x, y, True) for x, y in open_places(text, done, a, limits))
-        yield a, e, False
-        done = e
-    if len(text) - done > least:
-        yield from ((x, y, True) for x, y in open_places(text, done, len(text), limits))
+class Marked:
+    """The marked places of a text, its stretches between them, its pairs, and its form without cases and digits.
+
+    A stretch is (start, end, end of the list mark that it begins with).
+    """
+
+    __slots__ = ("places", "stretches", "pairs", "low")
 
+    def __init__(self, text: str):
+        self.pairs = [m.span() for m in _PAIRS.finditer(text)]
+        self.low = text.lower()
+        if len(self.low) != len(text):
+            self.low = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
+        self.low = _DIGIT.sub("0", self.low)
+        self.places, self.stretches = marked_places(text, self.low, self.pairs)
 
-def places(text: str, limits: dict[str, int] | None = None) -> list[Place]:
-    """All places at which ``text`` can be divided, in order; ``limits`` are the lengths beyond which a stretch without marks is."""
-    nested = [m.span() for m in _PAIRS.finditer(text)]
+
+def marked_places(text: str, low: str, nested: list[tuple[int, int]]) -> tuple[list[Place], list[tuple[int, int, int]]]:
+    """All marked places at which ``text`` can be divided, in order, and the stretches between the marks."""
     closing = {y: x for x, y in nested}
     out: list[Place] = []
-    k, line, size = 0, 0, len(text)  # k: next pair; line: start of the current line
-    low = text.lower()
-    if len(low) != size:
-        low = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
-    low = _DIGIT.sub("0", low)
-    done = 0
-    for a, e, soft in _all_candidates(text, limits or {}):
+    stretches: list[tuple[int, int, int]] = []
+    k, line, size, done = 0, 0, len(text), 0  # k: next pair; line: start of the current line
+
+    def stretch(b: int) -> None:
+        mm = _MARK.match(text, line) if done == line else None
+        stretches.append((done, b, mm.end() if mm else -1))
+
+    for a, e in candidates(text):
         if a < done:
             continue
-        mark = " " if soft else text[a]
-        blank = soft or mark.isspace()
+        if a > done:
+            stretch(a)
+        mark = text[a]
+        blank = mark.isspace()
         if blank:
             pos, nxt = a, e
         else:
@@ -203,7 +203,7 @@ def places(text: str, limits: dict[str, int] | None = None) -> list[Place]:
         if nxt >= size or not pos or mark == " " and (mm := _MARK.match(text, line)) and mm.end() >= e:
             continue  # a list mark belongs to what it stands before
         if not inside:
-            kind = ("~" if soft else "_" if mark == " " else "n") if blank else mark + ("c" if text[e - 1] != mark and text[e - 1] not in ".!?。！？…" else "")
+            kind = ("_" if mark == " " else "n") if blank else mark + ("c" if text[e - 1] != mark and text[e - 1] not in ".!?。！？…" else "")
             kind += "B" if lines > 1 else "N" if lines else "S" if gap else "0"
             at = a
             if blank and a in closing and text[a - 1] in ")）":  # look through a bracket before a line break
@@ -220,32 +220,182 @@ def places(text: str, limits: dict[str, int] | None = None) -> list[Place]:
                     keys.append(("A", kind, rc))
                 if a - line < 7 and (mm := _MARK.match(text, line)) and mm.end() >= e:
                     keys += [("LM", "", "")]
-            if lines or blank and not soft:
+            if lines or blank:
                 keys.append(("H", kind, low[line : line + 14]))
                 if lines:
-                    if _MARK.match(text, nxt):
+                    listed, next_listed = _MARK.match(text, line), _MARK.match(text, nxt)
+                    if next_listed:
                         keys.append(("RM", kind, ""))
-                    if _MARK.match(text, line):
+                    if listed:
                         keys.append(("CM", kind, ""))
+                    if listed and next_listed:
+                        keys.append(("BM", kind, ""))
                     keys.append(("len", kind[:1], str(min(9, (a - line) // 12))))
-            out.append(Place(pos, nxt, keys))
+            out.append(Place(pos, nxt, keys, len(stretches)))
         if lines:
             line = nxt
-    return out
+    if done < size:
+        stretch(size)
+    return out, stretches
+
+
+def _character_tables() -> tuple[np.ndarray, np.ndarray]:
+    """Class of every code point, and its part in places without marks: white space, letter of a script without spaces, never first."""
+    classes, parts = np.full(0x110000, ord("x"), np.uint8), np.zeros(0x110000, np.uint8)
+    for n in range(0x10000):
+        c = chr(n)
+        classes[n] = ord(char_class(c))
+        parts[n] = BREAK if c == "\n" else SPACE if c.isspace() else 0
+    for a, b in ("、〿", "ぁヿ", "㐀䶿", "一鿿", "豈\ufaff", "！ﾟ", "\U00020000\U000323af"):
+        parts[ord(a) : ord(b) + 1] |= WIDE
+    for c in "、。，．：；！？,.:;!?）)」』】〕〉》]”’…・ー々ぁぃぅぇぉっゃゅょゎァィゥェォッャュョヮ":
+        parts[ord(c)] |= LATER
+    return classes, parts
+
+
+SPACE, BREAK, WIDE, LATER = 1, 2, 4, 8
+CLASSES, PARTS = _character_tables()
+BITS = 21  # of the hashes of the features of places without marks
+BLOCK, TOGETHER = 1 << 14, 1 << 18  # places scored, and characters read, at a time
+
+
+def open_places(codes: np.ndarray, stretches: np.ndarray, pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, end, stretch) of all places without marks at which a sentence can end.
+
+    In every stretch, whatever its length: every white space, and every end of a
+    character beside scripts without spaces, outside pairs.
+    """
+    part = PARTS[codes]
+    edge = np.diff((part & SPACE).astype(np.int8), prepend=0, append=0)
+    left, right = part[:-1], part[1:]
+    between = np.flatnonzero(((left | right) & WIDE > 0) & (left & (SPACE | BREAK) == 0) & (right & (SPACE | BREAK | LATER) == 0)) + 1
+    a, e = np.concatenate([np.flatnonzero(edge == 1), between]), np.concatenate([np.flatnonzero(edge == -1), between])
+    order = np.argsort(a, kind="stable")
+    a, e = a[order], e[order]
+    s = np.searchsorted(stretches[:, 0], a) - 1
+    ok = (s >= 0) & (e < stretches[s, 1]) & (e > stretches[s, 2])
+    if len(pairs):
+        p = np.searchsorted(pairs[:, 0], a) - 1
+        ok &= (p < 0) | (pairs[p, 1] <= a)
+    return a[ok], e[ok], s[ok]
+
+
+def open_features(low: np.ndarray, classes: np.ndarray, a: np.ndarray, e: np.ndarray, stretches: np.ndarray) -> Iterator[np.ndarray]:
+    """The numbers of the features of places without marks, one array for each kind of feature.
+
+    ``low`` and ``classes`` have twelve line breaks before and after the texts;
+    contexts end with the line.
+    """
+    salt = 0
+
+    def numbered(*values: np.ndarray) -> np.ndarray:
+        nonlocal salt
+        salt += 2
+        h = (e > a).astype(np.uint64) + np.uint64(salt)
+        for v in values:
+            h = (h ^ v.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+            h ^= h >> np.uint64(29)
+        return ((h * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(64 - BITS)).astype(np.int32)
+
+    def grams(at: np.ndarray, step: int, sizes: tuple[int, ...], longest: int) -> list[np.ndarray]:
+        """Hashes of the next characters of a line from ``at`` on, by number, and of the next word."""
+        out, h, word = [], np.zeros(len(at), np.uint64), np.zeros(len(at), np.uint64)
+        going = inside = np.ones(len(at), bool)
+        for n in range(1, longest + 1):
+            c = low[at]
+            going = going & (c != 10)
+            inside = inside & going & (PARTS[c] & SPACE == 0)
+            c = c.astype(np.uint64)
+            if n <= sizes[-1]:
+                h = np.where(going, h * np.uint64(0x100000001B3) + c, h)
+                if n in sizes:
+                    out.append(h)
+            word = np.where(inside, word * np.uint64(0x100000001B3) + c, word)
+            at = np.where(going, at + step, at)  # never beyond the line
+        return [*out, word]
+
+    lc, rc = classes[a + 11], classes[e + 12]
+    l1, l2, l3, l5, last = grams(a + 11, -1, (1, 2, 3, 5), 9)
+    r1, r2, r4, first = grams(e + 12, 1, (1, 2, 4), 12)
+    yield numbered()
+    for x in (l1, l2, l3, l5, last, rc, r1, r2, r4, first):
+        yield numbered(x)
+    yield numbered(lc, rc)
+    yield numbered(l2, r2)
+    # The length of the stretch without marks, and of its parts.
+    for x in (np.minimum(15, (stretches[:, 1] - stretches[:, 0]) // 12), np.minimum(9, (a - stretches[:, 0]) // 6), np.minimum(9, (stretches[:, 1] - e) // 6)):
+        yield numbered(x)
+        yield numbered(rc, x)
+
+
+class Group:
+    """Some texts with their marked places and the places without marks, these as arrays over all of them."""
+
+    def __init__(self, texts: list[str]):
+        self.marked = [Marked(x) for x in texts]
+        starts = np.cumsum([0] + [len(x) + 1 for x in texts])
+        codes = lambda parts: np.frombuffer("\n".join(parts).encode("utf-32-le", "surrogatepass"), np.uint32)
+        shifted = lambda rows, width: np.array([[v + at if v >= 0 else v for v in r] for at, rs in zip(starts.tolist(), rows) for r in rs], np.int64).reshape(-1, width)
+        own = codes(texts)
+        self.stretches = shifted([m.stretches for m in self.marked], 3)
+        self.first = np.cumsum([0] + [len(m.stretches) for m in self.marked]).tolist()  # stretch of each text
+        self.at = starts.tolist()
+        if len(self.stretches):
+            self.start, self.end, self.stretch = open_places(own, self.stretches, shifted([m.pairs for m in self.marked], 2))
+        else:
+            self.start = self.end = self.stretch = np.zeros(0, np.int64)
+        self.until = np.searchsorted(self.stretch, np.arange(len(self.stretches) + 1)).tolist()  # places before each stretch
+        self.low, self.classes = np.pad(codes([m.low for m in self.marked]), 12, constant_values=10), np.pad(CLASSES[own], 12)
+
+    def features(self) -> Iterator[Iterator[np.ndarray]]:
+        for n in range(0, len(self.start), BLOCK):
+            block = slice(n, n + BLOCK)
+            yield open_features(self.low, self.classes, self.start[block], self.end[block], self.stretches[self.stretch[block]])
+
+
+def decode(scores: list[float], moves: list[float], inside: list[int] | None = None) -> list[int]:
+    """Viterbi over the places of one text; ``inside`` counts the places known to be inside before each of them, and after the last."""
+    if not scores:
+        return []
+    m00, m01, m10, m11 = moves
+    s0, s1 = float("-inf"), 0.0  # a sentence begins with the text
+    back: list[tuple[bool, bool]] = []
+    for n, x in enumerate([*scores, 0.0]):  # and one ends with it
+        a, b = s0 + m00, s1 + m10
+        if inside and inside[n]:
+            s0 = (b if b > a else a) + (inside[n] - 1) * m00
+            back.append((b > a, b > a))
+            s0, s1 = s0 + m00, s0 + m01 + x
+        else:
+            c, d = s0 + m01, s1 + m11
+            back.append((b > a, d > c))
+            s0, s1 = (b if b > a else a), (d if d > c else c) + x
+    t, out = 1, []
+    for frm in reversed(back):
+        t = int(frm[t])
+        out.append(t)
+    return out[-2::-1]
 
 
 class SentenceModel:
-    """Weights of the chain: per feature for "boundary", and per pair of neighbouring tags."""
+    """Weights of the chain: per feature of marked places, per number of a feature of others, and per pair of neighbouring tags."""
 
-    def __init__(self, weights: dict[str, float], moves: list[float], limits: dict[str, int] | None = None):
-        self.weights, self.moves, self.limits = weights, moves, limits or {}
+    def __init__(self, weights: dict[str, float], others: np.ndarray, moves: list[float]):
+        self.weights, self.others, self.moves = weights, others, moves
         self._known: dict[tuple, float] = {}
+        m00, m01, m10, m11 = moves
+        # A place of no higher score is inside, whatever its neighbours are.
+        self.surely = min(x0 + y0 - x1 - y1 for x0, x1 in ((m00, m01), (m10, m11)) for y0, y1 in ((m00, m10), (m01, m11)))
 
     def __getstate__(self):
-        return self.weights, self.moves, self.limits
+        used = np.flatnonzero(self.others)
+        return self.weights, used, self.others[used], self.moves
 
     def __setstate__(self, state):
-        self.__init__(*state)
+        weights, used, values, moves = state
+        others = np.zeros(1 << BITS, np.float32)
+        others[used] = values
+        self.__init__(weights, others, moves)
 
     def score(self, key: tuple) -> float:
         x = 0.0
@@ -256,82 +406,112 @@ class SentenceModel:
         self._known[key] = x
         return x
 
-    def tags(self, seq: list[Place]) -> list[int]:
-        """Viterbi over the places of one text."""
-        m00, m01, m10, m11 = self.moves
-        s0, s1 = 0.0, 0.0
-        back: list[tuple[int, int]] = []
-        known, score = self._known, self.score
-        for n, p in enumerate(seq):
+    def _open(self, group: Group) -> tuple[list[int], list[float]]:
+        """The places without marks, and their scores, that are not surely inside."""
+        kept, scores = [], []
+        for n, block in enumerate(group.features()):
             x = 0.0
-            for key in p.keys:
-                x += known[key] if key in known else score(key)
-            if n:
-                a, b = s0 + m00, s1 + m10
-                c, d = s0 + m01, s1 + m11
-                back.append((b > a, d > c))
-                s0, s1 = (b if b > a else a), (d if d > c else c) + x
-            else:  # a sentence begins with the text
-                s0, s1 = m10, m11 + x
-        if not seq:
-            return []
-        t = int(s1 + m11 > s0 + m01)  # and one ends with it
-        out = [t]
-        for frm in reversed(back):
-            t = int(frm[t])
-            out.append(t)
-        return out[::-1]
+            for numbers in block:
+                x = x + self.others[numbers].astype(np.float64)
+            found = np.flatnonzero(x > self.surely)
+            kept += (found + n * BLOCK).tolist()
+            scores += x[found].tolist()
+        return kept, scores
+
+    def _group_spans(self, texts: list[str]) -> Iterator[list[tuple[int, int]]]:
+        group = Group(texts)
+        kept, open_scores = self._open(group)
+        known, score = self._known, self.score
+        j = 0
+        for n, (text, marked) in enumerate(zip(texts, group.marked, strict=True)):
+            # (places without marks before it, end, next, score, 1 if it is without mark)
+            first, begin, stop = group.first[n], group.until[group.first[n]], group.until[group.first[n + 1]]
+            seq = []
+            for p in marked.places:
+                x = 0.0
+                for key in p.keys:
+                    x += known[key] if key in known else score(key)
+                seq.append((group.until[first + p.before], p.end, p.next, x, 0))
+            if j < len(kept) and kept[j] < stop:
+                at = group.at[n]
+                while j < len(kept) and kept[j] < stop:
+                    k = kept[j]
+                    seq.append((k, int(group.start[k]) - at, int(group.end[k]) - at, open_scores[j], 1))
+                    j += 1
+                seq.sort(key=lambda r: (r[0], r[4]))
+            inside = []
+            for r in seq:
+                inside.append(r[0] - begin)
+                begin = r[0] + r[4]
+            inside.append(stop - begin)
+            out, start, end = [], 0, len(text)
+            while start < end and text[start].isspace():
+                start += 1
+            for r, t in zip(seq, decode([r[3] for r in seq], self.moves, inside), strict=True):
+                if t and r[1] > start:
+                    out.append((start, r[1]))
+                    start = r[2]
+            while end > start and text[end - 1].isspace():
+                end -= 1
+            if end > start:
+                out.append((start, end))
+            yield out
+
+    def all_spans(self, texts: Iterable[str | None]) -> Iterator[list[tuple[int, int]]]:
+        """(start, end) of every sentence of each text; null texts have none."""
+        waiting: list[str] = []
+        size = 0
+        for x in texts:
+            x = "" if x is None or x is pd.NA or x != x else x
+            waiting.append(x)
+            size += len(x)
+            if size > TOGETHER:
+                yield from self._group_spans(waiting)
+                waiting, size = [], 0
+        yield from self._group_spans(waiting)
 
     def spans(self, text: str | None) -> list[tuple[int, int]]:
         """(start, end) of every sentence of a text."""
-        if not text:
-            return []
-        out, start = [], 0
-        n = len(text)
-        while start < n and text[start].isspace():
-            start += 1
-        seq = places(text, self.limits)
-        for p, t in zip(seq, self.tags(seq), strict=True):
-            if t and p.end > start:
-                out.append((start, p.end))
-                start = p.next
-        end = n
-        while end > start and text[end - 1].isspace():
-            end -= 1
-        if end > start:
-            out.append((start, end))
-        return out
-
-
-def train(composed: list[tuple[str, set[int]]], limits: dict[str, int] | None = None, epochs: int = EPOCHS, seed: int = 7) -> SentenceModel:
+        return next(self.all_spans([text]))
+
+
+def train(composed: list[tuple[str, set[int]]], epochs: int = EPOCHS, seed: int = 7) -> SentenceModel:
     """Averaged structured perceptron on texts with known boundary ends."""
+    number: dict[str, int] = {}
     data = []
-    for text, ends in composed:
-        seq = places(text, limits)
-        if seq:
-            data.append((seq, [int(p.end in ends) for p in seq]))
-    w: dict[str, float] = {}
-    total: dict[str, float] = {}
+    for part in range(0, len(composed), 500):
+        group = Group([text for text, _ in composed[part : part + 500]])
+        rows = [np.stack(list(block), axis=1) for block in group.features()]
+        numbers = np.concatenate(rows) if rows else np.zeros((0, 1), np.int32)
+        for n, (_, ends) in enumerate(composed[part : part + 500]):
+            first, at = group.first[n], group.at[n]
+            seq = [(group.until[first + p.before], 0, p.end, [(1 << BITS) + number.setdefault(f, len(number)) for key in p.keys for f in features(key)]) for p in group.marked[n].places]
+            seq += [(k, 1, int(group.start[k]) - at, numbers[k]) for k in range(group.until[first], group.until[group.first[n + 1]])]
+            if seq:
+                seq.sort(key=lambda r: r[:2])
+                starts = np.cumsum([0] + [len(r[3]) for r in seq])
+                data.append((np.concatenate([r[3] for r in seq]).astype(np.int32), starts, [int(r[2] in ends) for r in seq]))
+    w, total = np.zeros((1 << BITS) + len(number)), np.zeros((1 << BITS) + len(number))
     moves, moved = [0.0] * 4, [0.0] * 4
-    model, rng, step = SentenceModel(w, moves), random.Random(seed), 1
+    rng, step = random.Random(seed), 1
     for _ in range(epochs):
         rng.shuffle(data)
-        for seq, gold in data:
-            model._known.clear()  # the weights have changed
-            guess = model.tags(seq)
+        for ids, starts, gold in data:
+            guess = decode(np.add.reduceat(w[ids], starts[:-1]).tolist(), moves)
             if guess != gold:
-                for p, g, y in zip(seq, guess, gold, strict=True):
+                for n, (g, y) in enumerate(zip(guess, gold, strict=True)):
                     if g != y:
-                        d = y - g
-                        for f in (f for key in p.keys for f in features(key)):
-                            w[f] = w.get(f, 0.0) + d
-                            total[f] = total.get(f, 0.0) + d * step
+                        at = ids[starts[n] : starts[n + 1]]
+                        np.add.at(w, at, y - g)
+                        np.add.at(total, at, (y - g) * step)
                 for tags, d in ((gold, 1), (guess, -1)):
-                    for a, b in zip([1, *tags], [*tags, 1]):
+                    for a, b in pairwise([1, *tags, 1]):
                         moves[a * 2 + b] += d
                         moved[a * 2 + b] += d * step
             step += 1
-    return SentenceModel({f: x for f, v in w.items() if (x := round(v - total[f] / step, 4))}, [v - moved[n] / step for n, v in enumerate(moves)], limits)
+    mean = np.round(w - total / step, 4)
+    marked = {f: x for f, x in zip(number, mean[1 << BITS :].tolist(), strict=True) if x}
+    return SentenceModel(marked, mean[: 1 << BITS].astype(np.float32), [v - moved[n] / step for n, v in enumerate(moves)])
 
 
 def known_sentences(texts: list[str]) -> list[str]:
@@ -408,6 +588,8 @@ def compose(sentences: list[str], headings: list[str], labels: list[str], count:
         marks = rng.choice([lambda n: "• ", lambda n: f"{n}. ", lambda n: f"({n}) ", lambda n: f"{chr(96 + n)}) ", lambda n: f"{n}) ", lambda n: "- ", lambda n: "①②③④⑤⑥⑦⑧⑨⑩"[n - 1] + " "])
         if form < 0.45 and heads.get(kind):
             text = rng.choice(heads[kind])
+            if rng.random() < CAPITALS:
+                text = text.upper()
             ends.add(len(text))
             text += "\n"
         for n in range(1, rng.choice((2, 3, 3, 3, 3, 4, 4, 5, 6, 7, 8))):
@@ -426,6 +608,8 @@ def compose(sentences: list[str], headings: list[str], labels: list[str], count:
             gap = "\n" if listed else "\n\n" if sep < 0.1 else "\n" if sep < 0.4 else "" if here in "HJ" and sep < 0.9 or here in "LvdK" and sep > 0.96 else " "
             if rng.random() < (0.5 if listed else 0.45) and "\n" in gap:
                 s = bare.sub("", s)
+            elif (gap == " " or not gap and here in "HJ") and here != "T" and rng.random() < UNMARKED:
+                s = bare.sub("", s)
             if listed:
                 s = marks(n) + s
             text += s
@@ -441,16 +625,7 @@ def fit(texts: list[str], headings: list[str] = ()) -> SentenceModel:
     labels = [t.strip() for t in texts if len(t) < 40 and not re.search(r"[.!?。！？\n]", t)]
     heads = [look(h).strip() for h in headings if h]
     heads = [h for h in heads if h and not re.search(r"[.!?。！？\n]", h) and not _MARK.match(h)]
-    known = known_sentences(texts)
-    return train(compose(known, heads, labels[:400], COMPOSED), usual_lengths(known))
-
-
-def usual_lengths(known: list[str]) -> dict[str, int]:
-    """Per script, the length that all but a hundredth of the known sentences stay below; Thai has spaces as candidates anyway."""
-    lengths: dict[str, list[int]] = {}
-    for s in known:
-        lengths.setdefault(script(s), []).append(len(s))
-    return {k: sorted(v)[int(LONGER * (len(v) - 1))] for k, v in lengths.items() if k != "T"}
+    return train(compose(known_sentences(texts), heads, labels[:400], COMPOSED))
 
 
 def fit_on(spark: SparkSession, folder: str) -> SentenceModel:
@@ -476,7 +651,9 @@ def sentence_spans(records: DataFrame, model: SentenceModel) -> DataFrame:
     def spans(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         m = shared.value
         for texts in batches:
-            yield pd.Series([[{"start_at": a, "end_at": b} for a, b in x or ()] for x in per_distinct(texts, m.spans)], dtype=object)
+            known = texts.dropna().unique()
+            spans = dict(zip(known, m.all_spans(known), strict=False))
+            yield pd.Series([[{"start_at": a, "end_at": b} for a, b in spans.get(x, ())] for x in texts], dtype=object)
 
     rest = [c for c in records.columns if c != "text"]
     return records.withColumn("_s", F.explode(spans(F.col("text")))).select(*rest, "_s.start_at", "_s.end_at")

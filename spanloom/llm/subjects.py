@@ -128,13 +128,14 @@ def sentence_subject(text: str, lexicon: dict[str, tuple[int, float]], count: in
     return best if score[best] >= STRENGTH and score[best] > 1.3 * rest else -1
 
 
-def document_votes(text: str | None, model: sentences.SentenceModel, lexicon: dict[str, tuple[int, float]], count: int, known: dict[str, int]) -> tuple[int, list[int]]:
+def document_votes(text: str | None, model: sentences.SentenceModel, lexicon: dict[str, tuple[int, float]], count: int, known: dict[str, int], spans: list[tuple[int, int]] | None = None) -> tuple[int, list[int]]:
     """(sentences, how many of them have each pair of lexicon and section votes, per subject) of a text.
 
     The numbers stand flat: at ``6 * subject + 2 * (lexicon + 1) + section``.
+    ``spans`` are the places of the sentences, if known.
     """
     votes = [0] * (6 * count)
-    spans = model.spans(text)
+    spans = model.spans(text) if spans is None else spans
     head = -1  # subject of the heading above
     pairs: dict[tuple[int, int], int] = {}
     for a, b in spans:
@@ -238,7 +239,7 @@ def document_subjects(spark: SparkSession, folder: str) -> DataFrame:
         model, lex = shared.value
         known: dict[str, int] = {}
         for texts in batches:
-            rows = [document_votes(t, model, lex, count, known) for t in texts]
+            rows = [document_votes(t, model, lex, count, known, s) for t, s in zip(texts, model.all_spans(texts), strict=True)]
             yield pd.DataFrame({"n": [r[0] for r in rows], "votes": [r[1] for r in rows]})
 
     docs = spread(table(spark, folder, "documents").select("doc_id", "manual_id", "source", "text"), "doc_id")

@@ -69,6 +69,43 @@ def test_unpunctuated_text_held_out(halves):
         assert precision > 0.85 and recall > 0.8, (kind, precision, recall)
 
 
+def test_short_unpunctuated_text_held_out(halves):
+    """Two of the shortest sentences in one line without a mark: together they are no longer than many a single one."""
+    model, unseen = halves
+    by_script = {}
+    for s in unseen:
+        by_script.setdefault(sentences.script(s), []).append(s.rstrip(".。!?！？"))
+    rng = random.Random(6)
+    for kind in "KHJLvd":
+        short = sorted(by_script[kind], key=len)
+        short = short[: len(short) // 6]
+        composed = []
+        for _ in range(80):
+            a, b = rng.sample(short, 2)
+            text = a + ("" if kind in "HJ" else " ") + b
+            composed.append((text, {len(a), len(text)}))
+        precision, recall = precision_and_recall(model, composed)
+        assert precision > 0.9 and recall > 0.75, (kind, precision, recall)
+
+
+def test_open_places():
+    """Every white space and every end of a character of a script without spaces, in lines of any length and mixed scripts."""
+    texts = ["A b\u3000C\td", "", "电压80%请查 (a b) Fig. 4，继", "• Check it now.\nน้ำ ABC\xa0DEF继"]
+    group = sentences.Group(texts)
+    got = [(group.at.index(max(x for x in group.at if x <= a)), int(a), int(e)) for a, e in zip(group.start, group.end)]
+    places = [[(a - group.at[n], e - group.at[n]) for k, a, e in got if k == n] for n in range(4)]
+    assert places == [[(1, 2), (3, 4), (5, 6)], [], [(1, 1), (2, 2), (5, 5), (6, 6), (7, 8), (13, 14), (21, 21)], [(7, 8), (10, 11), (23, 24), (27, 27)]]
+
+
+def test_places_surely_inside(splitter, texts):
+    """Places left out of the chain change nothing, nor does the grouping of texts."""
+    some = [*random.Random(8).sample(texts, 150), "Check the relay The fuse is late", "\0继电器\0请\r查\n\0", "a\ud800 b"]
+    model = sentences.SentenceModel(splitter.weights, splitter.others, splitter.moves)
+    model.surely = float("-inf")
+    whole = list(model.all_spans(some))
+    assert whole == list(splitter.all_spans(some)) == [splitter.spans(x) for x in some]
+
+
 @pytest.mark.parametrize(
     "text,parts",
     [
